@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker receives at once."""
+    """Bound what a Python worker receives at once, and see that workers anywhere can import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        made = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(made))
+        _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, quality
+from . import decontaminate, lines, mixing, quality, tokens
 from .frames import only, table
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -43,6 +43,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "mix_copies", "mix_copy", "mix_key", "text")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 OP5 = """
 WITH n AS (SELECT coalesce(source, '') AS source_key, count(*) AS docs FROM documents GROUP BY 1),
 w AS (SELECT source_key, docs, pow(docs::DOUBLE, 0.7) AS weight FROM n),
@@ -80,6 +84,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_token_counts": op3_token_counts,
     "op5_mixing": op5_mixing,
     "op7_quality": op7_quality,
     "op10_decontaminate": op10_decontaminate,
