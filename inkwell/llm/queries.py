@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, quality, tokens
+from . import decontaminate, licenses, lines, mixing, quality, tokens
 from .frames import only, table
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,6 +38,45 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.with_licenses(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    base = F.filter("licenses", lambda m: m["base"])
+    labels = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda m: m["label"]))), ",")
+    starts = F.transform(base, lambda m: m["start"].cast("long"))
+    return out.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("licenses")).alias("labels"), F.coalesce(F.array_max(F.transform("licenses", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def _op4_sql() -> str:
+    """The same from all places of every key phrase, without an index."""
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.SEPARATORS}'), lambda x: x <> '')"
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    rows = ", ".join(f"('{t.label}', {str(t.base).lower()}, {t.key_at}, {quoted(t.key)}, {quoted(t.words)})" for t in licenses.Settings().templates)
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+t(label, base, key_at, key, words) AS (VALUES {rows}),
+vocabulary AS (SELECT DISTINCT unnest(words) AS word FROM t),
+df AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(w) AS word FROM d) GROUP BY word),
+idf AS (SELECT v.word, ln(((SELECT count(*) FROM d) + 1)::DOUBLE / (coalesce(n, 0) + 1)) AS weight FROM vocabulary v LEFT JOIN df ON v.word = df.word),
+places AS (
+  SELECT doc_id, label, base, key_at, words, unnest(list_filter(range(0, len(w) - len(key) + 1), lambda i: w[i + 1:i + len(key)] = key)) AS start, w
+  FROM d, t WHERE list_contains(w, key[1])),
+hits AS (
+  SELECT p.doc_id, p.label, p.base, p.start, sum(i.weight) AS whole, sum(CASE WHEN p.start - p.key_at + j >= 0 AND p.w[(p.start - p.key_at + j + 1)::BIGINT] = p.words[(j + 1)::BIGINT] THEN i.weight ELSE 0 END) AS found
+  FROM (SELECT *, unnest(range(0, len(words))) AS j FROM places) p JOIN idf i ON i.word = p.words[(j + 1)::BIGINT] GROUP BY ALL),
+scored AS (SELECT *, CASE WHEN base OR whole <= 0 THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, found / whole), 6) END AS s FROM hits),
+good AS (SELECT * FROM scored WHERE s >= 0.6),
+summed AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(s) AS score
+  FROM good GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN summed s ON d.doc_id = s.doc_id
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(only(table(spark, sf_dir, "documents"), *DOCUMENT))
     return out.select("doc_id", "source", "mix_copies", "mix_copy", "mix_key", "text")
@@ -85,8 +124,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
     "op7_quality": op7_quality,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL: dict[str, str] = {"op1_line_dedup": OP1, "op5_mixing": OP5}
+SQL: dict[str, str] = {"op1_line_dedup": OP1, "op4_licenses": _op4_sql(), "op5_mixing": OP5}
