@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, mixing, quality, tokens
+from . import decontaminate, licenses, lines, mixing, near, quality, tokens
 from .frames import only, table
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -82,6 +82,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "mix_copies", "mix_copy", "mix_key", "text")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -123,6 +127,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_counts": op3_token_counts,
     "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
