@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, mixing, near, quality, tokens
+from . import decontaminate, licenses, lines, mixing, near, quality, repeats, tokens
 from .frames import only, table
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -115,6 +115,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.removed(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     out = decontaminate.with_overlaps(documents, table(spark, sf_dir, "benchmark"))
@@ -132,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
     "op7_quality": op7_quality,
+    "op9_repeats": op9_repeats,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {"op1_line_dedup": OP1, "op4_licenses": _op4_sql(), "op5_mixing": OP5}
