@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, mixing, near, quality, repeats, tokens
+from . import decontaminate, licenses, lines, mixing, near, neighbours, pii, quality, repeats, tokens
 from .frames import only, table
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -108,6 +108,12 @@ FROM (SELECT *, unnest(range(0, mix_copies)) AS mix_copy FROM c WHERE mix_copies
 """
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.with_surrogates(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
+    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), "text", "entities")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     model = quality.train(documents, table(spark, sf_dir, "labels"))
@@ -115,6 +121,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbours.usable(only(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    return neighbours.search(vectors, vectors.where("id % 50 = 0"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.removed(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return out.select(
@@ -138,7 +149,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
+    "op8_neighbours": op8_neighbours,
     "op9_repeats": op9_repeats,
     "op10_decontaminate": op10_decontaminate,
 }
