@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import U64, Words, blocks, distinct, mix, shingles, stream
+from .bytehash import U64, Words, blocks, distinct, grouped, mapped, mix, shingles, stream
 from .components import components
 from .frames import buckets, small_batches, written
 
@@ -128,7 +128,7 @@ def profiles(documents: DataFrame, settings: Settings) -> DataFrame:
                     spare[i, docs[chosen]] = worth - need(n[docs[chosen]], band, settings)
             yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(count, pa.binary()), pa.array(spare[0].astype(np.int32)), pa.array(spare[1].astype(np.int32))], names=["doc_id", "n", "f1", "f2", "counts", "spare", "spare_below"])
 
-    return documents.where("doc_id IS NOT NULL").mapInArrow(made, "doc_id long, n long, f1 long, f2 long, counts binary, spare int, spare_below int")
+    return documents.where("doc_id IS NOT NULL").mapInArrow(mapped(made), "doc_id long, n long, f1 long, f2 long, counts binary, spare int, spare_below int")
 
 
 def keys(values: np.ndarray, offs: np.ndarray, docs: np.ndarray, band: np.ndarray, settings: Settings, made: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +236,7 @@ def index_rows(documents: DataFrame, settings: Settings, n_buckets: int) -> Data
         if kept:
             yield flushed(kept, ids)
 
-    return documents.where("doc_id IS NOT NULL").mapInArrow(made, "bucket int, keys binary, slots binary, ids binary")
+    return documents.where("doc_id IS NOT NULL").mapInArrow(mapped(made), "bucket int, keys binary, slots binary, ids binary")
 
 
 GROUP_DDL = "gid long, band int, members array<long>, weight long"
@@ -281,7 +281,7 @@ def groups(index: DataFrame) -> DataFrame:
         gid = mix(np.arange(len(start), dtype=U64) + (U64(table.column("bucket")[0].as_py()) << U64(40)))
         return pa.table([pa.array(gid.view(np.int64)), pa.array(band[start].astype(np.int32)), lists, pa.array(weight)], schema=schema)
 
-    return index.groupBy("bucket").applyInArrow(shared, GROUP_DDL)
+    return index.groupBy("bucket").applyInArrow(grouped(shared), GROUP_DDL)
 
 
 def packed_texts(documents: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFram
                             b.append(ids[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
-    return dealt.mapInArrow(compared, "u long, v long")
+    return dealt.mapInArrow(mapped(compared), "u long, v long")
 
 
 def possible(pairs: DataFrame, profile: DataFrame, settings: Settings) -> DataFrame:
@@ -374,14 +374,14 @@ def against_all(rest: DataFrame, documents: DataFrame, settings: Settings) -> Da
                             v.append(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        return written(documents.where("doc_id IS NOT NULL").mapInArrow(made, "u long, v long"), "near-rest")
+        return written(documents.where("doc_id IS NOT NULL").mapInArrow(mapped(made), "u long, v long"), "near-rest")
 
     def as_sets(batches):
         for block in blocks(batches):
             values, offs = sets(block, settings)
             yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([values[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
-    for row in written(chosen.mapInArrow(as_sets, "doc_id long, shingles binary"), "near-rest-sets").toLocalIterator():
+    for row in written(chosen.mapInArrow(mapped(as_sets), "doc_id long, shingles binary"), "near-rest-sets").toLocalIterator():
         held.append((row["doc_id"], bytes(row["shingles"])))
         size += len(row["shingles"]) // 8
         if size >= settings.block_shingles:

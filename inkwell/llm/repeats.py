@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import U64, Block, blocks, mix, prefix, span_hash, window_hash
+from .bytehash import U64, Block, blocks, grouped, mapped, mix, prefix, span_hash, window_hash
 from .frames import buckets, small_batches, written
 from .near import packed_texts, unpack
 
@@ -255,8 +255,8 @@ def removed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         if sender.size:
             yield sender.rows()
 
-    sent = keyed.mapInArrow(send_runs, SENT_DDL)
-    first = written(sent.groupBy("bucket").applyInArrow(lambda t: judged(t, judge_runs, KEY_BYTES, SPAN_BYTES), JUDGED_DDL), "repeat-runs")
+    sent = keyed.mapInArrow(mapped(send_runs), SENT_DDL)
+    first = written(sent.groupBy("bucket").applyInArrow(grouped(lambda t: judged(t, judge_runs, KEY_BYTES, SPAN_BYTES)), JUDGED_DDL), "repeat-runs")
 
     def with_verdicts(verdicts: DataFrame, name: str) -> DataFrame:
         lists = verdicts.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("bucket", "codes")).alias("verdicts"))
@@ -290,8 +290,8 @@ def removed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         if sender.size:
             yield sender.rows()
 
-    refined = texts.join(to_refine, "doc_id").select("doc_id", "packed", "runs").mapInArrow(send_windows, SENT_DDL)
-    second = written(refined.groupBy("bucket").applyInArrow(lambda t: judged(t, judge_windows, 8, 0), JUDGED_DDL), "repeat-windows")
+    refined = texts.join(to_refine, "doc_id").select("doc_id", "packed", "runs").mapInArrow(mapped(send_windows), SENT_DDL)
+    second = written(refined.groupBy("bucket").applyInArrow(grouped(lambda t: judged(t, judge_windows, 8, 0)), JUDGED_DDL), "repeat-windows")
 
     def cut(batches):
         for batch in batches:
@@ -321,7 +321,7 @@ def removed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     joined = texts.join(with_verdicts(first, "runs"), "doc_id", "left").join(with_verdicts(second, "windows"), "doc_id", "left")
-    done = joined.select("doc_id", "packed", "runs", "windows").mapInArrow(cut, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    done = joined.select("doc_id", "packed", "runs", "windows").mapInArrow(mapped(cut), "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
     text = F.coalesce("text", F.lit("")).cast("binary")
     alone = documents.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.length(text).cast("long").alias("n_bytes"), F.array().cast("array<array<long>>").alias("spans"), text.alias("kept"))
     return done.union(alone)

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytehash import grouped, mapped
 from .frames import buckets, small_batches, written
 
 #: Fixed pattern of byte-level pre-tokenisation, with white space as Unicode defines it.
@@ -146,7 +147,7 @@ def chunks(documents: DataFrame, settings: Settings, n_buckets: int) -> DataFram
         if chunk.ids:
             yield chunk.rows(number, n_buckets)
 
-    return documents.select(documents["doc_id"], documents["text"]).mapInArrow(made, CHUNK_DDL)
+    return documents.select(documents["doc_id"], documents["text"]).mapInArrow(mapped(made), CHUNK_DDL)
 
 
 def piece_counts(pieces: DataFrame, settings: Settings) -> DataFrame:
@@ -168,7 +169,7 @@ def piece_counts(pieces: DataFrame, settings: Settings) -> DataFrame:
             counts[a : a + 4096] = [len(e) for e in some]
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "counts": pa.array([counts[x].tobytes() for x in lists], pa.binary())})
 
-    return pieces.select("chunk", "bucket", "data").groupBy("bucket").applyInArrow(counted, "chunk long, bucket int, counts binary")
+    return pieces.select("chunk", "bucket", "data").groupBy("bucket").applyInArrow(grouped(counted), "chunk long, bucket int, counts binary")
 
 
 def summed(docs: DataFrame, counts: DataFrame) -> DataFrame:
