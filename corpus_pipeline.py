@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, lines, mixing, quality
+from inkwell.llm import decontaminate, lines, mixing, near, quality
 from inkwell.llm.frames import table, written
 
 
@@ -25,6 +25,16 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col("kept_text").alias(c) if c == "text" else F.length(F.coalesce("kept_text", F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays, once."""
+    classes = near.classes(docs)
+    gone = written(classes.where("component_id <> doc_id").select("doc_id").distinct(), "near-gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # repeated rows of one id are one document; rows without an id are all kept
+    known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return known.unionByName(kept.where("doc_id IS NULL"))
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
     out = decontaminate.with_overlaps(docs, table(spark, sf_dir, "benchmark"))
@@ -39,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", keep_quality),
     ("lines", cut_lines),
+    ("near", keep_one),
     ("decontaminate", drop_benchmark),
     ("mix", mix_sources),
 ]
