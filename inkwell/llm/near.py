@@ -300,6 +300,35 @@ def unpack(column: pa.Array) -> pa.Array:
     return pa.array([tool.decompress(x.as_py()) for x in column], pa.binary())
 
 
+#: Lists of ids up to so many rows are broadcast; longer ones meet the texts in a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with the given distinct ids, once each."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+class Forest:
+    """Which documents are joined already; only links that join two trees are worth sending on."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) that are similar, by their whole texts. A document's partners are dealt out in parts of 128."""
     spread = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("parts"))
@@ -346,8 +375,11 @@ def possible(pairs: DataFrame, profile: DataFrame, settings: Settings) -> DataFr
 
 
 def against_all(rest: DataFrame, documents: DataFrame, settings: Settings) -> DataFrame | None:
-    """Links (u, v) of the documents in ``rest`` with all documents, by an inverted index of one block of them at a time."""
-    chosen = documents.join(rest.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Links (u, v) of the documents in ``rest`` with all documents, by an inverted index of one block of them at a time.
+
+    Every document is compared with every block; of the links that a task finds those that join nothing new stay behind.
+    """
+    chosen = of_ids(documents, rest.distinct())
     found, held, size = [], [], 0
 
     def scan(part: list) -> DataFrame:
@@ -359,6 +391,7 @@ def against_all(rest: DataFrame, documents: DataFrame, settings: Settings) -> Da
             token, who, n_own = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([len(x) for x in own])
             order = np.argsort(token, kind="stable")
             token, who = token[order], who[order]
+            forest = Forest()
             for block in blocks(batches):
                 values, offs = sets(block, settings)
                 u, v = [], []
@@ -369,7 +402,7 @@ def against_all(rest: DataFrame, documents: DataFrame, settings: Settings) -> Da
                     hits = who[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))] if n.sum() else np.zeros(0, np.int64)
                     both = np.bincount(hits, minlength=len(own))
                     for k in np.flatnonzero((both > 0) & (100 * both >= settings.percent * (n_own + len(mine) - both))).tolist():
-                        if ids[k] != doc:
+                        if forest.join(int(ids[k]), doc):
                             u.append(int(ids[k]))
                             v.append(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -413,7 +446,7 @@ def links(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
 
     ahead = written(possible(star.select("a", "b").distinct(), alone, settings), "near-pairs")
     needed = ahead.select(F.col("a").alias("doc_id")).union(ahead.select("b")).distinct()
-    texts = written(packed_texts(documents).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    texts = written(of_ids(packed_texts(documents), written(needed, "near-needed")), "near-texts")
 
     # first every document against the partner it shares most keys with
     best = star.groupBy("a", "b").agg(F.sum("weight").alias("w")).join(ahead, ["a", "b"], "left_semi").groupBy("b").agg(F.max_by("a", F.struct(F.col("w"), -F.col("a"))).alias("a"))
@@ -437,9 +470,9 @@ def links(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
     more = possible(cross.join(ahead, ["a", "b"], "left_anti"), alone, settings)
     pairs = written(again.union(more).distinct().join(best, ["a", "b"], "left_anti"), "near-second")
     second_texts = texts
-    extra = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(texts.select("doc_id"), "doc_id", "left_anti")
+    extra = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(texts.select("doc_id"), "doc_id", "left_anti"), "near-needed")
     if not extra.isEmpty():
-        second_texts = texts.union(packed_texts(documents).join(extra, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        second_texts = texts.union(of_ids(packed_texts(documents), extra))
     also = verified(pairs, second_texts, settings)
 
     # documents that lost too many segments to frequent groups, or had too few
