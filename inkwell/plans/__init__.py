@@ -1,0 +1 @@
+"""Whole queries: from documents to findings, reports, fixes and scores."""
