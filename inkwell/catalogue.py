@@ -5,18 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from .operators import all_rules
+from .operators.lint import lint
+from .plans import engine, native
+from .sources import examples_code, examples_gettext, examples_grammar, examples_prose, examples_structure, plants
 
-def doubled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a word repeated in a row and the number of such places."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    hits = F.regexp_count("text", F.lit(r"\b(the) the\b"))
-    return docs.select("doc_id", hits.cast("long").alias("hits")).where("hits > 0")
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-FLAGSHIP = "doubled_words"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"doubled_words": doubled_words}
-SQL: dict[str, str] = {
-    "doubled_words": r"SELECT doc_id, len(regexp_extract_all(text, '\b(the) the\b')) AS hits FROM documents WHERE len(regexp_extract_all(text, '\b(the) the\b')) > 0",
-}
+def query_name(rule: str) -> str:
+    return rule.replace("/", "_").replace("-", "_")
+
+
+def rule_query(rule: str, examples: list[str], config: dict, kind: dict) -> Query:
+    """The rule over a document for each part, built from the rule's examples."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = {"gettext": "locale/catalog.po", "code": "src/main.txt", "toml": "project.toml"}.get(kind.get("kind", ""), "docs/page.md")
+        documents = plants.corpus(spark, sf_dir, examples, kind.get("kind", "markdown"), kind.get("code_lang", ""), path)
+        return lint(documents, [rule], config).select("doc_id", "line", "col", "text")
+
+    return run
+
+
+def examples() -> dict[str, tuple[list[str], dict, dict]]:
+    """Rule -> (examples, options, context) of every rule that works on one document."""
+    out = {}
+    for module in (examples_structure, examples_prose, examples_code, examples_gettext, examples_grammar):
+        for rule, own in module.EXAMPLES.items():
+            out[rule] = (own, {}, {}) if isinstance(own, list) else (*own, {}, {})[:3]
+    return {rule: own for rule, own in out.items() if rule in all_rules()}
+
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+for _rule, (_examples, _config, _kind) in examples().items():
+    QUERIES[query_name(_rule)] = rule_query(_rule, _examples, _config, _kind)
+    SQL[query_name(_rule)] = plants.expected_sql(_examples)
+for _module in (native, engine):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
+FLAGSHIP = "lint_documents"
