@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def unsuppressed(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     return f.join(s, inside, "left_anti")
 
 
-DIRECTIVE = r"(?m)<!--\s*lint-(disable|enable|disable-next-line|disable-line|disable-file)\s*([^>]*?)\s*-->"
+DIRECTIVE = r"(?m)<!--\s*lint-(disable-next-line|disable-line|disable-file|disable|enable)\s*([^>]*?)\s*-->"
 
 
 def suppressions_of(text: str) -> list[tuple[int, int, list[str]]]:
@@ -140,8 +141,6 @@ def suppressions_of(text: str) -> list[tuple[int, int, list[str]]]:
 
 def suppressions(documents: DataFrame) -> DataFrame:
     """(doc_id, s, e, rules) of all directives; only documents with one reach Python."""
-    import pyarrow as pa
-
     @F.arrow_udf("array<struct<s:long,e:long,rules:array<string>>>")
     def found(text: pa.Array) -> pa.Array:
         rows = [[{"s": a, "e": b, "rules": r} for a, b, r in suppressions_of(t.as_py() or "")] for t in text]
@@ -178,7 +177,7 @@ def positions(spark, sf_dir):
 
 # links between documents
 
-GRAPH = "SELECT o_orderkey AS page, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey + 1000000000 ELSE o_custkey END AS target, o_orderkey % 5 = 0 AS broken_anchor FROM orders"
+GRAPH = "SELECT o_orderkey AS page, CASE WHEN o_orderkey % 7 = 0 OR o_custkey % 11 = 0 THEN o_orderkey + 1000000000 ELSE o_custkey END AS target, o_orderkey % 5 = 0 AS broken_anchor FROM orders"
 
 
 def link_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -190,14 +189,14 @@ def link_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return pages.union(orders.select(F.concat(F.lit("orders/"), F.col("o_orderkey"), F.lit(".md")), F.lit("order"))), links
 
 
-@query("links_missing_file", "SELECT 'orders/' || o_orderkey || '.md' AS path, 'customers/' || (o_orderkey + 1000000000) || '.md' AS target FROM orders WHERE o_orderkey % 7 = 0")
+@query("links_missing_file", "SELECT 'orders/' || o_orderkey || '.md' AS path, 'customers/' || (o_orderkey + 1000000000) || '.md' AS target FROM orders WHERE o_orderkey % 7 = 0 OR o_custkey % 11 = 0")
 def links_missing_file(spark, sf_dir):
     """Links whose target is no page: an anti join on the path."""
     pages, links = link_graph(spark, sf_dir)
     return links.join(pages.select(F.col("path").alias("target")), "target", "left_anti").select("path", "target")
 
 
-@query("links_missing_anchor", "SELECT 'orders/' || o_orderkey || '.md' AS path, 'customers/' || o_custkey || '.md' AS target, 'nowhere' AS anchor FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0")
+@query("links_missing_anchor", "SELECT 'orders/' || o_orderkey || '.md' AS path, 'customers/' || o_custkey || '.md' AS target, 'nowhere' AS anchor FROM orders WHERE o_orderkey % 7 <> 0 AND o_custkey % 11 <> 0 AND o_orderkey % 5 = 0")
 def links_missing_anchor(spark, sf_dir):
     """Links to a page that is there, at an anchor that is not."""
     pages, links = link_graph(spark, sf_dir)
@@ -205,13 +204,13 @@ def links_missing_anchor(spark, sf_dir):
     return there.join(pages.select(F.col("path").alias("target"), "anchor"), ["target", "anchor"], "left_anti").select("path", "target", "anchor")
 
 
-@query("docs_orphan_page", "SELECT 'customers/' || c_custkey || '.md' AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 <> 0)")
+@query("docs_orphan_page", "SELECT 'customers/' || c_custkey || '.md' AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 <> 0 AND o_custkey % 11 <> 0)")
 def docs_orphan_page(spark, sf_dir):
     pages, links = link_graph(spark, sf_dir)
     return pages.where(F.col("path").startswith("customers/")).join(links.select(F.col("target").alias("path")), "path", "left_anti").select("path")
 
 
-@query("docs_inbound_links", "SELECT 'customers/' || o_custkey || '.md' AS target, count(*)::BIGINT AS links, min(o_orderkey)::BIGINT AS first_order FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_custkey")
+@query("docs_inbound_links", "SELECT 'customers/' || o_custkey || '.md' AS target, count(*)::BIGINT AS links, min(o_orderkey)::BIGINT AS first_order FROM orders WHERE o_orderkey % 7 <> 0 AND o_custkey % 11 <> 0 GROUP BY o_custkey")
 def docs_inbound_links(spark, sf_dir):
     """Pages with the links that point at them."""
     pages, links = link_graph(spark, sf_dir)
@@ -281,8 +280,6 @@ def applied(text: str, fixes: list[tuple[int, int, str]]) -> str:
 
 def fixed(documents: DataFrame, findings: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents with fixes applied; one row a document, its fixes as an array."""
-    import pyarrow as pa
-
     fixes = findings.where("fix IS NOT NULL").groupBy("doc_id").agg(F.collect_set("fix").alias("fixes"))
 
     @F.arrow_udf("string")

@@ -114,10 +114,10 @@ def language_hint(spark, sf_dir):
     return best.where((F.col("n") >= 4) & (F.col("english") * 4 < F.col("n")) & (hits >= 2) & (F.col("first.kinds") >= 2) & (hits * 8 >= F.col("n")) & (hits >= 2 * runner)).select("doc_id", F.col("first.lang").alias("language"), hits.cast("long").alias("hits"))
 
 
-@query("single_trailing_newline_raw", "SELECT doc_id, length(text)::BIGINT AS at FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '[^\\s]\\n$') AND regexp_matches(text, '[^\\s]')")
+@query("single_trailing_newline_raw", "SELECT doc_id, length(text)::BIGINT AS end_at FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '[^\\s]\\n$') AND regexp_matches(text, '[^\\s]')")
 def single_trailing_newline_raw(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.where((F.length("text") > 0) & ~F.col("text").rlike(r"[^\s]\n\z") & F.col("text").rlike(r"[^\s]")).select("doc_id", F.length("text").cast("long").alias("at"))
+    return d.where((F.length("text") > 0) & ~F.col("text").rlike(r"[^\s]\n\z") & F.col("text").rlike(r"[^\s]")).select("doc_id", F.length("text").cast("long").alias("end_at"))
 
 
 @query("recurring_names", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS word FROM documents)
