@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from ..functions.sentences import like, quoted
 from .registry import INFO, WARNING, Context, Finding, rule
-from .text import segments
+from .text import lower_text, segments
 
 BOTH = ("markdown", "code")
 I = re.I  # noqa: E741
@@ -117,10 +117,16 @@ def masked(s, a: int, b: int, c: Context) -> bool:
 def english_rule(name: str):
     compiled = [(re.compile(p, I if "A-Z" not in p and name not in ("NumberSuffixCapitalization",) else 0), new, level) for p, new, level in ENGLISH[name]]
 
+    # what group x can be, where that is a list of words: a text without any of them needs no pattern
+    parts = [re.search(r"\(\?P<x>(\(\?:)?([\w '|’?]+)\)", p) for p, _, _ in ENGLISH[name]]
+    needed = tuple({w.rstrip("?")[:-1] if "?" in w else w for m in parts if m for w in m[2].lower().split("|")}) if all(parts) else ()
+
     def check(c: Context):
-        if c.option("language", "en") != "en":
+        if c.option("language", "en") != "en" or (needed and not any(w in lower_text(c) for w in needed)):
             return
         for s in segments(c):
+            if needed and not any(w in s.text.lower() for w in needed):
+                continue
             flat = s.text.replace("\n", " ")
             for pattern, new, level in compiled:
                 for m in pattern.finditer(flat):

@@ -52,9 +52,16 @@ class Positions:
             self.starts.append(at + 1)
             at = text.find("\n", at + 1)
         self.ascii = text.isascii()
+        self.bytes = [0]
+        if not self.ascii:
+            for a, b in zip(self.starts, self.starts[1:]):
+                self.bytes.append(self.bytes[-1] + len(text[a:b].encode()))
 
     def byte(self, at: int) -> int:
-        return at if self.ascii else len(self.text[:at].encode())
+        if self.ascii:
+            return at
+        i = bisect_right(self.starts, at) - 1
+        return self.bytes[i] + len(self.text[self.starts[i] : at].encode())
 
     def line(self, at: int) -> tuple[int, int]:
         i = bisect_right(self.starts, at)
@@ -105,4 +112,8 @@ def lint(documents: DataFrame, rules: list[str] | None = None, config: dict | No
             yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
     chosen = documents.select(F.col("doc_id").cast("long"), "path", "kind", "code_lang", "text")
+    # rules cost far more than moving the texts: a few large splits are dealt out over the cluster
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    if len(names) > 8 and chosen.rdd.getNumPartitions() < 2 * cores:
+        chosen = chosen.repartition(4 * cores)
     return chosen.mapInArrow(made, FINDING)

@@ -6,11 +6,11 @@ import re
 from collections import Counter
 from functools import lru_cache
 
-from ..functions.sentences import quoted, sentences, words
+from ..functions.sentences import quoted, words
 from ..sources import lexicons
 from .prose import norm
 from .registry import INFO, OFF, WARNING, Context, Finding, rule
-from .text import sections, segments
+from .text import lower_text, sections, segments, sentences_of
 
 BOTH = ("markdown", "code")
 
@@ -21,7 +21,9 @@ def compiled(entries: tuple, kind: str) -> tuple:
     for number, (name, forms, own, not_after, instead) in enumerate(entries):
         if (own == "word") == (kind == "word"):
             parts = forms if own == "pattern" else [r"\s+".join(map(re.escape, f.split())) for f in forms]
-            out.append((number, name, re.compile(rf"(?<!\w)(?<!\w[-'’])(?:{'|'.join(parts)})(?![\w-])", re.I), re.compile(rf"\s+(?:{not_after})\b", re.I) if not_after else None, instead))
+            # a text without any needle of an entry cannot match it
+            needles = tuple(re.split(r"[\W]", f)[0] if own == "pattern" and len(re.split(r"\W", f)[0]) > 4 else "" if own == "pattern" else f.split()[-1] for f in forms)
+            out.append((needles, number, name, re.compile(rf"(?<!\w)(?<!\w[-'’])(?:{'|'.join(parts)})(?![\w-])", re.I), re.compile(rf"\s+(?:{not_after})\b", re.I) if not_after else None, instead))
     return tuple(out)
 
 
@@ -30,8 +32,11 @@ def hits(c: Context, kind: str):
     key = f"slop-{kind}"
     if key not in c.cache:
         c.cache[key] = []
+        entries = tuple(c.option("phrases", lexicons.PHRASES))
+        lower = lower_text(c)
+        usable = [e[1:] for e in compiled(entries, kind) if any(n in lower for n in e[0])]
         for s in segments(c):
-            found = [(m.start(), -m.end(), number, name, instead) for number, name, pattern, not_after, instead in compiled(tuple(c.option("phrases", lexicons.PHRASES)), kind) for m in pattern.finditer(s.text) if not (not_after and not_after.match(s.text, m.end()))]
+            found = [(m.start(), -m.end(), number, name, instead) for number, name, pattern, not_after, instead in usable for m in pattern.finditer(s.text) if not (not_after and not_after.match(s.text, m.end()))]
             at = 0
             for a, b, _, name, instead in sorted(found):
                 if a >= at:
@@ -100,15 +105,20 @@ HEDGES = frozenset([*MODALS[1:], *ADVERBS, "appear", "appears", "generally", "of
 DOUBLE = re.compile(rf"\b(?:(?:{'|'.join(MODALS)})\s+(?:{'|'.join(ADVERBS)})|(?:{'|'.join(ADVERBS)})\s+(?:{'|'.join(MODALS[1:])}))\b", re.I)
 
 
+HEDGE = re.compile(rf"\b(?:{'|'.join(sorted(HEDGES | set(MODALS)))})\b", re.I)
+
+
 @rule("slop/hedging", WARNING, BOTH)
 def hedging(c: Context):
     for s in segments(c):
-        for a, b in sentences(s.text):
+        if len(HEDGE.findall(s.text)) < 2:
+            continue
+        for a, b in sentences_of(c, s):
             part = s.text[a:b]
             if m := DOUBLE.search(part):
                 yield Finding(s.start + a + m.start(), s.start + a + m.end(), "doubled hedge")
                 continue
-            own = words(part)
+            own = words(part) if len(HEDGE.findall(part)) > 2 else []
             for i in range(len(own)):
                 near = [w for w in own[i : i + 12] if w[0].lower() in HEDGES]
                 if own[i][0].lower() in HEDGES and len({w[0].lower() for w in near}) >= 3:
@@ -150,15 +160,18 @@ def dont_verb_it(c: Context):
                 yield Finding(s.start + m.start(), s.start + m.end(), "don't-do-it formula")
 
 
-def runs(s):
+def runs(c: Context, s):
     """Sentences of a segment with their words."""
-    return [(a, b, [w[0].lower() for w in words(s.text[a:b])]) for a, b in sentences(s.text)]
+    known = c.cache.setdefault("runs", {})
+    if s.start not in known:
+        known[s.start] = [(a, b, [w[0].lower() for w in words(s.text[a:b])]) for a, b in sentences_of(c, s)]
+    return known[s.start]
 
 
 @rule("slop/echo-sentences", INFO)
 def echo(c: Context):
     for s in segments(c):
-        own = runs(s)
+        own = runs(c, s)
         for (_, _, x), (a, b, y) in zip(own, own[1:]):
             k = 0
             while k < min(len(x), len(y)) and x[-1 - k] == y[-1 - k]:
@@ -171,7 +184,7 @@ def echo(c: Context):
 def stacked_questions(c: Context):
     for s in segments(c):
         if not re.search(r"\?[.:?]|\?\s*[=&|]", s.text):
-            asked, own = [], list(sentences(s.text))
+            asked, own = [], sentences_of(c, s)
             for a, b in [*own, (0, 0)]:
                 if b and s.text[a:b].rstrip("\"'”’)").endswith("?"):
                     asked.append((a, b))
@@ -187,7 +200,7 @@ SAME_START = frozenset("a an and but he i if in it on or she that the there thes
 @rule("slop/anaphora", INFO)
 def anaphora(c: Context):
     for s in segments(c):
-        own, run = [x for x in runs(s) if x[2]], []
+        own, run = [x for x in runs(c, s) if x[2]], []
         for x in [*own, (0, 0, [""])]:
             if run and x[2][0] == run[-1][2][0] and x[2][0] not in SAME_START:
                 run.append(x)
@@ -200,7 +213,7 @@ def anaphora(c: Context):
 @rule("slop/stranded-auxiliary", INFO)
 def stranded(c: Context):
     for s in segments(c):
-        for a, b in sentences(s.text):
+        for a, b in sentences_of(c, s):
             m = re.search(r"(?:,|;| but| and) (?:it|they|we|he|she|this|that|most|others|some)(?: \w+)? (does|do|did|is|are|was|were|can|could|will|would|should|has|have)(?:n['’]t| not)?[.!]$", s.text[a:b], re.I)
             if m and not re.match(r"(?:if|when|while|although|unless|because)\b", s.text[a:b], re.I):
                 yield Finding(s.start + a + m.start(1), s.start + a + m.end(1), "clause ends on an auxiliary")

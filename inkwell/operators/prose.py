@@ -6,11 +6,11 @@ import re
 from collections import Counter
 from functools import lru_cache
 
-from ..functions.sentences import identifier_like, like, quoted, sentences, words
+from ..functions.sentences import identifier_like, like, quoted, words
 from ..functions.words import grade, syllables
 from ..sources import lexicons
 from .registry import INFO, OFF, WARNING, Context, Finding, rule
-from .text import sections, segments
+from .text import lower_text, sections, segments, sentences_of
 
 BOTH = ("markdown", "code")
 
@@ -122,7 +122,7 @@ def weasel(c: Context):
 
 def opening(c: Context, pattern: re.Pattern, message: str):
     for s in segments(c):
-        for a, b in sentences(s.text):
+        for a, b in sentences_of(c, s):
             if m := pattern.match(s.text[a:b]):
                 yield Finding(s.start + a, s.start + a + m.end(1), message)
 
@@ -141,7 +141,7 @@ def so_start(c: Context):
 def sentence_length(c: Context):
     most = c.option("max_sentence_words", 30)
     for s in segments(c):
-        for a, b in sentences(s.text):
+        for a, b in sentences_of(c, s):
             if (n := len(words(s.text[a:b]))) > most:
                 yield Finding(s.start + a, s.start + b, f"sentence has {n} words")
 
@@ -152,16 +152,20 @@ def readability(c: Context):
         body = [s for s in own if s.kind in ("paragraph", "item", "quote")]
         found = [w[0] for s in body for w in words(s.text)]
         if len(found) >= 100:
-            g = grade(len(found), sum(1 for s in body for _ in sentences(s.text)), sum(map(syllables, found)))
+            g = grade(len(found), sum(len(sentences_of(c, s)) for s in body), sum(map(syllables, found)))
             if g > c.option("max_grade", 12.0):
                 yield Finding(body[0].start, body[0].start + len(body[0].text), f"section reads at grade {g:.1f}")
 
 
 @rule("prose/consistency", INFO, BOTH)
 def consistency(c: Context):
-    for group in c.option("variants", lexicons.VARIANTS):
-        find = phrase_pattern(tuple(group))
-        hits = [(norm(m[0]), s.start + m.start(), s.start + m.end(), m[0]) for s in segments(c) for m in find.finditer(s.text)]
+    groups = c.option("variants", lexicons.VARIANTS)
+    group_of = {w: i for i, group in enumerate(groups) for w in group}
+    if not any(w in lower_text(c) for w in group_of):
+        return
+    every = [(norm(m[0]), s.start + m.start(), s.start + m.end(), m[0]) for s in segments(c) for m in phrase_pattern(tuple(group_of)).finditer(s.text)]
+    for i in {group_of[h[0]] for h in every}:
+        hits = [h for h in every if group_of[h[0]] == i]
         count = Counter(h[0] for h in hits)
         if len(count) > 1:
             first = {w: min(h[1] for h in hits if h[0] == w) for w in count}

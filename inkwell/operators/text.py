@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.sentences import sentences
 from .markdown import Segment
 from .registry import Context
 
@@ -20,6 +21,20 @@ def segments(c: Context) -> list[Segment]:
     return c.cache["segments"]
 
 
+def sentences_of(c: Context, s: Segment) -> list[tuple[int, int]]:
+    """Sentence spans of a segment, split once for all rules."""
+    known = c.cache.setdefault("sentences", {})
+    if s.start not in known:
+        known[s.start] = list(sentences(s.text))
+    return known[s.start]
+
+
+def lower_text(c: Context) -> str:
+    if "lower" not in c.cache:
+        c.cache["lower"] = c.text.lower()
+    return c.cache["lower"]
+
+
 def sections(c: Context) -> list[list[Segment]]:
     out: dict[int, list[Segment]] = {}
     for s in segments(c):
