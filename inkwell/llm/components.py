@@ -18,7 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written, so that Spark can split the join below where one node has very many edges
+    least = written(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
     joined = near.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -434,7 +434,9 @@ def links(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
     small_batches(spark)
     documents = documents.select(documents["doc_id"], documents["text"])
     profile = written(profiles(documents, settings), "near-profiles")
-    rep = profile.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+    # written, so that the join below is one that Spark can split where copies of one text fill a partition
+    rep = profile.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    rep = written(rep.where("copies > 1").drop("copies"), "near-copies")
     named = written(profile.join(rep, ["n", "f1", "f2"], "left").select("doc_id", "n", "counts", "spare", "spare_below", F.coalesce("rep", "doc_id").alias("rep")), "near-reps")
     alone = named.dropDuplicates(["doc_id"])
 
