@@ -617,3 +617,54 @@ def absolute_image(c: Context):
     for x in c.doc.links:
         if x.image and re.match(r"(?i)/(?!/)|~/|file:|[a-z]:[\\/]|\\\\", x.dest):
             yield Found(x.start, x.end, "image path is absolute")
+
+
+TOC_REGION = re.compile(r"<!--\s*toc\s*-->([\s\S]*?)<!--\s*(?:tocstop|/toc|endtoc)\s*-->", re.I)
+
+
+@rule("docs/toc-sync", WARNING, fixes=True)
+def toc_sync(c: Context):
+    """A table of contents must list the headings after it, once each and in their order."""
+    for region in TOC_REGION.finditer(c.text):
+        a, b = region.span(1)
+        entries = [x for x in c.doc.links if a <= x.start < b and x.dest.startswith("#")]
+        after = [h for h in c.doc.headings if h.start >= region.end()]
+        level = {h.anchor.lower(): h.level for h in after}
+        hit = [level[x.dest[1:].lower()] for x in entries if x.dest[1:].lower() in level]
+        low, high = (min(hit), max(hit)) if hit else (2, 3)
+        want = [h for h in after if low <= h.level <= high]
+        order = {h.anchor.lower(): i for i, h in enumerate(want)}
+        fixed = "\n" + "".join(f"{'  ' * (h.level - low)}- [{h.text}](#{h.anchor})\n" for h in want)
+        seen: set[str] = set()
+        last = -1
+        for x in entries:
+            key = x.dest[1:].lower()
+            if key not in order:
+                yield Found(x.start, x.end, "entry has no heading", fixed, fix_start=a, fix_end=b)
+            elif key in seen:
+                yield Found(x.start, x.end, "entry stands twice", fixed, fix_start=a, fix_end=b)
+            else:
+                if order[key] < last:
+                    yield Found(x.start, x.end, "entry is out of order", fixed, fix_start=a, fix_end=b)
+                last = max(last, order[key])
+                seen.add(key)
+        for h in want:
+            if h.anchor.lower() not in seen:
+                yield Found(region.start(), region.start() + len(c.text[region.start() :].split("\n", 1)[0]), f"{h.text!r} is not listed", fixed, fix_start=a, fix_end=b)
+
+
+@rule("md/front-matter-lang", INFO, fixes=True)
+def front_matter_lang(c: Context):
+    """Prose of another language than English without a declaration in the front matter."""
+    from ..sources.lexicons import FUNCTION_WORDS
+    from .text import segments
+
+    if c.doc.front is not None and re.search(r"(?m)^lang(?:uage)?\s*[:=]", c.doc.front):
+        return
+    words = [w.lower() for s in segments(c) for w in re.findall(r"[^\W\d_]+", s.text)]
+    hits = {lang: sum(w in set(FUNCTION_WORDS[lang]) for w in words) for lang in ("en", "fi", "sv")}
+    best = max(("fi", "sv"), key=lambda k: hits[k])
+    if len(words) >= 8 and hits[best] >= 4 and hits[best] >= 2 * max(v for k, v in hits.items() if k != best):
+        line = c.text.split("\n", 1)[0]
+        new = f"---\nlang: {best}\n---\n\n" if c.doc.front is None else f"---\nlang: {best}"
+        yield Found(0, len(line), f"text is in {best}, not declared", new, fix_start=0, fix_end=0 if c.doc.front is None else 3)

@@ -61,4 +61,9 @@ EXAMPLES: dict[str, list[str]] = {
     "links/duplicate-anchor": ["# One {#x}\n\n⟦# Two {#x}⟧\n", "# One {#x}\n\n# Two {#y}\n", "⟦# One {#two}⟧\n\n## Two\n"],
     "links/insecure": ["see ⟦[a](http://example.com)⟧\n", "see [a](https://example.com)\n", "see [a](http://localhost:80)\n", "[a][x]\n\n⟦[x]: http://example.com⟧\n"],
     "links/absolute-image-path": ["⟦![a](/img/a.png)⟧\n", "![a](img/a.png)\n", "⟦![a](C:/a.png)⟧\n", "![a](//host/a.png)\n"],
+    "docs/toc-sync": [
+        "<!-- toc -->\n- [A](#a)\n- [B](#b)\n<!-- tocstop -->\n\n## A\n\n## B\n", "<!-- toc -->\n- [A](#a)\n- ⟦[Old](#old)⟧\n<!-- tocstop -->\n\n## A\n", "⟦<!-- toc -->⟧\n- [A](#a)\n<!-- tocstop -->\n\n## A\n\n## B\n\n### C\n",
+        "<!-- toc -->\n- [B](#b)\n- ⟦[A](#a)⟧\n<!-- tocstop -->\n\n## A\n\n## B\n",
+    ],
+    "md/front-matter-lang": ["⟦Det är en bok som jag har och den är inte ny.⟧\n", "It is a book that I have and it is not new at all.\n", "---\nlang: sv\n---\n\nDet är en bok som jag har och den är inte ny.\n"],
 }
