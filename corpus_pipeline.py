@@ -11,23 +11,29 @@ from inkwell.llm import decontaminate, lines, mixing, near, quality
 from inkwell.llm.frames import table, written
 
 
+def hidden(docs: DataFrame, *columns: str) -> DataFrame:
+    """Only the named columns and, in one column, the whole row: other columns, whatever their names, meet no operator."""
+    return docs.select(*[docs[c] for c in columns], F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (score under 0.3) go."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, "quality_score").where("quality_score >= 0.3").select(*docs.columns)
+    return quality.with_score(hidden(docs, "text"), model).where("score >= 0.3").select("__row.*")
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated cross-site lines are cut out; a document that had text and has none left goes."""
-    out = lines.with_lines(docs)
+    out = lines.with_lines(hidden(docs, "doc_id", "text", "source"))
     blank = (F.size("lines_removed") > 0) & (F.trim("kept_text") == "")
     kept = out.where(~F.coalesce(blank, F.lit(False)))
-    return kept.select(*[F.col("kept_text").alias(c) if c == "text" else F.length(F.coalesce("kept_text", F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    new = {"text": F.col("kept_text"), "n_chars": F.length(F.coalesce("kept_text", F.lit(""))).cast("long")}
+    return kept.select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id stays, once."""
-    classes = near.classes(docs)
+    classes = near.classes(docs.select("doc_id", "text"))
     gone = written(classes.where("component_id <> doc_id").select("doc_id").distinct(), "near-gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # repeated rows of one id are one document; rows without an id are all kept
@@ -37,8 +43,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    out = decontaminate.with_overlaps(docs, table(spark, sf_dir, "benchmark"))
-    return out.where(F.size("overlaps") == 0).select(*docs.columns)
+    out = decontaminate.with_overlaps(hidden(docs, "text"), table(spark, sf_dir, "benchmark"))
+    return out.where(F.size("overlaps") == 0).select("__row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,8 +85,8 @@ def replicated(documents: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def mixed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The replicated documents in global random order, with ``mix_copies``, ``mix_copy`` and ``mix_key``."""
-    out = replicated(documents, settings)
+    """The replicated documents in global random order, with ``mix_copies``, ``mix_copy`` and ``mix_key`` (replacing columns of these names)."""
+    out = replicated(documents.drop("mix_copies", "mix_copy", "mix_key"), settings)
     key = uniform(settings.seed + 1, F.col("row.doc_id"), F.col("copy"))
     return out.select("row.*", F.col("copies").alias("mix_copies"), F.col("copy").alias("mix_copy"), key.alias("mix_key")).orderBy("mix_key")
 

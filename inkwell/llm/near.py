@@ -15,7 +15,7 @@ not paired with each other: first each is verified against the group's smallest
 members of different classes are then paired, in groups up to ``frequent``.
 
 Defined results: null and empty texts, and texts without words, have an empty set and no links. Documents under
-``size`` words have one shingle. Rows with a null id are no one's partner and get a null class. Repeated rows of one
+``size`` words have one shingle. Rows with a null id are no one's partner and get size 0 and a null class. Repeated rows of one
 id are one document. Extra columns are ignored.
 """
 

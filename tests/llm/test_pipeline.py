@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from inkwell.llm import queries
 
@@ -17,6 +19,12 @@ def test_stages(spark, sf_dir):
 def test_awkward_documents(spark, sf_dir):
     rows = [(None, None, None, None, None), (1, None, "en", None, 0), (1, None, "en", None, 0), (2, "", "en", "s", 0), (3, "a b c d e f g " * 5, "en", "s", 70), (4, "a b c d e f g " * 5, "en", "s", 70)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf_dir)
-        docs.collect()
+    clashing = docs
+    for name in ("score", "row", "key", "lines_removed", "kept_text", "overlaps", "n", "rep", "copies", "mix_key", "label", "rate", "u"):
+        clashing = clashing.withColumn(name, F.lit("kept"))
+    for start in (docs, clashing, docs.where("false")):
+        docs = start
+        for _, stage in corpus_pipeline.STAGES:
+            assert set(start.columns) <= set(docs.columns)
+            docs = stage(spark, docs, sf_dir)
+            assert all(r["score"] == "kept" for r in docs.collect() if "score" in docs.columns)
