@@ -1,11 +1,11 @@
 """Personal data: detected entities get keyed surrogates of the same type and format.
 
-Detected are e-mail addresses, telephone numbers, IPv4 addresses, payment cards (checksum valid), access keys,
+Detected are e-mail addresses, telephone numbers, IPv4 addresses, payment cards, account numbers (checksums valid), social security numbers, access keys,
 assigned passwords and tokens, and names of persons: a known given name with a surname, or a title with a surname.
 An entity's canonical form (lower-case address, digits of a number, surname) decides its surrogate, so one person or
 number has one surrogate in the whole corpus, however it is written; the surrogate is then written in the format of
 the place: letter case, separators, country code, title. Given names are replaced by names of the same gender and
-script, surnames by made-up ones of the same script, cards by numbers with a valid checksum.
+script, surnames by made-up ones of the same script, cards and accounts by numbers with a valid checksum.
 
 Surrogates come from HMAC-SHA256 of key, type, canonical form and attempt. A collision check over all distinct
 entities keeps them distinct and unlike any original: of several originals with one surrogate the first keeps it and
@@ -53,9 +53,11 @@ PATTERN = re.compile(
         r"(?P<access_key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))",
         r"(?P<password>(?i:(?:password|passwd|pwd)\s?[=:]\s?[\"']?)(?P<password_value>[^\s\"']{4,}))",
         r"(?P<token>(?i:(?:token|secret|api_?key)\s?[=:]\s?[\"']?)(?P<token_value>[A-Za-z0-9_-]{16,}))",
-        r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
+        r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
+        r"(?P<ssn>(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]))",
+        r"(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))",
         r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))",
-        r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\w))",
+        r"(?P<phone>(?<![\w+])\+\d(?:[ .()-]{0,2}\d){7,14}(?!\w)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\w))",
         rf"(?P<person>(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?:(?P<given>{'|'.join(_BY_NAME)}) )?(?P<surname>{_CAPITAL})|(?P<given2>{'|'.join(_BY_NAME)}) (?P<surname2>{_CAPITAL}))(?!\w))",
     ))
 )
@@ -81,6 +83,11 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def mod97(iban: str) -> int:
+    """Checksum of an account number, 1 if valid."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def script_of(word: str) -> str:
     c = ord(word[0])
     return "greek" if 0x370 <= c < 0x400 else "cyrillic" if 0x400 <= c < 0x530 else "latin"
@@ -92,7 +99,7 @@ def parts(text: str):
         return
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
-        kind = next(k for k in ("email", "access_key", "password", "token", "card", "ip", "phone", "person") if m[k] is not None)
+        kind = next(k for k in ("email", "access_key", "password", "token", "iban", "ssn", "card", "ip", "phone", "person") if m[k] is not None)
         if kind == "person":
             for g, name in (("given", "given"), ("given2", "given"), ("surname", "surname"), ("surname2", "surname")):
                 if m[g] is not None:
@@ -103,6 +110,12 @@ def parts(text: str):
             digits = re.sub(r"\D", "", m[0])
             if not luhn(digits):
                 yield kind, m.start(), m.end(), digits
+        elif kind == "iban":
+            plain = m[0].replace(" ", "")
+            if mod97(plain) == 1:
+                yield kind, m.start(), m.end(), plain
+        elif kind == "ssn":
+            yield kind, m.start(), m.end(), m[0].replace("-", "")
         elif kind == "phone":
             yield kind, m.start(), m.end(), ("+" if m[0][0] == "+" else "") + re.sub(r"\D", "", m[0])
         else:
@@ -152,6 +165,11 @@ def surrogate(key: str, kind: str, canonical: str, attempt: int = 0) -> str:
     if kind == "card":
         body = canonical[0] + "".join(_CLASSES[0][draw.below(10)] for _ in canonical[1:-1])
         return next(body + d for d in "0123456789" if not luhn(body + d))
+    if kind == "iban":
+        body = "".join((_CLASSES[0] if c.isdigit() else _CLASSES[2])[draw.below(10 if c.isdigit() else 26)] for c in canonical[4:])
+        return f"{canonical[:2]}{98 - mod97(canonical[:2] + '00' + body):02d}{body}"
+    if kind == "ssn":
+        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
     if kind == "access_key":
         return canonical[:4] + "".join((_CLASSES[0] + _CLASSES[2])[draw.below(36)] for _ in canonical[4:])
     if kind == "given":
@@ -166,9 +184,9 @@ def surrogate(key: str, kind: str, canonical: str, attempt: int = 0) -> str:
 
 def shaped(kind: str, place: str, new: str) -> str:
     """The surrogate in the format of its place."""
-    if kind in ("phone", "card"):
-        digits = iter(new.lstrip("+"))
-        return "".join(next(digits, "0") if c.isdigit() else c for c in place)
+    if kind in ("phone", "card", "ssn", "iban"):
+        own = iter(new.lstrip("+"))
+        return "".join(next(own, "0") if c.isalnum() else c for c in place)
     if kind == "email" and place != place.lower():
         head = "".join(n.upper() if o.isupper() else n for o, n in zip(place, new, strict=False))
         return head + new[len(head) :]
