@@ -141,3 +141,13 @@ def placeholders_missing(spark, sf_dir):
     return n.select("doc_id", F.explode(F.array_except(found("source"), found("target"))).alias("missing"))
 
 
+
+
+@query("sql_functions", "SELECT p_partkey AS doc_id, 'part-' || p_partkey AS slug, 3 AS syllables, 2::BIGINT AS sentences FROM part")
+def sql_functions(spark, sf_dir):
+    """The registered functions and table functions, from SQL."""
+    from ..functions.register import register
+
+    register(spark)
+    table(spark, sf_dir, "part").createOrReplaceTempView("inkwell_part")
+    return spark.sql("SELECT p_partkey AS doc_id, slugify('Part ' || p_partkey) AS slug, syllables('banana') AS syllables, count(*) AS sentences FROM inkwell_part, LATERAL sentences_of('See e.g. the boat. It sank!') GROUP BY ALL")
