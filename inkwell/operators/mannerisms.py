@@ -231,3 +231,30 @@ def not_but(c: Context):
     for s in segments(c):
         for m in re.finditer(r"\bnot (?!(?:just|only|merely|simply)\b)(?:\w+ ){1,5}?but (?:\w+)", s.text, re.I):
             yield Finding(s.start + m.start(), s.start + m.end(), "not X but Y")
+
+
+#: Promotional claims by language: superlatives, absolute words that make a claim of them, and fixed claims (fixed values).
+CLAIMS = {
+    "de": (r"(?:einzigartig\w*|revolutionär\w*|bahnbrechend\w*|unvergleichlich\w*)", r"(?:alle[nsr]?|jede[nrs]?|immer|perfekt\w*|garantiert)", r"auf das nächste Level|Ihr Partner für"),
+    "fr": (r"(?:unique|révolutionnaire|incomparable|incontournable)s?", r"(?:tous|toutes|toujours|parfait\w*|garanti\w*)", r"à portée de main|passez au niveau supérieur"),
+    "es": (r"(?:únic[oa]|revolucionari[oa]|incomparable|inigualable)s?", r"(?:tod[oa]s|siempre|perfect[oa]s?|garantizad[oa]s?)", r"lleva \w+ al siguiente nivel|no busques más"),
+    "pt": (r"(?:únic[oa]|revolucionári[oa]|incomparável|inigualável)", r"(?:tod[oa]s|sempre|perfeit[oa]s?|garantid[oa]s?)", r"ao próximo nível|não procure mais"),
+    "sv": (r"(?:unik\w*|revolutionerande|banbrytande|oslagbar\w*)", r"(?:alla|alltid|perfekt\w*|garanterat)", r"till nästa nivå|leta inte längre"),
+    "fi": (r"(?:ainutlaatui\w*|vallankumouksellis\w*|mullistava\w*|vertaansa vailla)", r"(?:kaikki\w*|aina|täydelli\w*|taatusti)", r"seuraavalle tasolle|älä etsi enempää"),
+}
+
+
+def claims(language: str):
+    top, absolute, fixed = CLAIMS[language]
+    both = re.compile(rf"\b{top}\b(?:(?!\n[ \t]*\n)[^.!?]){{1,80}}?\b{absolute}\b|\b{absolute}\b(?:(?!\n[ \t]*\n)[^.!?]){{1,80}}?\b{top}(?!\w)|\b(?:{fixed})\b", re.I)
+
+    @rule(f"slop/phrase/{language}", WARNING, BOTH)
+    def check(c: Context):
+        if c.option("language", "en") == language:
+            for s in segments(c):
+                for m in both.finditer(s.text):
+                    yield Finding(s.start + m.start(), s.start + m.end(), "promotional claim")
+
+
+for _language in CLAIMS:
+    claims(_language)

@@ -43,4 +43,10 @@ EXAMPLES: dict = {
     "style/repetition": ["This is ⟦the the⟧ end.\n", "This is the end.\n", "It is ⟦very\nVery⟧ good.\n"],
     "style/occurrence": (["A very old, ⟦very⟧ big boat.\n", "A very old boat.\n"], {"style_rules": [STYLE["style/occurrence"]]}),
     "style/capitalization": (["⟦# The big house⟧\n", "# The Big House\n"], {"style_rules": [STYLE["style/capitalization"]]}),
+    "slop/phrase/de": (["Das ist ⟦einzigartig und löst alle⟧ Fragen.\n", "Das ist ein Boot für alle.\n"], {"language": "de"}),
+    "slop/phrase/fr": (["Un outil ⟦unique pour tous⟧ les jours.\n", "Un outil pour tous.\n"], {"language": "fr"}),
+    "slop/phrase/es": (["Algo ⟦único para todos⟧ los días.\n", "Algo para todos.\n"], {"language": "es"}),
+    "slop/phrase/pt": (["Algo ⟦único para todos⟧ os dias.\n", "Algo para todos.\n"], {"language": "pt"}),
+    "slop/phrase/sv": (["Det är ⟦unikt för alla⟧ dagar.\n", "Det är för alla.\n", "Vi går ⟦till nästa nivå⟧ nu.\n"], {"language": "sv"}),
+    "slop/phrase/fi": (["Se on ⟦ainutlaatuinen ja aina⟧ hyvä.\n", "Se on aina hyvä.\n"], {"language": "fi"}),
 }
