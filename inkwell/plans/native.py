@@ -36,13 +36,26 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
 
+#: Documents of more lines get their offsets from a window: adding up inside the row copies the sums at every line.
+LINES_IN_ROW = 2000
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """(doc_id, line_no from 1, line)."""
+    return documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).alias("line_no"), "line")
+
+
 def lines_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 1, b_start, b_end, line): every line with its byte range. A window over one document's lines."""
+    """(doc_id, line_no from 1, b_start, b_end, line): every line with its byte range; ``doc_id`` must be unique."""
     split = documents.select("doc_id", F.split("text", "\n", -1).alias("all"))
-    # offsets by a running sum inside the row: no window, no shuffle
+    few, many = split.where(F.size("all") <= LINES_IN_ROW), split.where(F.size("all") > LINES_IN_ROW)
     ends = F.aggregate("all", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(x) + 1)))
-    zipped = split.select("doc_id", F.posexplode(F.arrays_zip(F.col("all").alias("line"), F.slice(ends, 1, F.size("all")).alias("at"))).alias("pos", "x"))
-    return zipped.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.col("x.at").alias("b_start"), (F.col("x.at") + F.octet_length("x.line")).alias("b_end"), F.col("x.line").alias("line"))
+    zipped = few.select("doc_id", F.posexplode(F.arrays_zip(F.col("all").alias("line"), F.slice(ends, 1, F.size("all")).alias("at"))).alias("pos", "x"))
+    short = zipped.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.col("x.at").alias("b_start"), F.col("x.line").alias("line"))
+    each = many.select("doc_id", F.posexplode("all").alias("pos", "line"))
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    long = each.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("long").alias("b_start"), "line")
+    return short.unionByName(long).select("doc_id", "line_no", "b_start", (F.col("b_start") + F.octet_length("line")).alias("b_end"), "line")
 
 
 LINES_SQL = """
@@ -62,7 +75,7 @@ n AS (SELECT *, lead(word) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS a
 SELECT doc_id, line_no::INTEGER AS line_no, pos::INTEGER AS pos, word FROM n WHERE lower(word) = lower(after) AND regexp_matches(word, '{WORD}')""")
 def doubled_words(spark, sf_dir):
     """Words repeated in a row: neighbours meet inside the row's array, so no window and no shuffle."""
-    line = lines_of(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.regexp_extract_all("line", F.lit(f"({WORD}|[^{LETTERS}\\s]+)"), F.lit(1)).alias("w"))
+    line = numbered(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.regexp_extract_all("line", F.lit(f"({WORD}|[^{LETTERS}\\s]+)"), F.lit(1)).alias("w"))
     pairs = line.where(F.size("w") > 1).select("doc_id", "line_no", F.posexplode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.when(F.lower(a) == F.lower(b), a))).alias("pos", "word"))
     return pairs.where(F.col("word").rlike(WORD)).select("doc_id", "line_no", (F.col("pos") + 1).alias("pos"), "word")
 
@@ -105,9 +118,12 @@ WHERE rank = 1 AND n.n >= 4 AND coalesce(e.hits, 0) * 4 < n.n AND r.hits >= 2 AN
 @query("language_hint", _hint_sql())
 def language_hint(spark, sf_dir):
     """Language by function words, or none: all counts stay inside the row."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(words(F.col("text")), F.lower).alias("w"))
+    every = sorted({w for ws in (*PROFILES.values(), FUNCTION_WORDS["en"]) for w in ws})
+    d = table(spark, sf_dir, "documents").select("doc_id", words(F.lower("text")).alias("all"))
+    # function words of any language first: the profiles then see a third of the words
+    d = d.select("doc_id", F.size("all").alias("n"), F.filter("all", lambda x: x.isin(every)).alias("w"))
     profile = lambda ws: F.filter("w", lambda x: x.isin(ws))
-    found = d.select("doc_id", F.size("w").alias("n"), F.size(profile(FUNCTION_WORDS["en"])).alias("english"), F.array(*[F.struct(F.lit(lang).alias("lang"), profile(ws).alias("hits")) for lang, ws in sorted(PROFILES.items())]).alias("all"))
+    found = d.select("doc_id", "n", F.size(profile(FUNCTION_WORDS["en"])).alias("english"), F.array(*[F.struct(F.lit(lang).alias("lang"), profile(ws).alias("hits")) for lang, ws in sorted(PROFILES.items())]).alias("all"))
     sized = found.select("doc_id", "n", "english", F.transform("all", lambda x: F.struct((-F.size(x["hits"])).alias("minus"), x["lang"].alias("lang"), F.size(F.array_distinct(x["hits"])).alias("kinds"))).alias("all"))
     best = sized.select("doc_id", "n", "english", F.array_sort("all").alias("all")).select("doc_id", "n", "english", F.col("all")[0].alias("first"), F.col("all")[1].alias("second"))
     hits, runner = -F.col("first.minus"), -F.col("second.minus")
@@ -203,10 +219,12 @@ def spelling_unknown(spark, sf_dir):
 c AS (SELECT b.word, k.word AS suggestion, row_number() OVER (PARTITION BY b.word ORDER BY k.n DESC, k.word) AS rank FROM bad b JOIN known k ON abs(length(b.word) - length(k.word)) <= 1 AND substr(k.word, 1, 2) = substr(b.word, 1, 2) AND levenshtein(b.word, k.word) = 1)
 SELECT word, suggestion, rank::INTEGER AS rank FROM c WHERE rank <= 3"""))
 def spelling_suggest(spark, sf_dir):
-    """Best three known words one edit away: blocked by the first two letters and verified by edit distance."""
+    """Best three known words one edit away; words meet on a word with one letter deleted, so that no common block of words is paired."""
     n = english_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    known = n.where("n >= 5").select(F.col("word").alias("suggestion"), "n", F.substring("word", 1, 2).alias("block"))
-    bad = n.where("n = 1").where(F.length("word").between(4, 9)).select("word", F.substring("word", 1, 2).alias("block"))
-    near = bad.join(known, "block").where((F.abs(F.length("word") - F.length("suggestion")) <= 1) & (F.levenshtein("word", "suggestion", 1) == 1))
+    keys = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))))
+    known = n.where("n >= 5").select(F.col("word").alias("suggestion"), "n", F.explode(keys(F.col("word"))).alias("key"))
+    bad = n.where("n = 1").where(F.length("word").between(4, 9)).select("word", F.explode(keys(F.col("word"))).alias("key"))
+    near = bad.join(known, "key").select("word", "suggestion", "n").distinct()
+    near = near.where((F.substring("word", 1, 2) == F.substring("suggestion", 1, 2)) & (F.levenshtein("word", "suggestion", 1) == 1))
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "suggestion"))
     return near.withColumn("rank", rank).where("rank <= 3").select("word", "suggestion", "rank")
