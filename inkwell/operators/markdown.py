@@ -168,7 +168,11 @@ class Document:
         self.html_blocks: list[tuple[int, int]] = []
         self.front: str | None = None
         self.comments = [(m.start(), m.end()) for m in COMMENT.finditer(text)]
+        self._number: dict[int, int] = {}
+        self._repeats: dict[str, int] = {}
         self._blocks()
+        self.item_lines = {i.line for i in self.items}
+        self.heading_lines = {h.line for h in self.headings}
         self._inline()
         self._segments: list[Segment] | None = None
 
@@ -194,6 +198,11 @@ class Document:
                     self.front = "\n".join(x.text for x in lines[1:j])
                     i = j + 1
                     break
+        commented = bytearray(len(self.text) + 1)
+        for a, b in self.comments:
+            commented[a:b] = b"\1" * (b - a)
+        anchors: set[str] = set()
+        self._anchors = anchors
         stack: list[list[Item]] = []  # open lists, outermost first
         paragraph = False
         while i < n:
@@ -209,7 +218,7 @@ class Document:
                 i += 1
                 continue
             indent = len(inner) - len(inner.lstrip(" \t")) + 3 * (len(inner) - len(inner.lstrip(" \t")) and inner[: len(inner) - len(inner.lstrip(" \t"))].count("\t"))
-            if any(a <= line.start < b for a, b in self.comments):
+            if commented[line.start]:
                 line.html = True
                 i += 1
                 continue
@@ -299,10 +308,14 @@ class Document:
             explicit, raw = m[1], raw[: m.start()]
         text = plain(raw)
         anchor = explicit or slug(text)
-        used = {h.anchor for h in self.headings if h.explicit is None}
-        base, k = anchor, 1
-        while explicit is None and anchor in used:
-            anchor, k = f"{base}-{k}", k + 1
+        base = anchor
+        if explicit is None:
+            k = self._repeats.get(base, 0)
+            while anchor in self._anchors:
+                k += 1
+                anchor = f"{base}-{k}"
+            self._repeats[base] = k
+            self._anchors.add(anchor)
         self.headings.append(Heading(level, text, line.start + line.body, line.end, i, setext, explicit, anchor))
 
     def _item(self, i: int, m: re.Match, stack: list[list[Item]]) -> list[list[Item]]:
@@ -320,8 +333,9 @@ class Document:
         elif not stack:
             stack = [[]]
         if not stack[-1]:
+            self._number[id(stack[-1])] = len(self.lists)
             self.lists.append(stack[-1])
-        item.depth, item.list_id = len(stack) - 1, next(k for k, x in enumerate(self.lists) if x is stack[-1])
+        item.depth, item.list_id = len(stack) - 1, self._number[id(stack[-1])]
         stack[-1].append(item)
         self.items.append(item)
         return stack
@@ -351,9 +365,15 @@ class Document:
         self.links: list[Link] = []
         labels = {d[0] for d in self.ref_defs}
         taken: list[tuple[int, int]] = []
+        cover, covered = bytearray(len(text) + 1), 0
+        starts = {i.start for i in self.items}
 
         def free(a: int, b: int) -> bool:
-            return not any(x < b and a < y for x, y in taken)
+            nonlocal covered
+            for x, y in taken[covered:]:
+                cover[x:y] = b"\1" * (y - x)
+            covered = len(taken)
+            return not any(cover[a:b])
 
         for m in AUTOLINK.finditer(text):
             self.links.append(Link("autolink", False, m[1], m[1], m.start(), m.end(), m.start(1), "", m.start(1)))
@@ -372,16 +392,19 @@ class Document:
                 if "](" in m[2]:
                     queue.append((base + m.start(2), m[2]))
         self.undefined: list[Link] = []
+        where = {}
+        for d in self.ref_defs:
+            where.setdefault(d[0], d[1])
         for m in REFERENCE.finditer(text):
             if free(m.start(), m.end()) and not text[m.start(2)] == "^":
                 label = label_of(m[3] or m[2])
-                link = Link("reference", bool(m[1]), next((d[1] for d in self.ref_defs if d[0] == label), ""), m[2], m.start(), m.end(), m.start(2), label)
+                link = Link("reference", bool(m[1]), where.get(label, ""), m[2], m.start(), m.end(), m.start(2), label)
                 (self.links if label in labels else self.undefined).append(link)
                 taken.append((m.start(), m.end()))
         for m in SHORTCUT.finditer(text):
             label = label_of(m[2])
             if label in labels and free(m.start(), m.end()):
-                self.links.append(Link("reference", bool(m[1]), next(d[1] for d in self.ref_defs if d[0] == label), m[2], m.start(), m.end(), m.start(2), label))
+                self.links.append(Link("reference", bool(m[1]), where[label], m[2], m.start(), m.end(), m.start(2), label))
                 taken.append((m.start(), m.end()))
         tag_spans = [(a, b) for _, _, a, b in self.tags]
         for name, attrs, a, _ in self.tags:
@@ -389,19 +412,18 @@ class Document:
                 g = 2 if m[2] is not None else 3
                 at = a + 1 + len(name) + m.start(g)
                 self.links.append(Link("html", name == "img", m[g], "", at, at + len(m[g]), at, "", at))
-        defs = [(a, b) for _, _, a, b in self.ref_defs]
+        held = bytearray(len(text) + 1)
+        for a, b in [*tag_spans, *((a, b) for _, _, a, b in self.ref_defs)]:
+            held[a:b] = b"\1" * (b - a)
         for m in BARE.finditer(text):
-            if free(m.start(), m.end()) and not any(x <= m.start() < y for x, y in tag_spans + defs):
+            if free(m.start(), m.end()) and not held[m.start()]:
                 self.links.append(Link("bare", False, m[0] if "://" in m[0] else "https://" + m[0], m[0], m.start(), m.end(), m.start(), "", m.start()))
         self.links.sort(key=lambda x: x.start)
         self.note_refs = [(m[1].lower(), m.start(), m.end()) for m in NOTE_REF.finditer(text)]
         masked = self._mask(text, taken)
         self.strong = [(m[1] or m[3], m.start(), m.end()) for m in STRONG.finditer(masked)]
         rest = re.sub(r"\*\*|__", "\x01\x01", masked)
-        self.emphasis = [(m[1] or m[3], m.start(), m.end()) for m in EMPHASIS.finditer(rest) if not self._marker(m.start())]
-
-    def _marker(self, at: int) -> bool:
-        return any(i.start == at for i in self.items)
+        self.emphasis = [(m[1] or m[3], m.start(), m.end()) for m in EMPHASIS.finditer(rest) if m.start() not in starts]
 
     # prose
 

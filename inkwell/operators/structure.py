@@ -62,6 +62,10 @@ def list_marker(c: Context):
 @rule("md/list-indent", WARNING)
 def list_indent(c: Context):
     step = None
+    parents, last = {}, {}
+    for i in c.doc.items:
+        parents[i.start] = last.get(i.depth - 1)
+        last[i.depth] = i
     for items in c.doc.lists:
         first = items[0]
         right = {i.column + len(i.marker) for i in items}
@@ -71,7 +75,7 @@ def list_indent(c: Context):
         if first.depth == 0 and first.column:
             yield Found(first.start, first.start + len(first.marker), "top-level list is indented")
         elif first.depth and first.number is None:
-            parent = [i for i in c.doc.items if i.start < first.start and i.depth == first.depth - 1][-1]
+            parent = parents[first.start]
             if parent.number is None:
                 own = first.column - parent.column
                 step = step or own
@@ -130,7 +134,7 @@ def heading_start_left(c: Context):
     for h in c.doc.headings:
         x = c.doc.lines[h.line]
         lead = len(x.inner) - len(x.inner.lstrip(" "))
-        if lead and not any(i.line == h.line for i in c.doc.items):
+        if lead and h.line not in c.doc.item_lines:
             at = x.start + x.body
             yield Found(at, at + lead, "heading is indented", None if h.setext else "")
 
@@ -188,17 +192,18 @@ def blanks_fences(c: Context):
 def blanks_lists(c: Context):
     doc = c.doc
     tops = [i for i in doc.items if i.depth == 0]
+    list_at = {i.line: i.list_id for i in doc.items}
     for k, item in enumerate(tops):
         before = item.line - 1
         new = k == 0 or item.list_id != tops[k - 1].list_id
-        if new and item.line and not line_blank(doc, before) and not any(i.line == before for i in doc.items) and doc.lines[before].depth >= doc.lines[item.line].depth and not doc.lines[before].inner.startswith(" "):
+        if new and item.line and not line_blank(doc, before) and before not in doc.item_lines and doc.lines[before].depth >= doc.lines[item.line].depth and not doc.lines[before].inner.startswith(" "):
             x = doc.lines[item.line]
             yield Found(x.start, x.end, "list needs a blank line before it", "\n", fix_start=x.start, fix_end=x.start)
         if k + 1 == len(tops) or tops[k + 1].list_id != item.list_id:
             last = item.line
-            while last + 1 < len(doc.lines) and not line_blank(doc, last + 1) and (doc.lines[last + 1].inner.startswith((" ", "\t")) or any(i.line == last + 1 and i.list_id >= item.list_id for i in doc.items)):
+            while last + 1 < len(doc.lines) and not line_blank(doc, last + 1) and (doc.lines[last + 1].inner.startswith((" ", "\t")) or list_at.get(last + 1, -1) >= item.list_id):
                 last += 1
-            if last + 1 < len(doc.lines) and not line_blank(doc, last + 1) and (any(h.line == last + 1 for h in doc.headings) or doc.lines[last + 1].code or doc.lines[last + 1].table or last + 1 in doc.rules):
+            if last + 1 < len(doc.lines) and not line_blank(doc, last + 1) and (last + 1 in doc.heading_lines or doc.lines[last + 1].code or doc.lines[last + 1].table or last + 1 in doc.rules):
                 x = doc.lines[last]
                 yield Found(x.start, x.end, "list needs a blank line after it", "\n", fix_start=doc.lines[last + 1].start, fix_end=doc.lines[last + 1].start)
 
@@ -214,7 +219,7 @@ def bare_urls(c: Context):
 def emphasis_heading(c: Context):
     for i, x in prose_lines(c.doc):
         m = re.fullmatch(r"(\*\*|__|\*|_)([^*_]+)\1", x.text.strip())
-        if m and not x.depth and not x.table and line_blank(c.doc, i - 1) and line_blank(c.doc, i + 1) and m[2].strip()[-1] not in ".,;:!?" and not any(t.line == i for t in c.doc.items):
+        if m and not x.depth and not x.table and line_blank(c.doc, i - 1) and line_blank(c.doc, i + 1) and m[2].strip()[-1] not in ".,;:!?" and i not in c.doc.item_lines:
             at = x.start + x.text.index(x.text.strip())
             yield Found(at, at + len(x.text.strip()), "emphasis instead of a heading")
 
@@ -391,15 +396,17 @@ def hr_style(c: Context):
 
 @rule("md/no-space-in-emphasis", WARNING, fixes=True)
 def space_in_emphasis(c: Context):
+    first = {}
+    for t in c.doc.items:
+        first.setdefault(t.line, t.start)
+    rules = set(c.doc.rules)
     for i, x in prose_lines(c.doc):
-        if x.html or i in c.doc.rules:
+        if x.html or i in rules:
             continue
         line = c.doc.prose[x.start : x.end]
-        skip = next((t.start - x.start + 1 for t in c.doc.items if t.line == i), 0)
+        skip = first[i] - x.start + 1 if i in first else 0
         for m in re.finditer(r"(?<![\w*_\\])(\*{1,3}|_{1,3})(?![*_])(\s*)([^*_\n]*?[^\W_][^*_\n]*?)(\s*)\1(?![\w*_])", line[skip:]):
             if m[2] or m[4]:
-                if m[2] and m[4] and len(m[1]) == 1 and m[1] == "*" and m.start() and line[skip + m.start() - 1] == " ":
-                    pass
                 at = x.start + skip
                 yield Found(at + m.start(), at + m.end(), "spaces inside emphasis", m[1] + m[3].strip() + m[1])
 
