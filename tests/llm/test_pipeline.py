@@ -28,3 +28,47 @@ def test_awkward_documents(spark, sf_dir):
             assert set(start.columns) <= set(docs.columns)
             docs = stage(spark, docs, sf_dir)
             assert all(r["score"] == "kept" for r in docs.collect() if "score" in docs.columns)
+
+
+def lines_by_force(docs):
+    """doc_id -> text after the first occurrence of each line on five sites or more stays and the others go."""
+    sites, first = {}, {}
+    for d in sorted(docs, key=lambda d: d["doc_id"]):
+        for pos, raw in enumerate((d["text"] or "").split("\n") if d["text"] else []):
+            line = raw.strip(" ")
+            if len(line) >= 12:
+                sites.setdefault(line, set()).add(d["source"])
+                first.setdefault(line, (d["doc_id"], pos))
+    out = {}
+    for d in docs:
+        kept = [raw for pos, raw in enumerate((d["text"] or "").split("\n")) if len(sites.get(raw.strip(" "), ())) < 5 or first[raw.strip(" ")] == (d["doc_id"], pos)]
+        if not d["text"] or "".join(kept).strip():
+            out[d["doc_id"]] = "\n".join(kept) if d["text"] else d["text"]
+    return out
+
+
+def test_stages_by_force(spark, sf_dir):
+    from tests.llm.test_operators import classes_by_force
+
+    from inkwell.llm import mixing
+
+    start = queries.table(spark, sf_dir, "documents").where("doc_id < 120").cache()
+    given = [r.asDict() for r in start.collect()]
+    cut = corpus_pipeline.cut_lines(spark, start, sf_dir).cache()
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == lines_by_force(given)
+    one = corpus_pipeline.keep_one(spark, cut, sf_dir).cache()
+    classes = classes_by_force({r["doc_id"]: r["text"] for r in cut.collect()})
+    assert {r["doc_id"] for r in one.collect()} == {i for i, (_, c) in classes.items() if c == i}
+    items = [" ".join(__import__("re").findall(r"[^\W_]+", r["text"].lower())) for r in queries.table(spark, sf_dir, "benchmark").collect()]
+    clean = corpus_pipeline.drop_benchmark(spark, one, sf_dir).cache()
+    left = {r["doc_id"] for r in clean.collect()}
+    for r in one.collect():
+        text = " ".join(__import__("re").findall(r"[^\W_]+", r["text"].lower()))
+        if any(f" {i} " in f" {text} " for i in items):
+            assert r["doc_id"] not in left
+        elif not any(" ".join(i.split()[k : k + 8]) in text for i in items for k in range(max(1, len(i.split()) - 7))):
+            assert r["doc_id"] in left
+    mixed = corpus_pipeline.mix_sources(spark, clean, sf_dir).collect()
+    rate = {r["source_key"]: r["rate"] for r in mixing.rates(clean).collect()}
+    assert abs(sum(rate[r["source"]] for r in clean.collect()) - len(left)) < 1e-6
+    assert {r["doc_id"] for r in mixed} <= left and [r["mix_key"] for r in mixed] == sorted(r["mix_key"] for r in mixed)
