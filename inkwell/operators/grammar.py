@@ -14,7 +14,7 @@ from ..functions.sentences import like, quoted
 from .registry import INFO, WARNING, Context, Finding, rule
 from .text import lower_text, segments
 
-BOTH = ("markdown", "code")
+BOTH = ("markdown", "code", "gettext")
 I = re.I  # noqa: E741
 NEXT = r"[ \t]*\n?[ \t]*(?<=\s)"  # the gap between neighbouring words
 

@@ -86,7 +86,10 @@ def row(doc_id, path, text: str, where: Positions, name: str, severity: int, f)
 
 
 def lint(documents: DataFrame, rules: list[str] | None = None, config: dict | None = None, levels: dict[str, int] | None = None) -> DataFrame:
-    """Findings of ``documents(doc_id, path, kind, code_lang, text)``; without ``rules`` all that are on by default."""
+    """Findings of ``documents(doc_id, path, kind, code_lang, text)``; without ``rules`` all that are on by default.
+
+    Where there is a column ``language``, it chooses the grammar of each document.
+    """
     from . import all_rules
 
     known = all_rules()
@@ -102,16 +105,18 @@ def lint(documents: DataFrame, rules: list[str] | None = None, config: dict | No
         all_rules()
         for batch in batches:
             out = []
-            for doc_id, path, kind, lang, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for doc_id, path, kind, lang, text, language in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if text is None:
                     continue
-                context, where = Context(text, path or "", kind or "markdown", lang or "", options), None
+                own = options if language is None else {**options, "language": language}
+                context, where = Context(text, path or "", kind or "markdown", lang or "", own), None
                 for name, f in run(names, context):
                     where = where or Positions(text)
                     out.append(row(doc_id, path, text, where, name, level[name], f))
             yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
-    chosen = documents.select(F.col("doc_id").cast("long"), "path", "kind", "code_lang", "text")
+    language = documents["language"] if "language" in documents.columns else F.lit(None).cast("string")
+    chosen = documents.select(documents["doc_id"].cast("long"), "path", "kind", "code_lang", "text", language.alias("language"))
     # rules cost far more than moving the texts: a few large splits are dealt out over the cluster
     cores = documents.sparkSession.sparkContext.defaultParallelism
     if len(names) > 8 and chosen.rdd.getNumPartitions() < 2 * cores:

@@ -12,7 +12,7 @@ from .prose import norm
 from .registry import INFO, OFF, WARNING, Context, Finding, rule
 from .text import lower_text, sections, segments, sentences_of
 
-BOTH = ("markdown", "code")
+BOTH = ("markdown", "code", "gettext")
 
 
 @lru_cache(maxsize=8)

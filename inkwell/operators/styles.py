@@ -11,7 +11,7 @@ from ..functions.words import recased
 from .registry import WARNING, Context, Finding, rule
 from .text import segments
 
-BOTH = ("markdown", "code")
+BOTH = ("markdown", "code", "gettext")
 KEYS = frozenset("name kind tokens swap regex ignore_case max case exceptions scope message level".split())
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.sentences import sentences
 from .markdown import Segment
 from .registry import Context
@@ -16,11 +18,27 @@ def segments(c: Context) -> list[Segment]:
             from .comments import blocks_of, prose_of
 
             c.cache["segments"] = [Segment("comment", a, t, i) for i, b in enumerate(blocks_of(c)) for a, t in prose_of(c, b)]
+        elif c.kind == "gettext":
+            c.cache["segments"] = catalog_segments(c)
         else:
             c.cache["segments"] = []
     return c.cache["segments"]
 
 
+def catalog_segments(c: Context) -> list[Segment]:
+    """Prose of a catalog: translations, or messages of a template or an English catalog; keys, copies and escaped texts are none."""
+    from .catalogs import catalog_of, live
+
+    source = c.path.endswith(".pot") or catalog_of(c).fields.get("Language", "").split("_")[0] == "en"
+    out = []
+    for i, e in enumerate(live(c)):
+        key = re.fullmatch(r"[A-Za-z0-9]+(?:[._:][A-Za-z0-9_]+)+", e.id.value)
+        for t in [e.id, e.plural] if source else e.strs.values():
+            if t and t.value.strip() and not key and (source or t.value != e.id.value) and c.text[t.start + 1 : t.end - 1] == t.value:
+                out.append(Segment("message", t.start + 1, t.value, i))
+    return out
+
+
 def sentences_of(c: Context, s: Segment) -> list[tuple[int, int]]:
     """Sentence spans of a segment, split once for all rules."""
     known = c.cache.setdefault("sentences", {})

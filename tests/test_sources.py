@@ -99,3 +99,14 @@ def test_watch(spark, tmp_path):
     assert state.now["documents"].count() == 2
     state.batch(first.where("false"), 0)  # a batch that comes again
     assert state.now["documents"].count() == 2
+
+
+def test_language_column(spark):
+    d = docs(spark, a="Wir sehen das Hund.\n", b="Wir sehen das Hund.\n").selectExpr("*", "CASE WHEN doc_id = 0 THEN 'de' END AS language")
+    assert [(r["doc_id"], r["rule"]) for r in lint(d, ["grammar/de/ArticleAgreement"]).collect()] == [(0, "grammar/de/ArticleAgreement")]
+
+
+def test_catalog_prose(spark):
+    text = 'msgid ""\nmsgstr "Language: en\\n"\n\nmsgid "It is a apple"\nmsgstr ""\n\nmsgid "key.name"\nmsgstr ""\n'
+    d = spark.createDataFrame([(0, "en.po", "gettext", "", text)], "doc_id long, path string, kind string, code_lang string, text string")
+    assert [(r["line"], r["col"], r["text"]) for r in lint(d, ["grammar/AnA"]).collect()] == [(4, 14, "a")]
