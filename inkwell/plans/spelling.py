@@ -182,3 +182,60 @@ def flattened_wraps(spark, sf_dir):
     """Soft line ends become spaces, except before a blank line, a bullet or a number."""
     text = F.lit("one\ntwo\n\nthree\n- four")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.regexp_replace(text, r"(?<!\n)\n(?!\n|[ \t]*(?:[-*+]|\d+[.)])[ \t])", " ").alias("text"))
+
+
+STRETCH = {"de": "der die das und ist nicht ein eine mit von zu den dem des auf".split(), "es": "el la los las de que y en un una por con para del se".split(), "fr": "le la les des et est dans un une pour que qui pas sur au".split()}
+
+
+def _stretch_sql() -> str:
+    hits = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in ws)}))) AS {lang}" for lang, ws in STRETCH.items())
+    return f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?,;:\\n]+')) AS phrase, generate_subscripts(regexp_extract_all(text, '[^.!?,;:\\n]+'), 1) AS pos FROM documents),
+w AS (SELECT doc_id, pos, list_transform(regexp_extract_all(phrase, '[A-Za-zÀ-ÖØ-öø-ÿ]+'), lambda x: lower(x)) AS w FROM p),
+n AS (SELECT doc_id, pos, len(w) AS n, {hits}, len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in ENGLISH_STOP)}))) AS en FROM w WHERE len(w) >= 6),
+b AS (SELECT *, greatest(de, es, fr) AS best, de + es + fr - greatest(de, es, fr) - least(de, es, fr) AS second FROM n)
+SELECT doc_id, pos::INTEGER AS pos, CASE WHEN de = best THEN 'de' WHEN es = best THEN 'es' ELSE 'fr' END AS language, best::BIGINT AS hits FROM b WHERE best >= 2 AND best * 4 >= n AND best >= 2 * en AND best >= 2 * second"""
+
+
+@query("foreign_stretches", _stretch_sql())
+def foreign_stretches(spark, sf_dir):
+    """Phrases of six words or more that read as another language: function words of one language outweigh all others twice."""
+    p = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([^.!?,;:\n]+)"), F.lit(1))).alias("pos", "phrase"))
+    w = p.select("doc_id", (F.col("pos") + 1).alias("pos"), F.regexp_extract_all(F.lower("phrase"), F.lit("([a-zß-öø-ÿ]+)"), F.lit(1)).alias("w")).where("size(w) >= 6")
+    n = w.select("doc_id", "pos", F.size("w").alias("n"), *[F.size(F.filter("w", _among(ws))).alias(k) for k, ws in STRETCH.items()], F.size(F.filter("w", _among(ENGLISH_STOP))).alias("en"))
+    best = F.greatest(*STRETCH)
+    b = n.withColumn("best", best).withColumn("second", F.col("de") + F.col("es") + F.col("fr") - best - F.least(*STRETCH))
+    kept = b.where("best >= 2 AND best * 4 >= n AND best >= 2 * en AND best >= 2 * second")
+    return kept.select("doc_id", "pos", F.when(F.col("de") == F.col("best"), "de").when(F.col("es") == F.col("best"), "es").otherwise("fr").alias("language"), F.col("best").cast("long").alias("hits"))
+
+
+def _among(words: list[str]):
+    return lambda x: x.isin(words)
+
+
+def proper_names(tokens: DataFrame) -> DataFrame:
+    """(doc_id, name): names of persons by their neighbours: a title before a capitalised word, or two capitalised words of which the first is a given name."""
+    by = Window.partitionBy("doc_id").orderBy("place")
+    near = tokens.withColumn("before", F.lag("word").over(by)).withColumn("after", F.lead("word").over(by))
+    capital = F.col("word").rlike(r"^[A-ZÀ-Þ][a-zß-ÿ]+$")
+    titled = F.col("before").isin("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Señor", "Madame")
+    return near.where(capital & titled).select("doc_id", F.col("word").alias("name"))
+
+
+@query("person_names", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'Berg' ELSE 'Lund' END AS name FROM part")
+def person_names(spark, sf_dir):
+    text = F.concat(F.lit("Yesterday "), F.when(F.col("p_partkey") % 2 == 0, "Mr Berg").otherwise("Frau Lund"), F.lit(" saw the Big Boat"))
+    tokens = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(F.split(text, " ")).alias("place", "word"))
+    return proper_names(tokens)
+
+
+def identifiers(text: Column) -> Column:
+    """Words that a text uses as names: in code spans, addresses, link targets and HTML attributes."""
+    spans = F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), F.lit(1))
+    urls = F.regexp_extract_all(text, F.lit(r"(?:https?://|\]\()([^\s)>]+)"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(F.concat(spans, urls), lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"([a-z][a-z0-9]+)"), F.lit(1)))))
+
+
+@query("file_identifiers", "SELECT p_partkey AS doc_id, unnest(['frobnicate', 'https', 'example', 'com', 'qux']) AS word FROM part")
+def file_identifiers(spark, sf_dir):
+    text = F.concat(F.lit("Use `frobnicate` as in [x](https://example.com/qux) "), "p_name")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.explode(identifiers(text)).alias("word"))
