@@ -23,10 +23,11 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 
 @lru_cache(maxsize=1)
 def _libc():
-    """The C library, told once to give large arrays back to the system when they are freed (glibc only)."""
+    """The C library, told once to keep freed arrays for the next block until ``trim`` (glibc only): fresh pages cost more than the sums."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
         return libc
     except (OSError, AttributeError):
         return None
@@ -143,7 +144,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs, raw
 
 
-def blocks(batches: Iterable[pa.RecordBatch], most: int = 1 << 19, ids: int = 0, text: int = 1) -> Iterator[Block]:
+def blocks(batches: Iterable[pa.RecordBatch], most: int = 1 << 18, ids: int = 0, text: int = 1) -> Iterator[Block]:
     """Blocks of about ``most`` bytes; a longer document is a block alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -167,7 +168,7 @@ _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
 
 
-def column_blocks(column: pa.Array, most: int = 1 << 19) -> Iterator[Block]:
+def column_blocks(column: pa.Array, most: int = 1 << 18) -> Iterator[Block]:
     """Blocks of one string column; ``ids`` are the row numbers."""
     return blocks([pa.RecordBatch.from_arrays([pa.array(np.arange(len(column))), column], names=["id", "text"])], most)
 
