@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tables
 from .engine import query, table
+from .native import deletion_keys
 
 FOUND = ["doc_id", "rule", "line", "b_start", "b_end", "text"]
 
@@ -20,12 +21,13 @@ def missing_files(links: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def suggestions(missing: DataFrame, paths: DataFrame, most: int = 2) -> DataFrame:
-    """Up to three near paths of a missing one: same folder, by edit distance of the name without case."""
+    """Up to three near paths of a missing one: same folder, by edit distance of the name without case; names meet on what is left with up to ``most`` letters deleted."""
     parts = lambda c: (F.regexp_extract(c, r"^(.*?)[^/]*$", 1), F.lower(F.substring_index(c, "/", -1)))
     want = missing.select("target").distinct().select("target", parts("target")[0].alias("folder"), parts("target")[1].alias("name"))
     have = paths.select("path", parts("path")[0].alias("folder"), parts("path")[1].alias("known"))
-    near = want.join(have, "folder").where(F.levenshtein("name", "known", most) >= 0)
-    rank = F.row_number().over(Window.partitionBy("target").orderBy(F.levenshtein("name", "known"), "path"))
+    met = want.withColumn("key", F.explode(deletion_keys(F.col("name"), most))).join(have.withColumn("key", F.explode(deletion_keys(F.col("known"), most))), ["folder", "key"])
+    near = met.select("target", "path", F.levenshtein("name", "known", most).alias("edits")).where("edits >= 0").distinct()
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("edits", "path"))
     return near.withColumn("rank", rank).where("rank <= 3").select("target", F.col("path").alias("suggestion"), "rank")
 
 
@@ -129,11 +131,20 @@ def links_same_repo(spark, sf_dir):
 
 @query("site_suggestions", "SELECT 'docs/p' || p_partkey || 'x.md' AS target, 'docs/p' || p_partkey || '.md' AS suggestion FROM part WHERE p_partkey % 50 = 0")
 def site_suggestions(spark, sf_dir):
+    """The part that this SQL describes: one page in 50, one edit, the best path; ``site_suggestions_all`` asks for every page."""
     d = site(spark, sf_dir)
     typed = d.where("doc_id % 50 = 0").select(F.expr("'docs/p' || doc_id || 'x.md'").alias("target"))
     return suggestions(typed, d.select("path"), 1).where("rank = 1").select("target", "suggestion")
 
 
+@query("site_suggestions_all", """WITH c AS (SELECT 'docs/p' || w.p_partkey || 'x.md' AS target, 'docs/p' || h.p_partkey || '.md' AS suggestion, levenshtein('p' || w.p_partkey || 'x.md', 'p' || h.p_partkey || '.md') AS edits FROM part w, part h)
+SELECT target, suggestion, (row_number() OVER (PARTITION BY target ORDER BY edits, suggestion))::INTEGER AS rank FROM c WHERE edits <= 2 QUALIFY rank <= 3""")
+def site_suggestions_all(spark, sf_dir):
+    """Every page of the site misspelled, with the defaults of ``suggestions``."""
+    d = site(spark, sf_dir)
+    return suggestions(d.select(F.expr("'docs/p' || doc_id || 'x.md'").alias("target")), d.select("path"))
+
+
 @query("headings_table", "SELECT p_partkey AS doc_id, 1 AS level, 'Part ' || p_partkey AS text, 'part-' || p_partkey AS anchor, 0::BIGINT AS b_start, length('# Part ' || p_partkey)::BIGINT AS b_end FROM part")
 def headings_table(spark, sf_dir):
     return tables.headings(site(spark, sf_dir)).select("doc_id", "level", "text", "anchor", "b_start", "b_end")

@@ -197,6 +197,15 @@ def anaphora_runs(spark, sf_dir):
     return new.where("word <> ''").groupBy("doc_id", "island", "word").agg(F.min("pos").cast("int").alias("first_sentence"), F.count(F.lit(1)).cast("long").alias("n")).where("n >= 3").select("doc_id", "word", "first_sentence", "n")
 
 
+def deletion_keys(word: Column, most: int = 1) -> Column:
+    """Hashes of what is left of a word with up to ``most`` letters deleted: words within so many edits share one."""
+    one = lambda c: F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))))
+    left = F.array(word)
+    for _ in range(most - 1):
+        left = F.array_distinct(F.flatten(F.transform(left, one)))
+    return F.array_distinct(F.flatten(F.transform(left, lambda c: F.transform(one(c), lambda x: F.xxhash64(x)))))
+
+
 def _spelling_sql(tail: str) -> str:
     return f"""WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{WORD}'))) AS word FROM documents WHERE lang = 'en'),
 n AS (SELECT word, count(*) AS n FROM w GROUP BY word), known AS (SELECT word, n FROM n WHERE n >= 5) {tail}"""

@@ -1,6 +1,8 @@
 """Queries over whole tables against brute force on small fixtures."""
 
-from inkwell.plans import runs
+import random
+
+from inkwell.plans import links, runs
 
 
 def write_documents(spark, folder, rows):
@@ -20,3 +22,29 @@ def test_watch_folder_whole(spark, tmp_path):
     got = runs.watch_folder(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in got) == [i for i, text in second.items() if found(text)]
     assert {r["path"].split("/")[1] for r in got} == {"src0", "src1", "src2"}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_suggestions_meet_on_keys(spark):
+    """The best three by brute force; no join of all names of a folder."""
+    rng = random.Random(5)
+    names = ["a", "", "ab", "README.md", "über.md", *("".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(120))]
+    paths = sorted({f"{rng.choice(('', 'x/', 'x/y/'))}{n}" for n in names if n} | {"x/README.md"})
+    asked = sorted({f"{rng.choice(('', 'x/', 'x/y/'))}{''.join(rng.choice('abcd') for _ in range(rng.randint(1, 7)))}" for _ in range(80)} | {"x/readme.md", "x/uber.md"})
+    folder = lambda p: p.rpartition("/")[0]
+    out = links.suggestions(spark.createDataFrame([(x,) for x in asked], "target string"), spark.createDataFrame([(x,) for x in paths], "path string"))
+    want = set()
+    for t in asked:
+        near = sorted((n, p) for p in paths if folder(p) == folder(t) and (n := edits(t.rpartition("/")[2].lower(), p.rpartition("/")[2].lower())) <= 2)
+        want |= {(t, p, k + 1) for k, (_, p) in enumerate(near[:3])}
+    assert {(r["target"], r["suggestion"], r["rank"]) for r in out.collect()} == want
+    keys = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert keys and all("key" in x for x in keys)
