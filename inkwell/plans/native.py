@@ -228,12 +228,23 @@ def spelling_unknown(spark, sf_dir):
 c AS (SELECT b.word, k.word AS suggestion, row_number() OVER (PARTITION BY b.word ORDER BY k.n DESC, k.word) AS rank FROM bad b JOIN known k ON abs(length(b.word) - length(k.word)) <= 1 AND substr(k.word, 1, 2) = substr(b.word, 1, 2) AND levenshtein(b.word, k.word) = 1)
 SELECT word, suggestion, rank::INTEGER AS rank FROM c WHERE rank <= 3"""))
 def spelling_suggest(spark, sf_dir):
-    """Best three known words one edit away; words meet on a word with one letter deleted, so that no common block of words is paired."""
+    """The part of ``spelling_suggest_all`` that this SQL describes: words seen once, of 4 to 9 letters, and known words with the same first two letters."""
     n = english_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    keys = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))))
-    known = n.where("n >= 5").select(F.col("word").alias("suggestion"), "n", F.explode(keys(F.col("word"))).alias("key"))
-    bad = n.where("n = 1").where(F.length("word").between(4, 9)).select("word", F.explode(keys(F.col("word"))).alias("key"))
-    near = bad.join(known, "key").select("word", "suggestion", "n").distinct()
-    near = near.where((F.substring("word", 1, 2) == F.substring("suggestion", 1, 2)) & (F.levenshtein("word", "suggestion", 1) == 1))
+    bad = n.where("n = 1").where(F.length("word").between(4, 9)).select("word")
+    return best_known(bad, n.where("n >= 5"), "substring(word, 1, 2) = substring(suggestion, 1, 2)")
+
+
+def best_known(bad: DataFrame, known: DataFrame, also: str = "true") -> DataFrame:
+    """Best three of ``known(word, n)`` one edit away from each of ``bad(word)``; words meet on a word with one letter deleted, so that no common block of words is paired."""
+    have = known.select(F.col("word").alias("suggestion"), "n", F.explode(deletion_keys(F.col("word"))).alias("key"))
+    met = bad.select("word", F.explode(deletion_keys(F.col("word"))).alias("key")).join(have, "key")
+    near = met.where(also).where(F.levenshtein("word", "suggestion", 1) == 1).select("word", "suggestion", "n").distinct()
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "suggestion"))
     return near.withColumn("rank", rank).where("rank <= 3").select("word", "suggestion", "rank")
+
+
+@query("spelling_suggest_all")
+def spelling_suggest_all(spark, sf_dir):
+    """Best three known words for every word under the threshold of ``spelling_unknown``, of any length and beginning."""
+    n = english_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return best_known(n.where("n < 5").select("word"), n.where("n >= 5"))

@@ -2,7 +2,7 @@
 
 import random
 
-from inkwell.plans import links, runs
+from inkwell.plans import links, native, runs
 
 
 def write_documents(spark, folder, rows):
@@ -48,3 +48,17 @@ def test_suggestions_meet_on_keys(spark):
     assert {(r["target"], r["suggestion"], r["rank"]) for r in out.collect()} == want
     keys = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert keys and all("key" in x for x in keys)
+
+
+def test_spelling_suggest_whole(spark, tmp_path):
+    """Words seen one to four times, of any length, with an error anywhere, against brute force."""
+    counts = {"house": 9, "mouse": 6, "horse": 5, "a": 7, "of": 6, "international": 5, "house\u00e9": 1, "hause": 3, "xouse": 2, "internationol": 4, "nternational": 1, "o": 1, "hoouse": 2, "zebra": 4, "qhorse": 1}
+    rows = [(i, " ".join([w] * n), "en", "s", 0) for i, (w, n) in enumerate(counts.items())] + [(90, "house hous", "de", "s", 0), (91, None, "en", "s", 0), (92, "", "en", "s", 0)]
+    write_documents(spark, tmp_path, rows)
+    known = {w: n for w, n in counts.items() if n >= 5}
+    want = set()
+    for bad in counts.keys() - known.keys():
+        near = sorted((-n, w) for w, n in known.items() if edits(bad, w) == 1)
+        want |= {(bad, w, k + 1) for k, (_, w) in enumerate(near[:3])}
+    got = {tuple(r) for r in native.spelling_suggest_all(spark, str(tmp_path)).select("word", "suggestion", "rank").collect()}
+    assert got == want and {"hause", "xouse", "internationol", "qhorse"} <= {w for w, *_ in got}
