@@ -61,8 +61,8 @@ PATTERN = re.compile(
         rf"(?P<person>(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?:(?P<given>{'|'.join(_BY_NAME)}) )?(?P<surname>{_CAPITAL})|(?P<given2>{'|'.join(_BY_NAME)}) (?P<surname2>{_CAPITAL}))(?!\w))",
     ))
 )
-#: A text without any of these holds no entity but a person.
-_CHEAP = re.compile(r"[0-9@]|(?i:passw|pwd|token|secret)")
+#: A text without any of these holds no entity but a person: every other pattern needs one of them.
+_CHEAP = re.compile(r"[\d@]|AKIA|ASIA|(?i:passw|pwd|token|secret|api_?key)")
 _NAMES = re.compile("|".join((*_BY_NAME, *TITLES)))
 
 
