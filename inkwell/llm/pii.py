@@ -1,7 +1,7 @@
 """Personal data: detected entities get keyed surrogates of the same type and format.
 
 Detected are e-mail addresses, telephone numbers, IPv4 addresses, payment cards, account numbers (checksums valid), social security numbers, access keys,
-assigned passwords and tokens, and names of persons: a known given name with a surname, or a title with a surname.
+assigned passwords and tokens, and names of persons: a known given name (`sources/names.py`) or a title, with all the capitalised words after it.
 An entity's canonical form (lower-case address, digits of a number, surname) decides its surrogate, so one person or
 number has one surrogate in the whole corpus, however it is written; the surrogate is then written in the format of
 the place: letter case, separators, country code, title. Given names are replaced by names of the same gender and
@@ -22,31 +22,49 @@ import hashlib
 import hmac
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.names import BY_NAME as _BY_NAME
+from ..sources.names import GIVEN
 from .frames import small_batches, written
 
-#: Given names by script and gender (fixed values).
-GIVEN = {
-    ("latin", "f"): ("Alice", "Amelie", "Carmen", "Charlotte", "Clara", "Elena", "Emily", "Greta", "Helene", "Ingrid", "Laura", "Lucia", "Marie", "Paula", "Sophie", "Teresa"),
-    ("latin", "m"): ("Albert", "Antonio", "Bernard", "Carlos", "David", "Diego", "Edward", "Frederic", "Henry", "Jakob", "Julien", "Martin", "Oliver", "Pablo", "Stefan", "Thomas"),
-    ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Ирина", "Мария", "Нина", "Ольга", "Юлия"),
-    ("cyrillic", "m"): ("Борис", "Виктор", "Игорь", "Иван", "Михаил", "Олег", "Павел", "Юрий"),
-    ("greek", "f"): ("Άννα", "Ελένη", "Κατερίνα", "Μαρία", "Σοφία", "Χριστίνα"),
-    ("greek", "m"): ("Αλέξανδρος", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"),
-}
 #: Syllables of made-up surnames by script (fixed values).
 SYLLABLES = {
     "latin": ("ba", "bel", "cor", "dan", "der", "el", "fen", "gar", "hol", "jan", "kel", "lan", "mar", "mer", "nor", "os", "per", "ran", "sol", "tan", "ver", "wal", "zin", "rath"),
     "cyrillic": ("ба", "вер", "гор", "дан", "зел", "кор", "лен", "мир", "нов", "пет", "рад", "сол", "тар", "чер"),
     "greek": ("αν", "γερ", "δημ", "καλ", "κων", "λεν", "μαρ", "νικ", "παπ", "σταμ", "τσακ", "φωτ"),
 }
-TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
-_BY_NAME = {name: kind for kind, names in GIVEN.items() for name in names}
-_CAPITAL = "[A-ZÀ-ÖØ-ÞΑ-ΩΆ-ΏА-ЯЁ][a-zß-öø-ÿα-ωά-ώа-яё]+"
+TITLES = ("Mr", "Mrs", "Ms", "Mx", "Miss", "Dr", "Prof", "Professor", "Sir", "Rev", "Herr", "Frau", "Monsieur", "Madame", "Mademoiselle", "Mme", "Mlle", "Señor", "Señora", "Señorita", "Sr", "Sra", "Srta", "Doña", "Κύριος", "Κυρία")
+
+
+def any_of(words) -> str:
+    """A pattern of words by their common beginnings, so that a place is not compared with every word."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def made(node: dict) -> str:
+        own = [re.escape(c) + made(x) for c, x in sorted(node.items()) if c]
+        return "" if not own else f"(?:{'|'.join(own)})" + "?" * ("" in node)
+
+    return made(tree)
+
+
+_EXTENDED = [chr(c) for c in range(0x100, 0x180)]
+_UPPER = "[A-ZÀ-ÖØ-ÞΑ-ΩΆ-ΏА-ЯЁ" + "".join(c for c in _EXTENDED if c.isupper()) + "]"
+_CAPITAL = _UPPER + "[a-zß-öø-ÿα-ωά-ώа-яё" + "".join(c for c in _EXTENDED if c.islower()) + "]+"
+#: A capitalised word (Schmidt, O'Brien, McDonald, Garcia-Lopez); one or more of them with initials and particles between.
+_WORD = rf"(?:{_UPPER}['’])?{_CAPITAL}(?:-?{_CAPITAL})*"
+_STEP = rf"(?:(?:von|van|der|den|de la|de los|de|del|della|di|da|dos|du|zu|bin|al|ter|ten) )*(?:{_UPPER}\. )*{_WORD}"
+_RUN = f"{_STEP}(?: {_STEP})*"
+_GIVEN, _TITLE = any_of(_BY_NAME), any_of(TITLES)
 PATTERN = re.compile(
     "|".join((
         r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))",
@@ -58,12 +76,13 @@ PATTERN = re.compile(
         r"(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))",
         r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))",
         r"(?P<phone>(?<![\w+])\+\d(?:[ .()-]{0,2}\d){7,14}(?!\w)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\w))",
-        rf"(?P<person>(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?:(?P<given>{'|'.join(_BY_NAME)}) )?(?P<surname>{_CAPITAL})|(?P<given2>{'|'.join(_BY_NAME)}) (?P<surname2>{_CAPITAL}))(?!\w))",
+        rf"(?P<person>(?<!\w)(?={_UPPER})(?:(?:{_TITLE}\.? )+(?P<titled>{_RUN})|(?P<named>{_GIVEN}(?:-{_CAPITAL})* {_RUN}))(?!\w))",
     ))
 )
 #: A text without any of these holds no entity but a person: every other pattern needs one of them.
 _CHEAP = re.compile(r"[\d@]|AKIA|ASIA|(?i:passw|pwd|token|secret|api_?key)")
-_NAMES = re.compile("|".join((*_BY_NAME, *TITLES)))
+_NAMES = re.compile(rf"(?<!\w)(?={_UPPER})(?:{_TITLE}\.? |{_GIVEN}[ -])")
+_WORDS = re.compile(_WORD)
 
 
 @dataclass(frozen=True)
@@ -101,9 +120,12 @@ def parts(text: str):
         kind = m.lastgroup
         kind = next(k for k in ("email", "access_key", "password", "token", "iban", "ssn", "card", "ip", "phone", "person") if m[k] is not None)
         if kind == "person":
-            for g, name in (("given", "given"), ("given2", "given"), ("surname", "surname"), ("surname2", "surname")):
-                if m[g] is not None:
-                    yield name, m.start(g), m.end(g), m[g]
+            *before, last = _WORDS.finditer(text, *m.span("titled" if m["titled"] else "named"))
+            for word in before:
+                # a listed name, or each part of a double name; what is not listed is replaced like a surname
+                for part in (word,) if word[0] in _BY_NAME else re.compile("[^-]+").finditer(text, *word.span()):
+                    yield "given" if part[0] in _BY_NAME else "surname", *part.span(), part[0]
+            yield "surname", *last.span(), last[0]
         elif kind in ("password", "token"):
             yield kind, m.start(f"{kind}_value"), m.end(f"{kind}_value"), m[f"{kind}_value"]
         elif kind == "card":
@@ -146,6 +168,13 @@ def alike(draw: Draw, text: str, classes=_CLASSES) -> str:
     return "".join(next((c[draw.below(len(c))] for c in classes if x in c), x) for x in text)
 
 
+@lru_cache
+def permuted(key: str, kind: tuple[str, str]) -> dict[str, str]:
+    """Each given name of a script and gender -> another one."""
+    order = sorted(GIVEN[kind], key=lambda n: hmac.new(key.encode(), n.encode(), hashlib.sha256).digest())
+    return dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def surrogate(key: str, kind: str, canonical: str, attempt: int = 0) -> str:
     """Canonical form of the surrogate."""
     draw = Draw(key, kind, canonical, attempt)
@@ -173,9 +202,7 @@ def surrogate(key: str, kind: str, canonical: str, attempt: int = 0) -> str:
     if kind == "access_key":
         return canonical[:4] + "".join((_CLASSES[0] + _CLASSES[2])[draw.below(36)] for _ in canonical[4:])
     if kind == "given":
-        names = GIVEN[_BY_NAME[canonical]]
-        order = sorted(names, key=lambda n: hmac.new(key.encode(), n.encode(), hashlib.sha256).digest())
-        return order[(order.index(canonical) + 1) % len(order)]
+        return permuted(key, _BY_NAME[canonical])[canonical]
     if kind == "surname":
         own = SYLLABLES[script_of(canonical)]
         return "".join(own[draw.below(len(own))] for _ in range(3 + attempt // 4)).capitalize()

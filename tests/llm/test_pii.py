@@ -17,3 +17,26 @@ ALONE = [
 def test_each_type_alone(kind, text, entity):
     assert [(k, text[a:b]) for k, a, b, _ in pii.parts(text)] == [(kind, entity)]
     assert entity not in pii.replaced("k", text, {})[0]
+
+
+PERSONS = {
+    "John Smith met Michael Brown.": ["John", "Smith", "Michael", "Brown"], "Dr Anna Schmidt called.": ["Anna", "Schmidt"], "Herr Dr. Xaver Karl Huber kam.": ["Xaver", "Karl", "Huber"], "for Mary Jane O'Brien-McDonald.": ["Mary", "Jane", "O'Brien-McDonald"],
+    "by Anna-Lena Weiß": ["Anna", "Lena", "Weiß"], "Ludwig von der Heide": ["Ludwig", "Heide"], "John F. Kennedy": ["John", "Kennedy"], "Łukasz Wójcik": ["Łukasz", "Wójcik"], "Дмитрий Белов": ["Дмитрий", "Белов"], "Γιάννης Παπαδόπουλος": ["Γιάννης", "Παπαδόπουλος"],
+    "Frau Yılmaz ging": ["Yılmaz"], "The Big Boat of Annapolis Bay": [], "Johns Hopkins": [], "Anna": [], "john smith": [],
+}
+
+
+@pytest.mark.parametrize("text", PERSONS)
+def test_persons(text):
+    assert [text[a:b] for k, a, b, _ in pii.parts(text) if k in ("given", "surname")] == PERSONS[text] and len(list(pii.parts(text))) == len(PERSONS[text])
+    new, _ = pii.replaced("k", text, {})
+    assert not [x for x in PERSONS[text] if x in new.replace("-", " ").split()]
+
+
+def test_given_names():
+    """Each name is listed once, and has a surrogate of its own, of its gender and script."""
+    names = [n for own in pii.GIVEN.values() for n in own]
+    assert len(set(names)) == len(names)
+    for kind, own in pii.GIVEN.items():
+        made = pii.permuted("k", kind)
+        assert set(made) == set(made.values()) == set(own) and all(a != b for a, b in made.items())
