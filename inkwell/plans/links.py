@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import tables
-from .engine import query, table
+from .engine import as_documents, query, table
 from .native import deletion_keys
 
 FOUND = ["doc_id", "rule", "line", "b_start", "b_end", "text"]
@@ -162,17 +162,30 @@ def segments_table(spark, sf_dir):
 
 @query("sentences_table", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS n FROM documents")
 def sentences_table(spark, sf_dir):
-    """Sentences of a built text: abbreviations and initials end none."""
+    """Sentences of a built text: abbreviations and initials end none; ``sentences_of_documents`` takes the whole texts."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit("a.md").alias("path"), F.lit("markdown").alias("kind"), F.lit("").alias("code_lang"), F.when(F.col("doc_id") % 3 == 0, "See e.g. the boat of J. Smith. It sank!\n").otherwise("Dr. Smith vs. the boat\n").alias("text"))
     return tables.sentences(d).groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
 @query("tokens_table", "SELECT doc_id, unnest(['word', 'space', 'number', 'punct']) AS kind, unnest([2, 2, 1, 1])::BIGINT AS n FROM documents")
 def tokens_table(spark, sf_dir):
+    """Tokens of a built text; ``tokens_of_documents`` takes the whole texts."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit("a.md").alias("path"), F.lit("markdown").alias("kind"), F.lit("").alias("code_lang"), F.lit("The 2nd boat!").alias("text"))
     return tables.tokens(d).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
+@query("sentences_of_documents")
+def sentences_of_documents(spark, sf_dir):
+    """Sentences of the whole texts of the table, with their places."""
+    return tables.sentences(as_documents(spark, sf_dir))
+
+
+@query("tokens_of_documents")
+def tokens_of_documents(spark, sf_dir):
+    """Tokens of the whole texts of the table: how many of each kind a document has, and how many bytes they take."""
+    return tables.tokens(as_documents(spark, sf_dir)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).cast("long").alias("n"), F.sum(F.col("b_end") - F.col("b_start")).cast("long").alias("bytes"))
+
+
 SOURCE = "'fn a() {} // end ' || p_partkey || chr(10) || '/// Doc of ' || p_partkey || chr(10) || 'fn b() { let s = \"// no\"; }' || chr(10) || '/* block /* nested */ ' || p_partkey || ' */' || chr(10)"
 
 

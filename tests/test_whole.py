@@ -1,6 +1,8 @@
 """Queries over whole tables against brute force on small fixtures."""
 
 import random
+import re
+from collections import Counter
 
 from inkwell.plans import links, native, runs
 
@@ -62,3 +64,26 @@ def test_spelling_suggest_whole(spark, tmp_path):
         want |= {(bad, w, k + 1) for k, (_, w) in enumerate(near[:3])}
     got = {tuple(r) for r in native.spelling_suggest_all(spark, str(tmp_path)).select("word", "suggestion", "rank").collect()}
     assert got == want and {"hause", "xouse", "internationol", "qhorse"} <= {w for w, *_ in got}
+
+
+TEXTS = {
+    0: None, 1: "", 2: " \n", 3: "One boat. Two boats!", 4: "See e.g. the boat of J. Smith. It sank!\n", 5: "# Über uns\n\nDas 2. Boot kam an. Ça va? Ñandú 3,5 km.\n\n- Лодка ушла. Всё.\n",
+    6: "A boat came in. " * 2000, 7: "No end", 8: "Line one\ngoes on. Line two.\n",
+}
+SENTENCES = {3: 2, 4: 2, 6: 2000, 7: 1, 8: 2}
+
+
+def test_sentences_and_tokens_of_whole_texts(spark, tmp_path):
+    """Null, empty, long and multilingual texts of the table: every sentence stands at its place, every letter is in a token."""
+    write_documents(spark, tmp_path, [(i, t, "en", "s", 0) for i, t in TEXTS.items()])
+    found = links.sentences_of_documents(spark, str(tmp_path)).collect()
+    for r in found:
+        assert TEXTS[r["doc_id"]].encode()[r["b_start"] : r["b_end"]].decode() == r["text"] and r["text"].strip()
+    n = Counter(r["doc_id"] for r in found)
+    assert {i: n[i] for i in SENTENCES} == SENTENCES and not n.keys() & {0, 1, 2} and n[5] >= 5
+    got = {(r["doc_id"], r["kind"]): (r["n"], r["bytes"]) for r in links.tokens_of_documents(spark, str(tmp_path)).collect()}
+    for i in (3, 4, 6, 7, 8):
+        text = TEXTS[i].rstrip()
+        words, letters = re.findall(r"[^\W\d_]+(?:['’._@][^\W\d_]+)*", text), sum(v for (k, _), (_, v) in got.items() if k == i)
+        assert got[i, "word"] == (len(words), sum(map(len, words))) and letters >= len(text)
+    assert got[5, "number"] == (2, 4) and not {i for i, _ in got} & {0, 1}
