@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.names import BY_NAME
 from .engine import query, table
 
 #: Endings and what stands for them in the base word (fixed values).
@@ -213,12 +214,13 @@ def _among(words: list[str]):
 
 
 def proper_names(tokens: DataFrame) -> DataFrame:
-    """(doc_id, name): names of persons by their neighbours: a title before a capitalised word, or two capitalised words of which the first is a given name."""
+    """(doc_id, name): names of persons by their neighbours: a capitalised word after a title, or both of two capitalised words of which the first is a given name."""
     by = Window.partitionBy("doc_id").orderBy("place")
     near = tokens.withColumn("before", F.lag("word").over(by)).withColumn("after", F.lead("word").over(by))
-    capital = F.col("word").rlike(r"^[A-ZÀ-Þ][a-zß-ÿ]+$")
-    titled = F.col("before").isin("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Señor", "Madame")
-    return near.where(capital & titled).select("doc_id", F.col("word").alias("name"))
+    capital = lambda c: F.coalesce(F.col(c).rlike(r"^\p{Lu}\p{Ll}+$"), F.lit(False))
+    given = lambda c: F.coalesce(F.col(c).isin(*BY_NAME), F.lit(False))
+    titled = F.coalesce(F.col("before").isin("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Señor", "Madame"), F.lit(False))
+    return near.where(capital("word") & (titled | given("before") | (given("word") & capital("after")))).select("doc_id", F.col("word").alias("name"))
 
 
 @query("person_names", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'Berg' ELSE 'Lund' END AS name FROM part")
@@ -228,11 +230,18 @@ def person_names(spark, sf_dir):
     return proper_names(tokens)
 
 
+#: An attribute with its value, and those whose values are names or targets.
+ATTRIBUTE = r"[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+NAMING = r"(?i)^(?:id|name|class|for|href|src|srcset|action|poster|type|data-[\w-]+)\s*="
+
+
 def identifiers(text: Column) -> Column:
-    """Words that a text uses as names: in code spans, addresses, link targets and HTML attributes."""
+    """Words that a text uses as names: in code spans, addresses, link targets and the values of HTML attributes that hold names."""
     spans = F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), F.lit(1))
     urls = F.regexp_extract_all(text, F.lit(r"(?:https?://|\]\()([^\s)>]+)"), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(F.concat(spans, urls), lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"([a-z][a-z0-9]+)"), F.lit(1)))))
+    tags = F.regexp_extract_all(text, F.lit(r"(<[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
+    attributes = F.flatten(F.transform(tags, lambda t: F.transform(F.filter(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(0)), lambda x: x.rlike(NAMING)), lambda x: F.regexp_replace(x, r"^[^=]*=", ""))))
+    return F.array_distinct(F.flatten(F.transform(F.concat(spans, urls, attributes), lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"([a-z][a-z0-9]+)"), F.lit(1)))))
 
 
 @query("file_identifiers", "SELECT p_partkey AS doc_id, unnest(['frobnicate', 'https', 'example', 'com', 'qux']) AS word FROM part")

@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
-from inkwell.plans import links, native, runs
+from pyspark.sql import functions as F
+
+from inkwell.plans import links, native, runs, spelling
 
 
 def write_documents(spark, folder, rows):
@@ -87,3 +89,16 @@ def test_sentences_and_tokens_of_whole_texts(spark, tmp_path):
         words, letters = re.findall(r"[^\W\d_]+(?:['’._@][^\W\d_]+)*", text), sum(v for (k, _), (_, v) in got.items() if k == i)
         assert got[i, "word"] == (len(words), sum(map(len, words))) and letters >= len(text)
     assert got[5, "number"] == (2, 4) and not {i for i, _ in got} & {0, 1}
+
+
+def test_names_after_given_names(spark):
+    text = {1: "Yesterday Mr Berg saw the Big Boat", 2: "with Anna Schmidt and Юрий Белов", 3: "Anna saw Thomas", 4: "the Big Anna", 5: "Peter", 6: "Łukasz Łoś met nobody"}
+    tokens = spark.createDataFrame([(i, k, w) for i, t in text.items() for k, w in enumerate(t.split())], "doc_id long, place int, word string")
+    got = sorted((r["doc_id"], r["name"]) for r in spelling.proper_names(tokens).collect())
+    assert got == sorted([(1, "Berg"), (2, "Anna"), (2, "Schmidt"), (2, "Юрий"), (2, "Белов"), (6, "Łukasz"), (6, "Łoś")])
+
+
+def test_identifiers_of_attributes(spark):
+    text = """Use `frob` <a id="topbar" class='wide narrow' title="Not Names" data-x=quux>in id="outside"</a> <img alt="a > id='fake'" SRC = "pic/logo.png"><br>"""
+    got = spark.createDataFrame([(text,), (None,)], "text string").select(spelling.identifiers(F.col("text")).alias("w")).collect()
+    assert sorted(got[0]["w"]) == ["frob", "logo", "narrow", "pic", "png", "quux", "topbar", "wide"] and got[1]["w"] is None
