@@ -5,9 +5,10 @@ source``. A document's count is the inverse of the Poisson distribution function
 hash of its id and the seed, so a rerun after a lost executor gives the same copies. Copies are numbered from 0 and
 the result is ordered by a hash of id, copy and seed: a global shuffle.
 
-Defined results: a null source is a source of its own; rows with a null id share one uniform number; repeated rows
-are counted and replicated alike; a source without a target weight has weight 0, and its documents go; an empty
-table gives an empty table. Without ``weights`` a source weighs its number of documents to the power ``flatten``.
+Defined results: a null source is a source of its own, the key None of ``weights``; a row with a null id draws by a hash of
+its text instead; repeated rows are counted and replicated alike; a source without a target weight has weight 0, and its
+documents go; an empty table gives an empty table. Without ``weights`` a source weighs its number of documents to the
+power ``flatten``. Input columns with the names of the three new ones are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 class Settings:
     """``size``: documents wanted as a multiple of those given; ``flatten`` below 1 lifts small sources."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[str | None, float] = field(default_factory=dict)
     flatten: float = 0.7
     size: float = 1.0
     seed: int = 17
@@ -36,10 +37,11 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 def rates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per source: documents, weight and mean repetition rate. One row a source."""
-    count = documents.groupBy(F.coalesce("source", F.lit("")).alias("source_key")).agg(F.count(F.lit(1)).alias("source_docs"))
+    count = documents.groupBy(documents["source"].alias("source_key")).agg(F.count(F.lit(1)).alias("source_docs"))
     if settings.weights:
-        given = F.create_map(*[F.lit(x) for pair in settings.weights.items() for x in pair])
-        weight = F.coalesce(given[F.col("source_key")].cast("double"), F.lit(0.0))
+        named = [F.lit(x) for k, w in settings.weights.items() if k is not None for x in (k, float(w))]
+        given = F.create_map(*named)[F.col("source_key")] if named else F.lit(None)
+        weight = F.when(F.col("source_key").isNull(), F.lit(float(settings.weights.get(None, 0.0)))).otherwise(F.coalesce(given.cast("double"), F.lit(0.0)))
     else:
         weight = F.pow(F.col("source_docs").cast("double"), F.lit(settings.flatten))
     count = count.withColumn("weight", weight)
@@ -49,6 +51,11 @@ def rates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return count.crossJoin(F.broadcast(every)).select("source_key", "source_docs", "weight", rate.alias("rate"))
 
 
+def identity(doc_id: Column, text: Column) -> Column:
+    """What a row's draws depend on: its id, or for a null id its text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
 #: Rates above this are drawn as sums of smaller ones, each with its own uniform number: exp(-rate) stays far from 0.
 PART = 400.0
 #: Tables of rates up to so many rows are broadcast.
@@ -74,20 +81,18 @@ def copies(rate: Column, seed: int, doc_id: Column) -> Column:
 
 
 def replicated(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """A row for each copy: ``row`` (the document), ``rate``, ``copies`` and ``copy`` (0 to copies - 1)."""
+    """A row for each copy: ``row`` (the document), ``id`` (its identity), ``rate``, ``copies`` and ``copy`` (0 to copies - 1)."""
     row = F.struct(*[documents[c] for c in documents.columns])
-    own = documents.select(row.alias("row"), F.coalesce(documents["source"], F.lit("")).alias("source_key"))
+    own = documents.select(row.alias("row"), identity(documents["doc_id"], documents["text"]).alias("id"), documents["source"].alias("own_source"))
     rate = rates(documents, settings).select("source_key", "rate")
     few = rate.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = own.join(F.broadcast(rate) if few else rate, "source_key")
-    counted = joined.withColumn("copies", copies(F.col("rate"), settings.seed, F.col("row.doc_id"))).where("copies > 0")
-    return counted.select("row", "rate", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    joined = own.join(F.broadcast(rate) if few else rate, F.col("own_source").eqNullSafe(F.col("source_key")))
+    counted = joined.withColumn("copies", copies(F.col("rate"), settings.seed, F.col("id"))).where("copies > 0")
+    return counted.select("row", "id", "rate", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
 
 
 def mixed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The replicated documents in global random order, with ``mix_copies``, ``mix_copy`` and ``mix_key`` (replacing columns of these names)."""
     out = replicated(documents.drop("mix_copies", "mix_copy", "mix_key"), settings)
-    key = uniform(settings.seed + 1, F.col("row.doc_id"), F.col("copy"))
+    key = uniform(settings.seed + 1, F.col("id"), F.col("copy"))
     return out.select("row.*", F.col("copies").alias("mix_copies"), F.col("copy").alias("mix_copy"), key.alias("mix_key")).orderBy("mix_key")
-
-

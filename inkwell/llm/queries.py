@@ -91,25 +91,28 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5 = """
-WITH n AS (SELECT coalesce(source, '') AS source_key, count(*) AS docs FROM documents GROUP BY 1),
+WITH named AS (
+  SELECT doc_id, source, text, coalesce('=' || source, '') AS source_key, coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS id FROM documents),
+n AS (SELECT source_key, count(*) AS docs FROM named GROUP BY 1),
 w AS (SELECT source_key, docs, pow(docs::DOUBLE, 0.7) AS weight FROM n),
 r AS (SELECT source_key, weight / sum(weight) OVER () * sum(docs) OVER () * 1.0 / docs AS rate FROM w),
 p AS (
   SELECT source_key, rate, k, sum(term) OVER (PARTITION BY source_key ORDER BY k) AS cdf
   FROM (SELECT source_key, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS term FROM r, (SELECT unnest(range(0, 120)) AS k))),
 u AS (
-  SELECT doc_id, source, text, coalesce(source, '') AS source_key,
-    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-  FROM documents),
-c AS (SELECT u.doc_id, u.source, u.text, (SELECT count(*) FROM p WHERE p.source_key = u.source_key AND p.cdf <= u.u)::INTEGER AS mix_copies FROM u)
+  SELECT doc_id, source, text, source_key, id, ('0x' || substr(md5('17|' || id || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM named),
+c AS (SELECT u.doc_id, u.id, u.source, u.text, (SELECT count(*) FROM p WHERE p.source_key = u.source_key AND p.cdf <= u.u)::INTEGER AS mix_copies FROM u)
 SELECT doc_id, source, mix_copies, mix_copy::INTEGER AS mix_copy,
-  ('0x' || substr(md5('18|' || coalesce(doc_id::VARCHAR, '') || '|' || mix_copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS mix_key, text
+  ('0x' || substr(md5('18|' || id || '|' || mix_copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS mix_key, text
 FROM (SELECT *, unnest(range(0, mix_copies)) AS mix_copy FROM c WHERE mix_copies > 0)
 """
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.with_surrogates(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    # a secret of the caller; without one the results of this query are those of a known key
+    settings = pii.Settings(key=spark.conf.get("spark.inkwell.pii.key", "query"))
+    out = pii.with_surrogates(only(table(spark, sf_dir, "documents"), "doc_id", "text"), settings)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
     return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), "text", "entities")
 

@@ -40,3 +40,69 @@ def test_given_names():
     for kind, own in pii.GIVEN.items():
         made = pii.permuted("k", kind)
         assert set(made) == set(made.values()) == set(own) and all(a != b for a, b in made.items())
+
+
+CONTEXT = [
+    ("password", "password: ********", "********"), ("password", "password: пароль", "пароль"), ("token", "token=----------------", "----------------"), ("born", "Born on 12 March 1980.", "12 March 1980"), ("born", "dob: 1980-03-12", "1980-03-12"),
+    ("born", "geboren am 12.3.1980", "12.3.1980"), ("address", "lives at 12 Oak Street now", "12 Oak Street"), ("address", "in der Hauptstraße 12 wohnt", "Hauptstraße 12"), ("address", "au 5 rue de la Paix ici", "5 rue de la Paix"),
+    ("address", "en la Calle Mayor 7 vive", "Calle Mayor 7"), ("passport", "Passport no: AB1234567", "AB1234567"), ("mac", "at 00:1a:2b:3c:4d:5e today", "00:1a:2b:3c:4d:5e"), ("mac", "at aa:bb:cc:dd:ee:ff today", "aa:bb:cc:dd:ee:ff"),
+    ("ipv6", "from 2001:0db8:85a3:0000:0000:8a2e:0370:7334 on", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("login", "https://bob:s3cretword@host.example/x", "bob:s3cretword"), ("surname", "Name: Quuxer", "Quuxer"),
+]
+
+
+@pytest.mark.parametrize(("kind", "text", "entity"), CONTEXT)
+def test_types_by_context(kind, text, entity):
+    assert [(k, text[a:b]) for k, a, b, _ in pii.parts(text)] == [(kind, entity)]
+    assert entity not in pii.replaced("k", text, {})[0]
+
+
+def test_one_number_has_one_surrogate():
+    """With and without country code, in any script of digits; dates in any format."""
+    new, spans = pii.replaced("k", "+1 (555) 010-2233 or 555 010 2233 or +١ ٥٥٥ ٠١٠ ٢٢٣٣", {})
+    found = [pii.plain_digits(new[a:b])[-10:] for _, a, b in spans]
+    assert len(found) == 3 and len(set(found)) == 1 and new.startswith("+1 (")
+    new, spans = pii.replaced("k", "born 12 March 1980, born 1980-03-12, born 12.03.1980, né le 12 mars 1980", {})
+    assert len({pii.day_of(new[a:b])[0] for _, a, b in spans}) == 1 and len(spans) == 4
+
+
+def replaced_by_force(texts, key):
+    """The texts with surrogates, attempts dealt one entity at a time."""
+    known = {(k, c) for t in texts if t for k, _, _, c in pii.parts(t)}
+    used, final, pending, attempt = {x for x in known if x[0] not in pii.PERMUTED}, {}, sorted(known), 0
+    while pending:
+        again, taken = [], set()
+        for kind, canonical in pending:
+            new = pii.surrogate(key, kind, canonical, attempt)
+            if kind not in pii.PERMUTED and ((kind, new) in used or (kind, new) in taken):
+                again.append((kind, canonical))
+            else:
+                taken.add((kind, new))
+                final[kind, canonical] = attempt, new
+        used |= taken
+        pending, attempt = again, attempt + 1
+    checked = [(k, new) for (k, _), (_, new) in final.items()]
+    assert len(set(checked)) == len(checked)
+    return [pii.replaced(key, t, {x: a for x, (a, _) in final.items()}) for t in texts]
+
+
+def test_by_force(spark):
+    """Secrets of few values collide; both ways of sending the attempts give what one loop over all entities gives."""
+    texts = [f"password: {i:04d} and pwd: {i % 90:02d}{i % 90:02d}" for i in range(0, 2400)] + ["password: ****", "password: ********", "password: пароль, pwd=тайна", None, "", "born on 1980-03-12 and 1.2.1999"]
+    texts += ["Mr Xaver Quux of 12 Oak Street", "a@b.com, b@c.com, c@d.com"] + ["password: ****"] * 5 + ["clean text " * 2000 + "password: 0001"]
+    rows = [(i if i % 3 else None, t, "x") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, entities string").repartition(3)
+    want = sorted((t or "", [tuple(x) for x in spans]) for t, spans in replaced_by_force(texts, "k"))
+    for settings in (pii.Settings("k"), pii.Settings("k", broadcast=0)):
+        out = pii.with_surrogates(frame, settings)
+        assert out.columns == ["doc_id", "text", "entities"]
+        got = sorted((r["text"] or "", [tuple(e) for e in r["entities"]]) for r in out.collect())
+        assert got == want
+    assert not any("****" in t for t, _ in want)
+    assert pii.with_surrogates(frame.where("false"), pii.Settings("k")).count() == 0
+
+
+def test_space_used_up(spark):
+    """Addresses that cannot grow end with an error, never with a loop."""
+    known = spark.createDataFrame([("surname", f"Name{i}") for i in range(50)], "kind string, canonical string")
+    with pytest.raises(RuntimeError):
+        pii.attempts(known, pii.Settings("k", rounds=0))
