@@ -8,7 +8,8 @@ and one indicator per structure statistic (the statistic's bin). The score is th
 the sum-of-squares form of all pairwise interactions, so scoring takes time linear in the words.
 
 Defined results: a null text counts as empty; an empty text has statistics but no words and still gets a score.
-Labels that are null are ignored; of several labels of one document the smallest holds. Without any usable label,
+Labels other than 0 and 1 are ignored; of several labels of one document the smallest holds, of several texts of one
+labelled document the smallest. Without any usable label,
 or with one class only, every score is the share of label 1 (0.5 without labels). Repeated rows are scored alike.
 Columns besides ``text`` never reach the model, so language, source and identifiers cannot influence a score.
 """
@@ -152,14 +153,14 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), label: str = "quality") -> Model:
-    """Fit on at most ``settings.train_rows`` labelled documents outside the held-out fold."""
+    """Fit on the ``settings.train_rows`` labelled documents of smallest id hash outside the held-out fold."""
     small_batches(documents.sparkSession)
-    marked = labels.select(F.col("doc_id").alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IS NOT NULL")
+    marked = labels.select(F.col("doc_id").alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)")
     marked = marked.where(~held_out(F.col("key"))).groupBy("key").agg(F.min("label").alias("label"))
     sample = marked.orderBy(F.xxhash64("key"), "key").limit(settings.train_rows)
     texts = documents.select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
     # the sample is bounded by train_rows, and so may be broadcast at any size of the corpus
-    chosen = texts.join(F.broadcast(sample), "key").select("key", "body", "label")
+    chosen = texts.join(F.broadcast(sample), "key").groupBy("key").agg(F.min(F.coalesce("body", F.lit(""))).alias("body"), F.min("label").alias("label"))
 
     def featured(batches):
         for batch in batches:
@@ -176,11 +177,11 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     found = chosen.mapInArrow(featured, "key long, label int, col binary, weight binary, bin binary").toArrow().to_pylist()
     found.sort(key=lambda r: (r["key"], r["col"]))
     rows = [(r["label"], np.frombuffer(r["col"], np.int32).astype(np.int64), np.frombuffer(r["weight"], np.float32).astype(np.float64), np.frombuffer(r["bin"], np.int32).astype(np.int64)) for r in found]
-    return fit(rows[: 4 * settings.train_rows], settings)
+    return fit(rows, settings)
 
 
 def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``documents`` with the score of each text; other columns stay outside Python."""
+    """``documents`` with the score of each text under ``name`` (a column of that name is replaced); other columns stay outside Python."""
     small_batches(documents.sparkSession)
 
     @F.arrow_udf("double")
@@ -190,4 +191,5 @@ def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataF
             out[block.ids] = model.score(Features(block, model.settings.word_bits))
         return pa.array(out)
 
-    return documents.withColumn(name, score(documents["text"]))
+    # not deterministic for Spark: it then neither evaluates the score twice nor moves it below joins
+    return documents.withColumn(name, score.asNondeterministic()(documents["text"]))
