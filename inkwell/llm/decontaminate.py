@@ -1,20 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks of 12 word places ignore four places each; one mask takes eight places in a row. The words a mask
-keeps are hashed at every place of every benchmark item and document; equal hashes are hits. Around a hit the item
+Fixed masks ignore some word places each. The words a mask keeps are hashed at every place of every benchmark item and
+document; the hashes of test and training texts are joined, and equal ones are hits. Around a hit the item
 is laid along the document and the best run is found, a word alike adding 1 and a word changed taking away 2. The
 run is an overlap when at least ``min_same`` words in it are alike, or the whole item is. Items of fewer words than
-``min_same`` must stand in the document whole and unchanged; items under ``min_item`` words take no part.
+``min_same`` must stand in the document whole and unchanged; items under ``min_item`` words take no part. The masks
+hit 99.8 of 100 overlaps of items with 5 to 30 of 100 words changed at random (a test holds that against brute force).
 
-Words are runs of letters and digits, in lower case. Defined results: null or empty texts and items have no
+Words are runs of letters and digits, in lower case (Spark's, for items and documents alike). Defined results: null or empty texts and items have no
 overlap; a repeated item is reported under each of its ids; a null item id is ignored; repeated documents are
-judged alike. Benchmark items are used in blocks of at most ``block_items`` items and ``block_bytes`` bytes, each a
-broadcast index of bounded size; a single longer item is a block alone.
+judged alike; overlaps are ordered by item. Benchmark items are used in blocks of at most ``block_items`` items and ``block_bytes`` bytes, each a
+broadcast index of bounded size; a single longer item is a block alone. Of several blocks one at a time is in memory, and its hits are written.
+Columns of the input are kept, but one with the name of the new column is replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import U64, Words, column_blocks, mix, stream
-from .frames import small_batches
+from .frames import small_batches, written
 
 #: Fixed masks: 1 keeps the word at that place.
-MASKS = ("11111111", "111010011011", "110110101101", "101101110011", "111100101011")
+MASKS = ("11111111", "1110100111", "1100111011", "11011111", "1101010111", "101101111", "110011111")
 MATCH = "array<struct<item_id:long,start:int,words:int,same:int>>"
 _PLACES = stream(31, 16) | U64(1)
 
@@ -56,7 +59,7 @@ class Index:
         self.settings = settings
         self.items: list[tuple[int, np.ndarray]] = []
         for item, text in zip(ids, texts, strict=True):
-            hashes = np.concatenate([np.zeros(0, U64), *[Words(b, "alnum").hash for b in column_blocks(pa.array([(text or "").lower()]))]])
+            hashes = np.concatenate([np.zeros(0, U64), *[Words(b, "alnum").hash for b in column_blocks(pa.array([text or ""]))]])
             if item is not None and len(hashes) >= settings.min_item:
                 self.items.append((item, hashes))
         short = {len(h) for _, h in self.items if len(h) < settings.min_same}
@@ -80,19 +83,25 @@ class Index:
         for mask, key, item, place, sieve, bits in self.tables:
             h = seeds(hashes, mask)
             at = np.flatnonzero(sieve[(h >> bits).astype(np.int64)])
-            lo = np.searchsorted(key, h[at])
-            good = lo < len(key)
-            good[good] = key[lo[good]] == h[at[good]]
-            at, lo = at[good], lo[good]
             doc = np.searchsorted(offs, at, side="right") - 1
             fits = at + len(mask) <= offs[doc + 1]
-            for p, d, j in zip(at[fits].tolist(), doc[fits].tolist(), lo[fits].tolist(), strict=True):
-                while j < len(key) and key[j] == h[p]:
-                    line = (d, int(item[j]), p - int(place[j]))
-                    if line not in tried:
+            at, doc = at[fits], doc[fits]
+            lo, hi = np.searchsorted(key, h[at]), np.searchsorted(key, h[at], side="right")
+            # the pairs of a place and an item's place, a bounded number at a time
+            ends = np.cumsum(hi - lo)
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 18), side="right")))
+                n = (hi - lo)[a:b]
+                j = np.repeat(lo[a:b] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                lines = np.unique(np.stack((np.repeat(doc[a:b], n), item[j], np.repeat(at[a:b], n) - place[j])), axis=1)
+                for line in zip(*lines.tolist(), strict=True):
+                    d, i, _ = line
+                    # an item that was found whole cannot be found better
+                    if line not in tried and out[d].get(i, (0, 0, 0))[2] < len(self.items[i][1]):
                         tried.add(line)
                         self._verify(hashes, int(offs[d]), int(offs[d + 1]), line, out[d])
-                    j += 1
+                a = b
         return [[(self.items[i][0], *run) for i, run in sorted(found.items())] for found in out]
 
     def _verify(self, hashes: np.ndarray, a: int, b: int, line: tuple[int, int, int], found: dict) -> None:
@@ -110,26 +119,27 @@ class Index:
             found[i] = (shift + first + start - a, end - start, alike)
 
 
-def blocks_of(benchmark: DataFrame, settings: Settings) -> list[list]:
+def blocks_of(benchmark: DataFrame, settings: Settings):
     """The benchmark as blocks of bounded size, one at a time on the driver."""
-    rows = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().sortWithinPartitions("item_id")
-    out, size = [], 0
+    rows = benchmark.select("item_id", F.lower("text").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct().sortWithinPartitions("item_id", "text")
+    block, size = [], 0
     for row in rows.toLocalIterator():
         n = len(row["text"].encode())
-        if not out or len(out[-1]) >= settings.block_items or size + n > settings.block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((row["item_id"], row["text"]))
+        if block and (len(block) >= settings.block_items or size + n > settings.block_bytes):
+            yield block
+            block, size = [], 0
+        block.append((row["item_id"], row["text"]))
         size += n
-    return out
+    yield block
 
 
-def searcher(spark, block: list, settings: Settings):
-    """A function of a text column that gives its overlaps with the items of one block; its index is built once a worker."""
-    items = spark.sparkContext.broadcast(block)
+ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("same", pa.int32())]))
+
+
+def searcher(items, settings: Settings):
+    """A function of an Arrow column of lower-case texts that gives its overlaps; the index of the broadcast ``items`` is built once a worker."""
     kept: dict = {}
 
-    @F.arrow_udf(MATCH)
     def overlaps(text: pa.Array) -> pa.Array:
         if "index" not in kept:
             kept["index"] = Index([i for i, _ in items.value], [t for _, t in items.value], settings)
@@ -138,7 +148,7 @@ def searcher(spark, block: list, settings: Settings):
             words = Words(part, "alnum")
             for row, runs in zip(part.ids, kept["index"].search(words.hash, words.offs), strict=True):
                 out[row] = [dict(zip(("item_id", "start", "words", "same"), r, strict=True)) for r in runs]
-        return pa.array(out, type=pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("same", pa.int32())])))
+        return pa.array(out, type=ARROW)
 
     return overlaps
 
@@ -147,7 +157,39 @@ def with_overlaps(documents: DataFrame, benchmark: DataFrame, settings: Settings
     """``documents`` with the array of its overlaps: item_id, first word, words of the run, words alike."""
     spark = documents.sparkSession
     small_batches(spark)
-    text = F.lower(documents["text"])
-    found = [searcher(spark, block, settings)(text) for block in blocks_of(benchmark, settings)]
-    every = F.concat(*found) if found else F.lit(None).cast(MATCH)
-    return documents.withColumn(name, F.coalesce(every, F.array().cast(MATCH)))
+    none = F.array().cast(MATCH)
+    blocks = blocks_of(benchmark, settings)
+    first, second = next(blocks), next(blocks, None)
+    send = spark.sparkContext.broadcast
+    if second is None:
+        search = searcher(send(first), settings)
+
+        @F.arrow_udf(MATCH)
+        def overlaps(text: pa.Array) -> pa.Array:
+            return search(text)
+
+        # not deterministic for Spark: it then neither evaluates the search twice nor moves it below joins
+        return documents.withColumn(name, F.coalesce(F.array_sort(overlaps.asNondeterministic()(F.lower(documents["text"]))), none))
+
+    marks = lambda text: (F.xxhash64(text), F.xxhash64(F.lit(577), text))
+    text = documents["text"]
+    plain = documents.where(F.length(text) > 0).select(*[m.alias(n) for m, n in zip(marks(text), ("m1", "m2"), strict=True)], F.lower(text).alias("low"))
+    found = None
+    for block in chain((first, second), blocks):
+        items = send(block)
+        search = searcher(items, settings)
+
+        def hits(batches, search=search):
+            for batch in batches:
+                own = search(batch.column(2))
+                some = pa.array([len(x) > 0 for x in own], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), own.filter(some)], names=["m1", "m2", "own"])
+
+        part = written(plain.mapInArrow(hits, f"m1 long, m2 long, own {MATCH}").dropDuplicates(["m1", "m2"]), "overlaps")
+        found = part if found is None else found.union(part)
+        items.destroy()
+    every = written(found.groupBy("m1", "m2").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("every")), "overlaps-all")
+    own = [c for c in documents.columns if c != name]
+    row = documents.select(F.struct(F.lit(0).alias("__"), *[documents[c] for c in own]).alias("row"), *[m.alias(n) for m, n in zip(marks(text), ("m1", "m2"), strict=True)])
+    joined = row.join(every, ["m1", "m2"], "left")
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in own], F.coalesce("every", none).alias(name))
