@@ -6,10 +6,14 @@ neighbours lie in. Every vector of the table is indexed in its most probable par
 probable partitions and reranks their vectors by exact cosine. How many partitions a query probes is measured on the
 sample: the fewest that reach ``aim`` recall there. Recall depends on the data: vectors without clusters need many.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another dimension
-than the sample's most frequent one. Vectors with a null id are ignored; repeated rows of one id are one vector; an
-empty table gives an empty result. Ties go to the smaller id. Scores are cosines in double precision of the original
-vectors. Large partitions are searched in chunks, queries too, so that a frequent vector makes no task larger.
+The number of partitions grows with the counted rows, as far as the sample bears it. A partition is searched in chunks of
+vectors: every vector is sent once (once for each ``queries`` queries of its partition), queries go to the chunks and stream past
+them, so that a frequent vector makes no task larger and memory holds one chunk.
+
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of different dimension are not
+compared: each dimension is searched by itself. Vectors with a null id are ignored; of repeated rows of one id the smallest
+vector holds; an empty table gives an empty result. Ties go to the smaller id. Scores are cosines in double precision of the
+original vectors, scaled by powers of two, so that no component is too large or too small to be squared.
 """
 
 from __future__ import annotations
@@ -21,37 +25,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import small_batches, written
+from .frames import buckets, small_batches, written
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` rows are fitted on the driver; ``chunk`` vectors and ``queries`` queries at most meet in one task's group."""
+    """``sample`` rows are fitted on the driver, up to ``sample_most`` where the table needs more ``partitions`` than that for about ``rows`` rows each;
+    ``chunk`` vectors and ``queries`` queries at most meet in one task's group."""
 
     k: int = 5
     sample: int = 6000
+    sample_most: int = 24_000
     partitions: int = 16
+    rows: int = 32_768
     graph: int = 10
     hidden: int = 64
     epochs: int = 30
     aim: float = 0.97
     chunk: int = 8192
-    queries: int = 2048
+    queries: int = 32_768
     seed: int = 5
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, v) with v as array<double>, without vectors that take no part."""
     v = vectors.select(vectors[key].cast("long").alias("id"), vectors[vector].cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    # bounds keep the sum of squares within the doubles and drop NaN and infinities
-    good = F.forall("v", lambda x: x.isNotNull() & (F.abs(F.coalesce(x, F.lit(0.0))) < 1e150)) & F.exists("v", lambda x: F.abs(F.coalesce(x, F.lit(0.0))) > 1e-150)
-    return v.where(good).groupBy("id").agg(F.min("v").alias("v"))
+    finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
+    return v.where(finite & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def matrix(column) -> np.ndarray:
+    """Rows scaled by a power of two to components under 1: cosines stay the same, to the last bit."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(flat)
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    if not n:
+        return np.zeros((0, 0))
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -144,20 +154,19 @@ def learn(x: np.ndarray, aim: np.ndarray, settings: Settings, rng: np.random.Gen
     return layers
 
 
-def fit(vectors: DataFrame, settings: Settings = Settings()) -> Router | None:
-    """Learn partitions and router from the sample: the rows of smallest id hash."""
-    rows = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(settings.sample).toArrow().column("v").to_pylist()
-    if not rows:
-        return None
-    sizes = np.array([len(r) for r in rows])
-    dim = int(np.bincount(sizes).argmax())
-    x = unit(np.array([r for r in rows if len(r) == dim], dtype=np.float64))
+def fit(vectors: DataFrame, count: int, settings: Settings = Settings()) -> Router:
+    """Learn partitions and router from the sample, the rows of smallest id hash of ``count`` rows of one dimension."""
+    n = settings.partitions
+    while n * settings.rows < count and 40 * n < settings.sample_most:
+        n *= 2
+    rows = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(settings.sample, min(40 * n, settings.sample_most))).toArrow()
+    x = unit(matrix(rows.column("v")))
+    dim = x.shape[1]
     rng = np.random.default_rng(settings.seed)
     # copies of one vector would fill the graph with themselves
     x = np.unique(x, axis=0)
     x = x[rng.permutation(len(x))]
     held = x[: max(1, len(x) // 10)]
-    n = settings.partitions
     while n > 1 and len(x) < 40 * n:
         n //= 2
     if n == 1:
@@ -180,57 +189,73 @@ def fit(vectors: DataFrame, settings: Settings = Settings()) -> Router | None:
     return router
 
 
-def nearest(part: pa.Table, asked: pa.Table, settings: Settings) -> pa.Table:
-    """Exact best candidates of each query in one chunk."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    if not part.num_rows or not asked.num_rows:
-        return pa.table([pa.array([], f.type) for f in schema], schema=schema)
-    ids, v = part.column("id").to_numpy(), matrix(part.column("v"))
-    order = np.argsort(ids, kind="stable")
-    ids, v = ids[order], v[order]
-    # of equal vectors only the smallest ids can be among the nearest (one more, for the query's own)
-    _, group = np.unique(v, axis=0, return_inverse=True)
-    by = np.argsort(group.ravel(), kind="stable")
-    g = group.ravel()[by]
-    rank = np.arange(len(g)) - np.searchsorted(g, g)
-    kept = np.sort(by[rank <= settings.k])
-    ids, v = ids[kept], v[kept]
-    q_ids, q = asked.column("id").to_numpy(), matrix(asked.column("v"))
-    norm, q_norm = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-    out_q, out_v, out_s = [], [], []
-    for a in range(0, len(q), 128):
-        rough = (q[a : a + 128] @ v.T) / norm / q_norm[a : a + 128, None]
-        rough[q_ids[a : a + 128, None] == ids[None, :]] = -np.inf
-        k = min(settings.k, len(ids))
-        least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
-        for i in range(len(rough)):
-            some = np.flatnonzero((rough[i] >= least[i] - 1e-9) & np.isfinite(rough[i]))
-            exact = (v[some] * q[a + i]).sum(axis=1) / (norm[some] * q_norm[a + i])
-            best = np.lexsort((ids[some], -exact))[: settings.k]
-            out_q.append(np.full(len(best), q_ids[a + i]))
-            out_v.append(ids[some][best])
-            out_s.append(exact[best])
-    return pa.table([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], schema=schema)
-
-
-def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest found of each query but itself. Both frames as ``usable`` gives them."""
+class Chunk:
+    """Vectors of one chunk, of which ``nearest`` gives the exact best of some queries."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, settings: Settings):
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], v[order]
+        # of equal vectors only the smallest ids can be among the nearest (one more, for the query's own)
+        _, group = np.unique(v, axis=0, return_inverse=True)
+        by = np.argsort(group.ravel(), kind="stable")
+        g = group.ravel()[by]
+        kept = np.sort(by[np.arange(len(g)) - np.searchsorted(g, g) <= settings.k])
+        self.ids, self.v, self.k = ids[kept], v[kept], settings.k
+        self.norm = np.sqrt((self.v * self.v).sum(axis=1))
+
+    def nearest(self, q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        ids, v, norm, q_norm = self.ids, self.v, self.norm, np.sqrt((q * q).sum(axis=1))
+        out_q, out_v, out_s = [], [], []
+        k = min(self.k, len(ids))
+        for a in range(0, len(q), 128):
+            rough = (q[a : a + 128] @ v.T) / norm / q_norm[a : a + 128, None]
+            rough[q_ids[a : a + 128, None] == ids[None, :]] = -np.inf
+            least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
+            for i in range(len(rough)):
+                some = np.flatnonzero((rough[i] >= least[i] - 1e-9) & np.isfinite(rough[i]))
+                exact = (v[some] * q[a + i]).sum(axis=1) / (norm[some] * q_norm[a + i])
+                best = np.lexsort((ids[some], -exact))[: self.k]
+                out_q.append(np.full(len(best), q_ids[a + i]))
+                out_v.append(ids[some][best])
+                out_s.append(exact[best])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], names=["query_id", "vec_id", "score"])
+
+
+def streamed(settings: Settings):
+    """A function for ``mapInArrow`` over (part, chunk, group, role, id, v) in that order: the vectors of a chunk (role 0), then its queries."""
+
+    def run(batches):
+        key, held, chunk = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                *own, role = keys[a].tolist()
+                if own != key:
+                    key, held, chunk = own, [], None
+                ids, v = batch.column(4).slice(a, b - a).to_numpy(), matrix(batch.column(5).slice(a, b - a))
+                if role == 0:
+                    held.append((ids, v))
+                elif held or chunk:
+                    if chunk is None:
+                        chunk, held = Chunk(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]), settings), []
+                    yield chunk.nearest(ids, v)
+
+    return run
+
+
+def search_one(vectors: DataFrame, queries: DataFrame, count: int, settings: Settings) -> DataFrame:
+    """(query_id, vec_id, score) within one dimension: the best of each chunk."""
     spark = vectors.sparkSession
-    small_batches(spark)
-    vectors = written(vectors, "ann-vectors")
-    router = fit(vectors, settings)
-    if router is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    router = fit(vectors, count, settings)
 
     def routed(most: int):
         def run(batches):
             for batch in batches:
-                sizes = np.array([len(x) for x in batch.column(1)])
-                some = batch.filter(pa.array(sizes == router.dim))
-                if some.num_rows:
-                    best = np.argsort(-router.scores(unit(matrix(some.column(1)))), axis=1, kind="stable")[:, :most]
-                    at = np.repeat(np.arange(some.num_rows), best.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), some.column(0).take(pa.array(at)), some.column(1).take(pa.array(at))], names=["part", "id", "v"])
+                if batch.num_rows:
+                    best = np.argsort(-router.scores(unit(matrix(batch.column(1)))), axis=1, kind="stable")[:, :most]
+                    at = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["part", "id", "v"])
 
         return run
 
@@ -244,9 +269,21 @@ def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings
     groups = F.create_map(*[F.lit(x) for p, n in (wanted or {-1: 1}).items() for x in (p, -(-n // settings.queries))])
     chunk = F.pmod(F.xxhash64("id"), chunks[F.col("part")]).cast("int")
     group = F.pmod(F.xxhash64("id", F.lit(3)), groups[F.col("part")]).cast("int")
-    # each chunk meets each group of its partition's queries once
-    left = index.where(F.col("part").isin(*(wanted or {-1: 1}))).select("part", "id", "v", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), groups[F.col("part")] - 1)).alias("group"))
-    right = asked.where(F.col("part").isin(*size)).select("part", "id", "v", group.alias("group"), F.explode(F.sequence(F.lit(0), chunks[F.col("part")] - 1)).alias("chunk"))
-    found = left.groupBy("part", "chunk", "group").cogroup(right.groupBy("part", "chunk", "group")).applyInArrow(lambda a, b: nearest(a, b, settings), "query_id long, vec_id long, score double")
+    left = index.where(F.col("part").isin(*(wanted or {-1: 1}))).select("part", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), groups[F.col("part")] - 1)).alias("group"), F.lit(0).alias("role"), "id", "v")
+    right = asked.where(F.col("part").isin(*size)).select("part", F.explode(F.sequence(F.lit(0), chunks[F.col("part")] - 1)).alias("chunk"), group.alias("group"), F.lit(1).alias("role"), "id", "v")
+    met = left.union(right).repartition(buckets(spark, count * router.dim * 8), "part", "chunk", "group").sortWithinPartitions("part", "chunk", "group", "role")
+    return met.mapInArrow(streamed(settings), "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(query_id, rank, vec_id, score): the nearest found of each query but itself. Both frames as ``usable`` gives them."""
+    spark = vectors.sparkSession
+    small_batches(spark)
+    vectors = written(vectors, "ann-vectors")
+    # one row a dimension: models have one or a few
+    sizes = {r["dim"]: r["count"] for r in vectors.groupBy(F.size("v").alias("dim")).count().collect()}
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for dim, count in sorted(sizes.items()):
+        found = found.union(search_one(vectors.where(F.size("v") == dim), queries.where(F.size("v") == dim), count, settings))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= settings.k).select("query_id", "rank", "vec_id", "score")

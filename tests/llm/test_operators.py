@@ -311,3 +311,26 @@ def test_neighbours(spark):
     assert neighbours.search(none, none).count() == 0
     few = neighbours.usable(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>"))
     assert [(r["rank"], r["vec_id"]) for r in neighbours.search(few, few.where("id = 0")).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_neighbours_odd_vectors(spark):
+    """Very large and very small components take part, other dimensions among themselves, of repeated ids the smallest vector."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * (1e200 if i % 3 == 0 else 1e-200 if i % 3 == 1 else 1.0)]) for i in range(120)]
+    rows += [(1000 + i, [float(x) for x in rng.normal(size=3)]) for i in range(60)] + [(50, [9e300] * 4), (2000, [float("inf")] * 4), (2050, [1.0, None, 2.0, 3.0])]
+    vectors = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = neighbours.search(vectors, vectors.where("id % 50 = 0")).collect()
+    data = {}
+    for i, v in rows:
+        if all(x is not None and np.isfinite(x) for x in v):
+            data[i] = min(data.get(i, v), v)
+    want = set()
+    for q in (x for x in data if x % 50 == 0):
+        a = np.array(data[q]) / np.abs(data[q]).max()
+        best = []
+        for i, v in data.items():
+            if i != q and len(v) == len(a):
+                b = np.array(v) / np.abs(v).max()
+                best.append((-(a @ b) / np.sqrt((a @ a) * (b @ b)), i))
+        want |= {(q, r + 1, i) for r, (_, i) in enumerate(sorted(best)[:5])}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == want
