@@ -7,7 +7,6 @@ mixed. Documents that are longer than a block form a block of their own: texts a
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -21,43 +20,22 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=1)
-def _libc():
-    """The C library, told once to keep freed arrays for the next block until ``trim`` (glibc only): fresh pages cost more than the sums."""
-    try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
-        return libc
-    except (OSError, AttributeError):
-        return None
-
-
-def trim() -> None:
-    """Give freed memory back: workers are kept between tasks, and their idle memory counts against the executor."""
-    pa.default_memory_pool().release_unused()
-    if (libc := _libc()) is not None:
-        libc.malloc_trim(0)
-
-
 def mapped(step):
-    """A function for ``mapInArrow`` that leaves no memory behind in its worker."""
+    """A function for ``mapInArrow`` that leaves no Arrow buffers behind in its worker, which is kept between tasks."""
 
     def run(batches):
-        _libc()
         yield from step(batches)
-        trim()
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def grouped(step):
-    """A function for ``applyInArrow`` that leaves no memory behind in its worker."""
+    """A function for ``applyInArrow`` that leaves no Arrow buffers behind in its worker."""
 
     def run(table: pa.Table) -> pa.Table:
-        _libc()
         out = step(table)
-        trim()
+        pa.default_memory_pool().release_unused()
         return out
 
     return run
@@ -78,9 +56,9 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U64) + U64(seed * 1_000_003)) * U64(BASE))
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return stream(11, 256) | U64(1)
+@lru_cache(maxsize=4)
+def _byte_values(seed: int = 11) -> np.ndarray:
+    return stream(seed, 256) | U64(1)
 
 
 _powers: dict[int, np.ndarray] = {}
@@ -99,10 +77,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[: n + 1]
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of the block, one longer than the block."""
+def prefix(data: np.ndarray, seed: int = 11) -> np.ndarray:
+    """Prefix sums of the block, one longer than the block; hashes of different seeds are independent."""
     out = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_byte_values()[data] * powers(BASE, len(data))[: len(data)], out=out[1:])
+    np.cumsum(_byte_values(seed)[data] * powers(BASE, len(data))[: len(data)], out=out[1:])
+    return out
+
+
+def prefix_of(values: np.ndarray) -> np.ndarray:
+    """Prefix sums as of ``prefix``, over 64-bit values instead of bytes."""
+    out = np.zeros(len(values) + 1, dtype=U64)
+    np.cumsum(values * powers(BASE, len(values))[: len(values)], out=out[1:])
     return out
 
 

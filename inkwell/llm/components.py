@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     # written, so that Spark can split the join below where one node has very many edges
-    least = written(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
+    least = written(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars", True)
     joined = near.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -30,10 +30,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge ``u``, ``v``; a component is named by its smallest node."""
-    now = written(edges.select("u", "v").where("u <> v AND u IS NOT NULL AND v IS NOT NULL").distinct(), "edges")
+    now = written(edges.select("u", "v").where("u <> v AND u IS NOT NULL AND v IS NOT NULL").distinct(), "edges", True)
     mark = _mark(now)
     while mark[0]:
-        following = written(_star(_star(now, True), False), "edges")
+        following = written(_star(_star(now, True), False), "edges", True)
         new = _mark(following)
         now, old, mark = following, mark, new
         if new == old:
