@@ -5,15 +5,14 @@ Findings have byte offsets and 1-based line and column. Rules that are off are n
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from bisect import bisect_right
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import ship
+
 FINDING = (
     "doc_id long, path string, rule string, severity int, b_start long, b_end long, line int, col int, end_line int, end_col int, "
     "text string, message string, suggestions array<string>, fix struct<s:long,e:long,replacement:string>"
@@ -24,21 +23,6 @@ ARROW = pa.schema([
 ])
 #: Longest text that a finding shows.
 SNIPPET = 200
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Workers anywhere can import this package; Arrow batches hold few enough whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        made = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(made))
-        _shipped.add(context.applicationId)
 
 
 class Positions:
@@ -85,10 +69,31 @@ def row(doc_id, path, text: str, where: Positions, name: str, severity: int, f)
     }
 
 
-def lint(documents: DataFrame, rules: list[str] | None = None, config: dict | None = None, levels: dict[str, int] | None = None) -> DataFrame:
+LEVELS = {"off": None, "info": 0, "warn": 1, "warning": 1, "error": 2}
+
+
+def resolved_levels(defaults: dict[str, int | None], levels: dict[str, str]) -> dict[str, int]:
+    """Severity of every rule that is on under ``levels`` (pattern -> level): the rule's id, else the longest glob that matches, else its default.
+
+    A glob cannot switch on a rule that is off by default.
+    """
+    from .settle import matches
+
+    out = {}
+    for name, default in defaults.items():
+        globs = sorted((p for p in levels if "*" in p and matches(p, name)), key=len)
+        level = LEVELS[levels[name]] if name in levels else LEVELS[levels[globs[-1]]] if globs and default is not None else default
+        if level is not None:
+            out[name] = level
+    return out
+
+
+def lint(documents: DataFrame, rules: list[str] | None = None, config: dict | None = None, levels: dict[str, int] | None = None, settle: bool = False) -> DataFrame:
     """Findings of ``documents(doc_id, path, kind, code_lang, text)``; without ``rules`` all that are on by default.
 
-    Where there is a column ``language``, it chooses the grammar of each document.
+    Where there is a column ``language``, it chooses the grammar of each document; a column ``levels`` (pattern -> level) its rules.
+    With ``settle``, directives, marked regions and foreign stretches are minded and nothing is reported twice (``settle.py``);
+    the option ``detect_language`` then finds the language of documents that do not look English.
     """
     from . import all_rules
 
@@ -101,24 +106,34 @@ def lint(documents: DataFrame, rules: list[str] | None = None, config: dict | No
     def made(batches):
         from inkwell.operators import all_rules
         from inkwell.operators.registry import Context, run
+        from inkwell.operators.settle import checked
 
-        all_rules()
+        defaults = {n: r.severity for n, r in all_rules().items()}
+        by_levels: dict[tuple, dict[str, int]] = {}
         for batch in batches:
             out = []
-            for doc_id, path, kind, lang, text, language in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for doc_id, path, kind, lang, text, language, own_levels in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if text is None:
                     continue
+                now = level
+                if own_levels:
+                    key = tuple(sorted(own_levels))
+                    if key not in by_levels:
+                        by_levels[key] = resolved_levels(defaults if rules is None else {n: defaults[n] for n in names}, dict(key))
+                    now = by_levels[key]
                 own = options if language is None else {**options, "language": language}
                 context, where = Context(text, path or "", kind or "markdown", lang or "", own), None
-                for name, f in run(names, context):
+                for name, f in checked(list(now), context, detect=options.get("detect_language", False)) if settle else run(list(now), context):
                     where = where or Positions(text)
-                    out.append(row(doc_id, path, text, where, name, level[name], f))
+                    out.append(row(doc_id, path, text, where, name, now[name], f))
             yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
-    language = documents["language"] if "language" in documents.columns else F.lit(None).cast("string")
-    chosen = documents.select(documents["doc_id"].cast("long"), "path", "kind", "code_lang", "text", language.alias("language"))
-    # rules cost far more than moving the texts: a few large splits are dealt out over the cluster
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    if len(names) > 8 and chosen.rdd.getNumPartitions() < 2 * cores:
-        chosen = chosen.repartition(4 * cores)
-    return chosen.mapInArrow(made, FINDING)
+    optional = [documents[c].alias(c) if c in documents.columns else F.lit(None).cast(t).alias(c) for c, t in (("language", "string"), ("levels", "map<string,string>"))]
+    chosen = documents.select(documents["doc_id"].cast("long"), "path", "kind", "code_lang", "text", *optional)
+    return spread(chosen, len(names) > 8).mapInArrow(made, FINDING)
+
+
+def spread(texts: DataFrame, costly: bool) -> DataFrame:
+    """Dealt out over the cluster where one large split would keep one core busy: rules cost far more than moving the texts."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(4 * cores) if costly and texts.rdd.getNumPartitions() < 2 * cores else texts

@@ -62,9 +62,12 @@ def word(c: Context):
 
 @rule("slop/density", WARNING)
 def density(c: Context):
+    by_segment: dict[int, list] = {}
+    for h in hits(c, "phrase") + hits(c, "word"):
+        by_segment.setdefault(h[0].start, []).append(h)
     for own in sections(c):
         n = sum(len(words(s.text)) for s in own)
-        found = [h for h in hits(c, "phrase") + hits(c, "word") if h[0] in own]
+        found = [h for s in own for h in by_segment.get(s.start, ())]
         if n >= c.option("density_min_words", 100) and len(found) * 100 / n > c.option("density_per_100", 1.5):
             top = Counter(h[3] for h in found)
             named = ", ".join(f"{k} ({v})" for k, v in sorted(top.items(), key=lambda x: (-x[1], x[0]))[:5])

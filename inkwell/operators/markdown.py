@@ -43,7 +43,7 @@ class Heading:
     end: int
     line: int
     setext: bool = False
-    explicit: str | None = None
+    given_anchor: str | None = None
     anchor: str = ""
 
 
@@ -303,20 +303,20 @@ class Document:
 
     def _heading(self, i: int, level: int, raw: str, setext: bool) -> None:
         line = self.lines[i]
-        explicit = None
+        given_anchor = None
         if m := re.search(r"\s*\{#([\w:.-]+)[^}]*\}\s*$", raw):
-            explicit, raw = m[1], raw[: m.start()]
+            given_anchor, raw = m[1], raw[: m.start()]
         text = plain(raw)
-        anchor = explicit or slug(text)
+        anchor = given_anchor or slug(text)
         base = anchor
-        if explicit is None:
+        if given_anchor is None:
             k = self._repeats.get(base, 0)
             while anchor in self._anchors:
                 k += 1
                 anchor = f"{base}-{k}"
             self._repeats[base] = k
             self._anchors.add(anchor)
-        self.headings.append(Heading(level, text, line.start + line.body, line.end, i, setext, explicit, anchor))
+        self.headings.append(Heading(level, text, line.start + line.body, line.end, i, setext, given_anchor, anchor))
 
     def _item(self, i: int, m: re.Match, stack: list[list[Item]]) -> list[list[Item]]:
         line = self.lines[i]

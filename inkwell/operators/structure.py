@@ -602,10 +602,13 @@ def unused_note(c: Context):
 @rule("links/duplicate-anchor", WARNING)
 def duplicate_anchor(c: Context):
     html = {m[1] for _, attrs, _, _ in c.doc.tags if (m := re.search(r"\b(?:id|name)\s*=\s*[\"']([^\"']+)", attrs))}
+    made = {h.anchor for h in c.doc.headings if h.given_anchor is None}
+    given: set[str] = set()
     for h in c.doc.headings:
-        others = {o.anchor for o in c.doc.headings if o is not h and (o.explicit is None or o.start < h.start)}
-        if h.explicit and (h.explicit in others or h.explicit in html):
-            yield Found(h.start, h.end, f"anchor {h.explicit} exists already")
+        if h.given_anchor:
+            if h.given_anchor in made or h.given_anchor in given or h.given_anchor in html:
+                yield Found(h.start, h.end, f"anchor {h.given_anchor} exists already")
+            given.add(h.given_anchor)
 
 
 @rule("links/insecure", INFO)

@@ -26,22 +26,23 @@ def child(documents: DataFrame, ddl: str, rows: Callable[[Context, Positions], I
     def made(batches):
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, path, kind, lang, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for doc_id, path, kind, lang, text, language in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if text is not None:
-                    c = Context(text, path or "", kind or "markdown", lang or "")
+                    c = Context(text, path or "", kind or "markdown", lang or "", {} if language is None else {"language": language})
                     out += [(doc_id, *r) for r in rows(c, Positions(text))]
             cols = list(zip(*out, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long"), "path", "kind", "code_lang", "text").mapInArrow(made, f"doc_id long, {ddl}")
+    language = documents["language"] if "language" in documents.columns else F.lit(None).cast("string")
+    return documents.select(F.col("doc_id").cast("long"), "path", "kind", "code_lang", "text", language.alias("language")).mapInArrow(made, f"doc_id long, {ddl}")
 
 
 def headings(documents: DataFrame) -> DataFrame:
     def rows(c, at):
         for i, h in enumerate(c.doc.headings):
-            yield i + 1, h.level, h.text, h.anchor, h.setext, h.explicit is not None, at.byte(h.start), at.byte(h.end)
+            yield i + 1, h.level, h.text, h.anchor, h.setext, h.given_anchor is not None, at.byte(h.start), at.byte(h.end)
 
-    return child(documents, "h_id int, level int, text string, anchor string, setext boolean, explicit_id boolean, b_start long, b_end long", rows)
+    return child(documents, "h_id int, level int, text string, anchor string, setext boolean, has_given_anchor boolean, b_start long, b_end long", rows)
 
 
 def normalized(base: str, dest: str) -> str:
@@ -170,38 +171,59 @@ def includes(documents: DataFrame) -> DataFrame:
 LANG_MARK = re.compile(r"<!--\s*lang:?\s+([a-zA-Z-]+)\s*-->|<(p|div|span|section|blockquote|q|em|i)\b[^<>]*\blang\s*=\s*[\"']([a-zA-Z-]+)[\"'][^<>]*>")
 
 
+def marked_regions(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, language) of marked languages in characters; inner marks win, equal neighbours are one region."""
+    spans: list[tuple[int, int, str]] = []
+    open_: tuple[int, str] | None = None
+    for m in LANG_MARK.finditer(text):
+        if m[1]:
+            if open_:
+                spans.append((open_[0], m.start(), open_[1]))
+            open_ = None if m[1].lower() == "end" else (m.end(), m[1].lower().split("-")[0])
+        else:
+            depth, end = 1, len(text)
+            for t in re.compile(rf"<(/?){m[2]}\b[^<>]*>").finditer(text, m.end()):
+                depth += -1 if t[1] else 1
+                if not depth:
+                    end = t.start()
+                    break
+            spans.append((m.end(), end, m[3].lower().split("-")[0]))
+    if open_:
+        spans.append((open_[0], len(text), open_[1]))
+    # the innermost mark over every stretch between two ends, by one walk with the open marks
+    events = sorted([(a, 1, -b, i) for i, (a, b, _) in enumerate(spans)] + [(b, 0, a, i) for i, (a, b, _) in enumerate(spans)])
+    flat: list[list] = []
+    active: set[int] = set()
+    at = 0
+    for place, opens, _, i in events:
+        if active and place > at:
+            lang = spans[min(active, key=lambda k: (spans[k][1] - spans[k][0], k))][2]
+            if flat and flat[-1][1] == at and flat[-1][2] == lang:
+                flat[-1][1] = place
+            else:
+                flat.append([at, place, lang])
+        (active.add if opens else active.discard)(i)
+        at = place
+    return [tuple(x) for x in flat]
+
+
 def regions(documents: DataFrame) -> DataFrame:
-    """(doc_id, b_start, b_end, lang): marked languages; inner marks win, equal neighbours are one region."""
+    """(doc_id, b_start, b_end, lang): marked languages."""
 
     def rows(c, at):
-        spans: list[tuple[int, int, str]] = []
-        open_: tuple[int, str] | None = None
-        for m in LANG_MARK.finditer(c.text):
-            if m[1]:
-                if open_:
-                    spans.append((open_[0], m.start(), open_[1]))
-                open_ = None if m[1].lower() == "end" else (m.end(), m[1].lower().split("-")[0])
-            else:
-                depth, end = 1, len(c.text)
-                for t in re.finditer(rf"<(/?){m[2]}\b[^<>]*>", c.text[m.end() :]):
-                    depth += -1 if t[1] else 1
-                    if not depth:
-                        end = m.end() + t.start()
-                        break
-                spans.append((m.end(), end, m[3].lower().split("-")[0]))
-        if open_:
-            spans.append((open_[0], len(c.text), open_[1]))
-        cuts = sorted({x for a, b, _ in spans for x in (a, b)})
-        flat: list[list] = []
-        for a, b in zip(cuts, cuts[1:]):
-            over = [s for s in spans if s[0] <= a and b <= s[1]]
-            if over:
-                lang = min(over, key=lambda s: s[1] - s[0])[2]
-                if flat and flat[-1][1] == a and flat[-1][2] == lang:
-                    flat[-1][1] = b
-                else:
-                    flat.append([a, b, lang])
-        for a, b, lang in flat:
+        for a, b, lang in marked_regions(c.text):
             yield at.byte(a), at.byte(b), lang
 
     return child(documents, "b_start long, b_end long, lang string", rows)
+
+
+def spell_words(documents: DataFrame, vocabulary: tuple[str, ...] = (), detect: bool = False) -> DataFrame:
+    """Words of the prose that a speller has to know, with the language they are in; a column ``language`` is minded."""
+    from .spelling import spell_words as own
+
+    def rows(c, at):
+        for a, b, word, lang in own(c, vocabulary, detect):
+            line, col = at.line(a)
+            yield word, lang, at.byte(a), at.byte(b), line, col
+
+    return child(documents, "word string, lang string, b_start long, b_end long, line int, col int", rows)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -81,7 +80,7 @@ def as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lint_documents")
 def lint_documents(spark, sf_dir):
     """All rules that are on by default over the whole table."""
-    return finished(lint(as_documents(spark, sf_dir))).select("doc_id", "path", "rule", "severity", "b_start", "b_end", "line", "col", "text", "message")
+    return lint(as_documents(spark, sf_dir), settle=True).select("doc_id", "path", "rule", "severity", "b_start", "b_end", "line", "col", "text", "message")
 
 
 @query("lint_repetition", """WITH d AS (SELECT doc_id, text FROM documents)
@@ -93,64 +92,28 @@ def lint_repetition(spark, sf_dir):
     return d.select("doc_id", n.cast("long").alias("n")).where("n > 0")
 
 
-def finished(findings: DataFrame, suppressions: DataFrame | None = None) -> DataFrame:
-    """Terminology beats spelling on the same range, suppressed findings go, of equal (rule, range) one stays."""
-    own = findings
-    if suppressions is not None:
-        own = unsuppressed(own, suppressions)
-    return own.dropDuplicates(["doc_id", "rule", "b_start", "b_end"])
-
-
 def unsuppressed(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
-    """Findings outside ``suppressions(doc_id, s, e, rules)``; ends are inclusive, a family name covers its rules."""
+    """Findings outside ``suppressions(doc_id, s, e, rules, kept)``; ends are inclusive, a family name covers its rules, ``kept`` are on again.
+
+    For findings of joins; those of the map are settled there.
+    """
     f, s = findings.alias("f"), suppressions.alias("s")
-    covers = F.exists("s.rules", lambda p: (p == "*") | (F.col("f.rule") == p) | F.col("f.rule").startswith(F.concat(F.rtrim(p, F.lit("*/")), F.lit("/"))))
+    one = lambda p: (p == "*") | (F.col("f.rule") == p) | F.col("f.rule").startswith(F.concat(F.rtrim(p, F.lit("*/")), F.lit("/")))
+    covers = F.exists("s.rules", one) & ~F.exists("s.kept", one)
     inside = (F.col("f.doc_id") == F.col("s.doc_id")) & (F.col("s.s") <= F.col("f.b_start")) & (F.col("f.b_start") <= F.col("s.e")) & covers
     return f.join(s, inside, "left_anti")
 
 
-DIRECTIVE = r"(?m)<!--\s*lint-(disable-next-line|disable-line|disable-file|disable|enable)\s*([^>]*?)\s*-->"
-
-
-def suppressions_of(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, rules) of the directives of a text, in bytes; a reason may follow ``--``."""
-    out, open_ = [], {}
-    size = len(text.encode())
-    byte = lambda i: len(text[:i].encode())
-    for m in re.finditer(DIRECTIVE, text):
-        rules = [x for x in re.split(r"[,\s]+", m[2].split(" -- ")[0].strip("- ")) if x] or ["*"]
-        line = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        after = text.find("\n", end + 1)
-        if m[1] == "disable":
-            for r in rules:
-                open_.setdefault(r, byte(m.end()))
-        elif m[1] == "enable":
-            for r in list(open_) if rules == ["*"] else rules:
-                if r in open_:
-                    out.append((open_.pop(r), byte(m.start()), [r]))
-        elif m[1] == "disable-line":
-            out.append((byte(line), byte(end), rules))
-        elif m[1] == "disable-next-line":
-            out.append((byte(min(end + 1, len(text))), byte(len(text) if after < 0 else after), rules))
-        else:
-            out.append((0, size, rules))
-    return [*out, *((a, size, [r]) for r, a in open_.items())]
-
-
 def suppressions(documents: DataFrame) -> DataFrame:
-    """(doc_id, s, e, rules) of all directives; only documents with one reach Python."""
-    @F.arrow_udf("array<struct<s:long,e:long,rules:array<string>>>")
-    def found(text: pa.Array) -> pa.Array:
-        rows = [[{"s": a, "e": b, "rules": r} for a, b, r in suppressions_of(t.as_py() or "")] for t in text]
-        return pa.array(rows, type=pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("rules", pa.list_(pa.string()))])))
+    """(doc_id, s, e, rules, kept) of all directives; only documents with one reach Python."""
+    from ..operators import tables
+    from ..operators.settle import directives
 
-    from ..operators.lint import ship
+    def rows(c, at):
+        for o in directives(c)[0]:
+            yield at.byte(o.start), at.byte(o.end), list(o.rules), list(o.kept)
 
-    ship(documents.sparkSession)
-    own = documents.where(F.contains("text", F.lit("lint-"))).select("doc_id", F.explode(found("text")).alias("x"))
-    return own.select("doc_id", "x.s", "x.e", "x.rules")
+    return tables.child(documents.where(F.contains("text", F.lit("lint-"))), "s long, e long, rules array<string>, kept array<string>", rows)
 
 
 SUPPRESSED = "CASE p_partkey % 4 WHEN 0 THEN '<!-- lint-disable-next-line md/no-hard-tabs -- ok -->' || chr(10) || 'a' || chr(9) || 'b' || chr(10) || 'c' || chr(9) || 'd' WHEN 1 THEN '<!-- lint-disable md -->' || chr(10) || 'a' || chr(9) || 'b' || chr(10) || '<!-- lint-enable -->' || chr(10) || 'c' || chr(9) || 'd' WHEN 2 THEN '<!-- lint-disable-file -->' || chr(10) || 'a' || chr(9) || 'b' ELSE 'a' || chr(9) || 'b' || chr(10) END"
@@ -159,7 +122,7 @@ SUPPRESSED = "CASE p_partkey % 4 WHEN 0 THEN '<!-- lint-disable-next-line md/no-
 @query("suppression", "SELECT p_partkey AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 1 END::INTEGER AS line FROM part WHERE p_partkey % 4 <> 2")
 def suppression(spark, sf_dir):
     documents = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("a.md").alias("path"), F.lit("markdown").alias("kind"), F.lit("").alias("code_lang"), F.expr(SUPPRESSED).alias("text"))
-    return finished(lint(documents, ["md/no-hard-tabs"]), suppressions(documents)).select("doc_id", "line")
+    return lint(documents, ["md/no-hard-tabs"], settle=True).select("doc_id", "line")
 
 
 # positions

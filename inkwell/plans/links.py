@@ -17,7 +17,7 @@ def missing_files(links: DataFrame, paths: DataFrame) -> DataFrame:
     every = paths.select(F.col("path").alias("target"))
     folders = every.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("target", "/"))), lambda n: F.array_join(F.slice(F.split("target", "/"), 1, n), "/"))).alias("target")).distinct()
     local = links.where("target IS NOT NULL")
-    return local.join(folders.union(F.broadcast(every.limit(0))).union(every).distinct(), "target", "left_anti").select("doc_id", F.lit("links/missing-file").alias("rule"), "line", "b_start", "b_end", F.col("dest").alias("text"))
+    return local.join(folders.union(every).distinct(), "target", "left_anti").select("doc_id", F.lit("links/missing-file").alias("rule"), "line", "b_start", "b_end", F.col("dest").alias("text"))
 
 
 def suggestions(missing: DataFrame, paths: DataFrame, most: int = 2) -> DataFrame:
@@ -61,7 +61,7 @@ def address_findings(links: DataFrame, status: DataFrame) -> DataFrame:
         .when(F.col("tag").isin("blocked", "unreachable"), "links/http-unreachable").when(F.col("tag") == "redirect", "links/http-redirect")
     )
     fragment = F.when(F.contains("dest", F.lit("#")), F.concat(F.lit("#"), F.substring_index("dest", "#", -1))).otherwise("")
-    return met.select("doc_id", rule.alias("rule"), "line", F.col("dest").alias("text"), F.when(F.col("tag") == "redirect", F.concat("detail", fragment)).alias("suggestion")).where("rule IS NOT NULL")
+    return met.select("doc_id", rule.alias("rule"), "line", "b_start", "b_end", F.col("dest").alias("text"), F.when(F.col("tag") == "redirect", F.concat("detail", fragment)).alias("suggestion")).where("rule IS NOT NULL")
 
 
 REPO = r"^https?://(?:www\.)?github\.com/([\w.-]+/[\w.-]+?)(?:\.git)?/(blob|tree|raw|commit|compare|issues|pull|discussions|releases/tag)/([^?#]+)"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import Config, discover, with_overrides
+from ..sources.shared import shared_dir
 from ..streaming.watch import State, to_recheck, watch
 from .engine import query, table
 
@@ -44,7 +44,7 @@ def watch_folder(spark, sf_dir):
     """Findings of a watched folder after two arrivals: all documents, then a new version of each, which ends even ones with a line end and odd ones with two."""
     from .engine import as_documents
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()).rstrip("/") + f"/watch-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
     state = State(spark, f"{root}/state", ["md/single-trailing-newline"])
     documents = as_documents(spark, sf_dir)
     for version, arrived in enumerate((documents, documents.withColumn("text", F.expr("text || repeat(chr(10), 1 + doc_id % 2)")))):

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import tables
 from ..operators.lint import lint
-from ..plans.engine import finished
 
 DOCUMENT = "doc_id long, path string, kind string, code_lang string, text string, version long"
 
@@ -54,7 +53,7 @@ class State:
         own = tables.links(changed).join(changed.select("doc_id", "path"), "doc_id").select("path", "target")
         again = to_recheck(changed, links.unionByName(own) if links is not None else own)
         checked = documents.join(again, "path", "left_semi")
-        found = finished(lint(checked, self.rules))
+        found = lint(checked, self.rules, settle=True)
         kept = self.now["findings"].join(again, "path", "left_anti") if "findings" in self.now else None
         self._put("findings", kept.unionByName(found) if kept is not None else found)
         self._put("links", links.join(changed.select("path"), "path", "left_anti").unionByName(own) if links is not None else own)

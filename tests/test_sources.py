@@ -4,7 +4,9 @@ import pytest
 
 from inkwell.operators import tables
 from inkwell.operators.lint import lint
-from inkwell.plans.engine import fixed, scored, suppressions, suppressions_of, unsuppressed, without_overlaps
+from inkwell.operators.registry import Context
+from inkwell.operators.settle import directives
+from inkwell.plans.engine import fixed, scored, suppressions, unsuppressed, without_overlaps
 from inkwell.sources.files import Config, discover, glob_regex, read_files
 from inkwell.streaming.watch import State, to_recheck, watch
 
@@ -45,7 +47,12 @@ def test_config_is_strict():
 
 def test_suppressions():
     text = "<!-- lint-disable md/a, md/b -- why -->\nx\n<!-- lint-enable md/a -->\ny <!-- lint-disable-line -->\nz"
-    assert suppressions_of(text) == [(39, 42, ["md/a"]), (68, 96, ["*"]), (39, 98, ["md/b"])]
+    off, where = directives(Context(text))
+    assert sorted((o.start, o.end, o.rules, o.kept) for o in off) == [(39, 42, ("md/a", "md/b"), ()), (42, 98, ("md/b",), ("md/a",)), (68, 96, ("*",), ())]
+    assert [text[a:b] for a, b in where] == ["<!-- lint-disable md/a, md/b -- why -->", "<!-- lint-enable md/a -->", "<!-- lint-disable-line -->"]
+    assert directives(Context("// lint-disable-line x\nlet a = 1;\n", kind="code", code_lang="rust"))[0][0].covers("x")
+    every = directives(Context("<!-- lint-disable -->\na\n<!-- lint-enable md/x -->\nb\n"))[0]
+    assert not every[-1].covers("md/x") and every[-1].covers("md/y") and every[0].covers("md/x")
 
 
 def test_suppression_ranges(spark):
