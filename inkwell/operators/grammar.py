@@ -1,8 +1,6 @@
-"""Grammar rules (``grammar/...``): English word windows, and other languages on small tables of forms.
+"""Grammar rules (``grammar/...``) of English: word windows. Other languages are in ``native_grammar.py``.
 
-English rules are patterns over neighbouring words of a segment; a pattern's group ``x`` is what is reported. Rules of
-other languages run when the document's language says so (``language`` option); their articles, nouns, pronouns and
-verbs come from tables that callers can extend (``morphology`` option).
+Rules are patterns over neighbouring words of a segment; a pattern's group ``x`` is what is reported.
 """
 
 from __future__ import annotations
@@ -163,180 +161,3 @@ def repeated_words(c: Context):
         for m in re.finditer(r"(?<![\w-])([^\W\d_]+)(\s+)(\1)(?![\w'’-])", s.text, I):
             if m[1].lower() not in TWICE and "\n\n" not in m[2] and not masked(s, m.start(), m.end(), c):
                 yield Finding(s.start + m.start(), s.start + m.end(), f"{m[1]!r} is repeated", suggestions=(m[1],))
-
-
-# other languages: tables of forms (small by design; the `morphology` option adds to them)
-
-NOUNS = {
-    "de": {"m": "Hund Tisch Mann Baum Tag Brief Stuhl Weg Garten", "f": "Frau Katze Lampe Stadt Schule Tür Straße Woche", "n": "Haus Kind Buch Auto Jahr Fenster Bild Land"},
-    "fr": {"m": "chien livre jardin garçon homme train jour problème mur", "f": "maison table voiture femme fille ville porte semaine idée"},
-    "es": {"m": "perro libro coche niño día problema mapa árbol", "f": "casa mesa ciudad mano mujer noche puerta semana"},
-    "pt": {"m": "livro carro menino dia problema mapa cão homem", "f": "casa mesa cidade mão mulher noite porta semana"},
-    "sv": {"u": "hund bil bok stol stad dag katt vecka", "n": "hus barn bord år land rum tåg brev"},
-}
-PLURALS = {
-    "de": "Hunde Kinder Bücher Häuser Leute Frauen Männer Katzen", "fr": "chiens livres enfants maisons filles amis voitures", "es": "perros libros niños casas mesas amigos coches", "pt": "livros carros meninos casas mesas amigos dias",
-}
-ARTICLES = {
-    "de": {"der": "m", "die": "f", "das": "n"}, "fr": {"le": "m", "la": "f", "un": "m", "une": "f"}, "es": {"el": "m", "la": "f", "un": "m", "una": "f"}, "pt": {"o": "m", "a": "f", "um": "m", "uma": "f"}, "sv": {"en": "u", "ett": "n"},
-}
-SAME_KIND = {"de": (("der", "die", "das"),), "fr": (("le", "la"), ("un", "une")), "es": (("el", "la"), ("un", "una")), "pt": (("o", "a"), ("um", "uma")), "sv": (("en", "ett"),)}
-ADJECTIVES = {
-    "fr": {"petit": "petite", "grand": "grande", "vert": "verte", "noir": "noire", "blanc": "blanche"}, "es": {"pequeño": "pequeña", "rojo": "roja", "blanco": "blanca", "nuevo": "nueva", "viejo": "vieja"},
-    "pt": {"pequeno": "pequena", "vermelho": "vermelha", "branco": "branca", "novo": "nova", "velho": "velha"}, "sv": {"stor": "stort", "liten": "litet", "röd": "rött", "gammal": "gammalt", "ny": "nytt"},
-}
-PERSONS = {
-    "de": (("ich", "du", "er sie es", "wir", "ihr"), ("bin bist ist sind seid", "habe hast hat haben habt", "gehe gehst geht gehen geht", "komme kommst kommt kommen kommt")),
-    "fr": (("je", "tu", "il elle on", "nous", "vous", "ils elles"), ("suis es est sommes êtes sont", "ai as a avons avez ont", "vais vas va allons allez vont", "parle parles parle parlons parlez parlent")),
-    "es": (("yo", "tú", "él ella", "nosotros", "vosotros", "ellos ellas"), ("soy eres es somos sois son", "tengo tienes tiene tenemos tenéis tienen", "voy vas va vamos vais van", "hablo hablas habla hablamos habláis hablan")),
-    "pt": (("eu", "tu", "ele ela", "nós", "vós", "eles elas"), ("sou és é somos sois são", "tenho tens tem temos tendes têm", "vou vais vai vamos ides vão", "falo falas fala falamos falais falam")),
-}
-#: language: rule: (pattern, replacement of group x).
-NATIVE: dict[str, dict[str, list[tuple[str, str | Callable[[re.Match], str]]]]] = {
-    "de": {
-        "AuxiliaryParticiple": [(r"\b(?:habe|hast|hat|haben|ist|sind|war)\b(?: \w+){0,3} (?P<x>gehen|kommen|sehen|machen|schreiben|finden)(?=[.!?]|$)", lambda m: {"gehen": "gegangen", "kommen": "gekommen", "sehen": "gesehen", "machen": "gemacht", "schreiben": "geschrieben", "finden": "gefunden"}[m["x"].lower()])],
-        "SubordinateWordOrder": [(r"\b(?:weil|dass|obwohl|wenn) (?:ich|du|er|sie|es|wir|ihr) (?P<x>(?:ist|bin|bist|hat|habe|hast|sind|haben) (?!gewesen)[a-zäöüß]+)(?=[.,!?]|$)", lambda m: " ".join(reversed(m["x"].split())))],
-        "Homophones": [(r"\b(?P<x>seid) (?=(?:gestern|heute|Jahren|Montag|einem|einer|dem|der|\d))", "seit"), (r"\b(?:ihr) (?P<x>seit)\b", "seid"), (r", (?P<x>das) (?=(?:er|sie|es|wir|ich|ihr|du|man) \w+(?: \w+)? (?:ist|hat|sind|kommt|geht)\b)", "dass")],
-    },
-    "fr": {
-        "AuxiliaryParticiple": [(r"\b(?:ai|as|a|avons|avez|ont) (?P<x>manger|parler|donner|trouver|aller|marcher)\b", lambda m: m["x"][:-2] + "é")],
-        "FormalSubjunctive": [(r"\b(?:il faut|avant|pour|bien) qu(?:e |')(?:il|elle|on) (?P<x>est|a|fait|va|peut)\b", lambda m: {"est": "soit", "a": "ait", "fait": "fasse", "va": "aille", "peut": "puisse"}[m["x"]])],
-        "PrepositionAccent": [(r"\b(?:va|vais|allons|pense|habite|arrive|grâce) (?P<x>a) (?=(?:la|l'|Paris|Lyon|cette|mon|ma)\b)", "à")],
-        "PrepositionContraction": [(r"\b(?P<x>de le) (?=\w)", "du"), (r"\b(?P<x>de les) (?=\w)", "des"), (r"\b(?P<x>à le) (?=\w)", "au"), (r"\b(?P<x>à les) (?=\w)", "aux")],
-    },
-    "es": {
-        "AuxiliaryParticiple": [(r"\b(?:he|has|ha|hemos|han) (?P<x>hablar|comer|vivir|trabajar)\b", lambda m: m["x"][:-2] + ("ado" if m["x"].endswith("ar") else "ido"))],
-        "ExistentialHaber": [(r"\b(?P<x>habían|hubieron|habrán) (?=(?:muchos|muchas|varios|varias|dos|tres|unos|unas)\b)", lambda m: {"habían": "había", "hubieron": "hubo", "habrán": "habrá"}[m["x"].lower()])],
-        "RequiredSubjunctive": [(r"\b(?:para que|antes de que|ojalá|quiero que|espero que) (?:él |ella |usted )?(?P<x>viene|tiene|hace|es|está)\b", lambda m: {"viene": "venga", "tiene": "tenga", "hace": "haga", "es": "sea", "está": "esté"}[m["x"]])],
-        "GrammaticalAccents": [(r"\b(?:no|ya|yo) (?P<x>se) (?=(?:qué|si|cómo|dónde|nada)\b)", "sé"), (r"(?:^|¿)(?P<x>Que|Como|Donde) (?=(?:es|está|hora|haces|estás)\b)", lambda m: {"Que": "Qué", "Como": "Cómo", "Donde": "Dónde"}[m["x"]]), (r"\b(?:para|a|de) (?P<x>mi)(?=[.,!?]|$)", "mí")],
-    },
-    "pt": {
-        "ModalInfinitive": [(r"\b(?:posso|pode|podemos|devo|deve|quero|quer) (?P<x>falo|fala|faço|faz|vou|vai)\b", lambda m: {"falo": "falar", "fala": "falar", "faço": "fazer", "faz": "fazer", "vou": "ir", "vai": "ir"}[m["x"]])],
-        "ExistentialHaver": [(r"\b(?P<x>haviam|houveram|haverão) (?=(?:muitos|muitas|vários|várias|dois|três)\b)", lambda m: {"haviam": "havia", "houveram": "houve", "haverão": "haverá"}[m["x"].lower()])],
-        "RequiredSubjunctive": [(r"\b(?:para que|antes que|espero que|quero que|talvez) (?:ele |ela )?(?P<x>vem|tem|faz|é|está)\b", lambda m: {"vem": "venha", "tem": "tenha", "faz": "faça", "é": "seja", "está": "esteja"}[m["x"]])],
-        "CopulaAccents": [(r"\b(?:ele|ela|isso|isto|aqui|não) (?P<x>e) (?=(?:um|uma|o|a|muito|bom|boa|importante)\b)", "é"), (r"\b(?:ele|ela|tudo) (?P<x>esta) (?=(?:bem|aqui|em|na|no)\b)", "está")],
-        "MissingCrase": [(r"\b(?:vou|vai|fui|foi|devido|quanto|graças|igual) (?P<x>a) (?=(?:escola|cidade|praia|festa|noite|mesa)\b)", "à")],
-    },
-    "sv": {
-        "CompoundSplit": [(r"\b(?P<x>(?:sjuk hus|bil verkstad|hund kapp|bok hylla|skol gård|mat affär|barn bok))\b", lambda m: m["x"].replace(" ", ""))],
-        "Capitalization": [(r"(?<=\w )(?P<x>Måndag|Tisdag|Onsdag|Torsdag|Fredag|Lördag|Söndag|Januari|Februari|Svenska|Engelska)\b", lambda m: m["x"].lower())],
-        "SentenceStart": [(r"(?:[.!?] )(?P<x>(?:det|den|jag|han|hon|vi|de))\b", lambda m: m["x"].capitalize())],
-        "DomDem": [(r"\b(?P<x>dem) (?=(?:är|var|har|kan|ska|vill|kommer|går)\b)", "de"), (r"\b(?:till|för|med|av|från|ser|hjälper) (?P<x>de)(?=[.,!?]|$)", "dem")],
-        "DeDem": [(r"\b(?:att|när|om|som) (?P<x>dem) (?=(?:är|var|har|kan|ska|vill)\b)", "de")],
-        "PresentTense": [(r"\b(?:jag|du|han|hon|vi|de) (?P<x>prata|arbeta|spela|titta)\b(?! att)", lambda m: m["x"] + "r")],
-        "Supine": [(r"\b(?:har|hade) (?P<x>skriven|funnen|sprungen|druckna|köpt[ae])\b", lambda m: {"skriven": "skrivit", "funnen": "funnit", "sprungen": "sprungit", "druckna": "druckit"}.get(m["x"], "köpt"))],
-        "AttInfinitive": [(r"\b(?:för|genom|utan|vill|tänker)? ?\batt (?P<x>pratar|arbetar|spelar|skriver|läser)(?=[.,!?]|$| (?:en|ett|med|på))", lambda m: {"pratar": "prata", "arbetar": "arbeta", "spelar": "spela", "skriver": "skriva", "läser": "läsa"}[m["x"]])],
-    },
-    "fi": {
-        "CompoundSplit": [(r"\b(?P<x>(?:auto talli|kirja kauppa|kesä mökki|koulu matka|työ paikka))\b", lambda m: m["x"].replace(" ", ""))],
-        "CompoundJoined": [(r"\b(?P<x>(?:ennenkuin|niinkuin|elikkä|ikäänkuin|samantien))\b", lambda m: {"ennenkuin": "ennen kuin", "niinkuin": "niin kuin", "elikkä": "eli", "ikäänkuin": "ikään kuin", "samantien": "saman tien"}[m["x"].lower()])],
-        "Capitalization": [(r"(?<=\w )(?P<x>(?:Maanantaina|Tiistaina|Perjantaina|Tammikuu|Suomen kieli|Englantia))\b", lambda m: m["x"][0].lower() + m["x"][1:])],
-        "SentenceStart": [(r"(?:[.!?] )(?P<x>(?:minä|sinä|hän|me|te|he|se))\b", lambda m: m["x"].capitalize())],
-        "Kuin": [(r"\b(?:parempi|isompi|pienempi|enemmän|vähemmän|yhtä \w+|nopeampi) (?P<x>kun)\b", "kuin"), (r"(?:^|, )(?P<x>[Kk]uin) (?=(?:minä|hän|se|me|tulin|menin|olin)\b)", lambda m: m["x"][0] + "un")],
-        "Comma": [(r"\b\w+(?P<x> )(?=(?:että|koska|vaikka|jotta) )(?<!sekä )(?<!, )(?<!siksi )(?<!ja )", ", ")],
-        "VaanVain": [(r"\bei (?:\w+ ){1,3}(?P<x>vain) (?=\w+(?:[.!]|$))", "vaan"), (r"\b(?:se on|olen|ole hyvä|oli) (?P<x>vaan) (?=\w)", "vain")],
-        "Agreement": [(r"\b(?:minä|mä) (?P<x>olet|on|menee|tulee)\b", lambda m: {"olet": "olen", "on": "olen", "menee": "menen", "tulee": "tulen"}[m["x"]]), (r"\b(?:me) (?P<x>ollaan|on|menee)\b", lambda m: {"ollaan": "olemme", "on": "olemme", "menee": "menemme"}[m["x"]])],
-        "Elative": [(r"\b(?:pidän|pitää|tykkään|kerron|puhun) (?P<x>kahvi|musiikki|kirja|auto)\b", lambda m: {"kahvi": "kahvista", "musiikki": "musiikista", "kirja": "kirjasta", "auto": "autosta"}[m["x"]])],
-        "Illative": [(r"\b(?:menen|menee|mennään|tulen) (?P<x>talossa|koulussa|kaupassa)\b", lambda m: {"talossa": "taloon", "koulussa": "kouluun", "kaupassa": "kauppaan"}[m["x"]])],
-        "Relative": [(r"\b(?:kaikki|se|jotain|mitään), (?P<x>joka) (?=\w)", "mikä")],
-    },
-}
-
-
-def native(language: str, name: str, find: Callable[[Context, str], list[tuple[int, int, str]]]) -> None:
-    def check(c: Context):
-        if c.option("language", "en") == language:
-            for s in segments(c):
-                for a, b, fix in find(c, s.text.replace("\n", " ")):
-                    if not masked(s, a, b, c):
-                        old = s.text[a:b]
-                        yield Finding(s.start + a, s.start + b, f"{old!r} should be {fix!r}", suggestions=(fix,))
-
-    rule(f"grammar/{language}/{name}", INFO, BOTH)(check)
-
-
-def by_patterns(entries):
-    compiled = [(re.compile(p), new) for p, new in entries]
-    return lambda c, text: [(*m.span("x"), like(m["x"], new(m) if callable(new) else new)) for p, new in compiled for m in p.finditer(text)]
-
-
-def nouns(c: Context, language: str) -> dict[str, str]:
-    own = {n: g for g, ns in NOUNS[language].items() for n in ns.split()}
-    return own | {form: gender for lang, form, gender in c.option("morphology", ()) if lang == language}
-
-
-def article_rule(language: str):
-    def find(c: Context, text: str):
-        table, kinds = nouns(c, language), SAME_KIND[language]
-        for m in re.finditer(rf"\b(?P<x>{'|'.join(ARTICLES[language])}) (\w+)", text, I):
-            gender = table.get(m[2])
-            if gender and ARTICLES[language][m["x"].lower()] != gender:
-                kind = next(k for k in kinds if m["x"].lower() in k)
-                new = next(a for a in kind if ARTICLES[language][a] == gender)
-                if not (language == "de" and m["x"].lower() in ("der", "die")):
-                    yield (*m.span("x"), like(m["x"], new))
-
-    return lambda c, text: list(find(c, text))
-
-
-def adjective_rule(language: str):
-    both = ADJECTIVES[language]
-    gender = {**{a: "m" for a in both}, **{b: "f" for b in both.values()}} if language != "sv" else {**{a: "u" for a in both}, **{b: "n" for b in both.values()}}
-    other = {**both, **{b: a for a, b in both.items()}}
-    order = r"(?P<n>\w+) (?P<x>{})" if language != "sv" else r"(?:en|ett) (?P<x>{}) (?P<n>\w+)"
-    pattern = re.compile(r"\b" + order.format("|".join(gender)) + r"\b")
-
-    def find(c: Context, text: str):
-        table = nouns(c, language)
-        return [(*m.span("x"), other[m["x"]]) for m in pattern.finditer(text) if m["n"] in table and table[m["n"]] != gender[m["x"]]]
-
-    return find
-
-
-def pronoun_rule(language: str):
-    who, verbs = PERSONS[language]
-    person = {p: i for i, ps in enumerate(who) for p in ps.split()}
-    forms = [v.split() for v in verbs]
-
-    def find(c: Context, text: str):
-        out = []
-        for m in re.finditer(rf"(?<!\w )\b(?:{'|'.join(person)}) (?P<x>\w+)\b", text, I):
-            p = person[m[0].split()[0].lower()]
-            for own in forms:
-                fits = [i for i, v in enumerate(own) if v == m["x"]]
-                if fits and p not in fits and not (language == "de" and p == 2 and 3 in fits):
-                    out.append((*m.span("x"), own[p]))
-                    break
-        return out
-
-    return find
-
-
-def noun_verb_rule(language: str):
-    forms = [v.split() for v in PERSONS[language][1]]
-    many = PLURALS[language].split()
-    plural = 3 if language == "de" else 5
-
-    def find(c: Context, text: str):
-        out = []
-        for m in re.finditer(rf"\b(?P<n>{'|'.join(many)}|{'|'.join(nouns(c, language))}) (?P<x>\w+)\b", text):
-            want = plural if m["n"] in many else 2
-            for own in forms:
-                if m["x"] in own and m["x"] != own[want] and m["x"] in (own[2], own[plural]):
-                    out.append((*m.span("x"), own[want]))
-                    break
-        return out
-
-    return find
-
-
-for _language, _rules in NATIVE.items():
-    for _name, _entries in _rules.items():
-        native(_language, _name, by_patterns(_entries))
-for _language in ("de", "fr", "es", "pt", "sv"):
-    native(_language, "ArticleAgreement" if _language != "sv" else "ArticleGender", article_rule(_language))
-for _language in ("fr", "es", "pt", "sv"):
-    native(_language, "AdjectiveAgreement" if _language != "sv" else "AdjectiveGender", adjective_rule(_language))
-for _language in ("de", "fr", "es", "pt"):
-    native(_language, "PronounVerbAgreement", pronoun_rule(_language))
-    native(_language, "NounVerbAgreement", noun_verb_rule(_language))

@@ -44,7 +44,7 @@ EXAMPLES: dict = {
     "grammar/fr/NounVerbAgreement": of("fr", "Les chiens ⟦est⟧ ici.\n", "Les chiens sont ici.\n"),
     "grammar/fr/AuxiliaryParticiple": of("fr", "Il a ⟦manger⟧ ici.\n", "Il a mangé ici.\n"),
     "grammar/fr/FormalSubjunctive": of("fr", "Je crois, il faut qu'il ⟦est⟧ ici.\n", "Je crois, il faut qu'il soit ici.\n"),
-    "grammar/fr/PrepositionAccent": of("fr", "Il va ⟦a⟧ la maison.\n", "Il va à la maison.\n"),
+    "grammar/fr/PrepositionAccent": of("fr", "Elle habite ⟦a⟧ Lyon.\n", "Elle habite à Lyon.\n"),
     "grammar/fr/PrepositionContraction": of("fr", "Le toit ⟦de le⟧ garage.\n", "Le toit du garage.\n"),
     "grammar/es/ArticleAgreement": of("es", "Vemos ⟦el⟧ casa.\n", "Vemos la casa y el perro.\n"),
     "grammar/es/AdjectiveAgreement": of("es", "La casa ⟦rojo⟧ es nueva.\n", "La casa roja es nueva.\n"),
@@ -64,7 +64,7 @@ EXAMPLES: dict = {
     "grammar/pt/CopulaAccents": of("pt", "Acho que ela ⟦e⟧ muito boa.\n", "Acho que ela é muito boa.\n"),
     "grammar/pt/MissingCrase": of("pt", "Hoje vou ⟦a⟧ escola.\n", "Hoje vou à escola.\n"),
     "grammar/sv/ArticleGender": of("sv", "Vi såg ⟦en⟧ hus.\n", "Vi såg ett hus och en bil.\n"),
-    "grammar/sv/AdjectiveGender": of("sv", "Det var ett ⟦stor⟧ hus.\n", "Det var ett stort hus.\n"),
+    "grammar/sv/AdjectiveGender": of("sv", "Vi köpte ett ⟦röd⟧ bord.\n", "Vi köpte ett rött bord.\n"),
     "grammar/sv/CompoundSplit": of("sv", "Vi var på ett ⟦sjuk hus⟧.\n", "Vi var på ett sjukhus.\n"),
     "grammar/sv/Capitalization": of("sv", "Vi ses på ⟦Måndag⟧.\n", "Vi ses på måndag.\n"),
     "grammar/sv/SentenceStart": of("sv", "Vi ses. ⟦det⟧ är bra.\n", "Vi ses. Det är bra.\n"),
