@@ -152,10 +152,27 @@ def acronyms_first_use(spark, sf_dir):
     return found.groupBy("doc_id", "name").agg((F.min("k") + 1).cast("int").alias("first_use"), F.count(F.lit(1)).cast("long").alias("uses"))
 
 
-@query("html_links", """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*"([^"]*)"', 1)) AS dest FROM pages)
+#: An attribute with a target, its value in any quotes; and one with several targets.
+TARGET, TARGETS = r"(?i)[\s\"'](?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", r"(?i)[\s\"']srcset\s*=\s*(\"[^\"]*\"|'[^']*')"
+
+
+def html_targets(html: Column) -> Column:
+    """Targets of ``href``, ``src`` and ``srcset`` attributes."""
+    bare = lambda c: F.regexp_replace(c, r"^[\"']|[\"']$", "")
+    one = F.transform(F.regexp_extract_all(html, F.lit(TARGET), F.lit(1)), bare)
+    many = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(TARGETS), F.lit(1)), lambda x: F.transform(F.split(bare(x), ","), lambda y: F.split(F.trim(y), r"\s+")[0])))
+    return F.concat(one, F.filter(many, lambda x: x != ""))
+
+
+_BARE = """regexp_replace(x, '^["'']|["'']$', '', 'g')"""
+
+
+@query("html_links", f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '{TARGET.replace("'", "''")}', 1)) AS x FROM pages), b AS (SELECT page_id, unnest(regexp_extract_all(html, '{TARGETS.replace("'", "''")}', 1)) AS x FROM pages),
+c AS (SELECT page_id, trim(unnest(string_split({_BARE}, ','))) AS y FROM b), h AS (SELECT page_id, {_BARE} AS dest FROM a UNION ALL SELECT page_id, string_split(y, ' ')[1] FROM c WHERE y <> '')
 SELECT page_id, dest, count(*)::BIGINT AS n, bool_or(dest LIKE 'http://%') AS insecure FROM h GROUP BY page_id, dest""")
 def html_links(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?i)\b(?:href|src)\s*=\s*"([^"]*)"'), F.lit(1))).alias("dest"))
+    """Targets of links, images and image sets in raw HTML, in double, single or no quotes."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(html_targets(F.col("html"))).alias("dest"))
     return found.groupBy("page_id", "dest").agg(F.count(F.lit(1)).cast("long").alias("n"), F.bool_or(F.col("dest").startswith("http://")).alias("insecure"))
 
 

@@ -46,6 +46,51 @@ def discover(files: DataFrame, ignore: list[str] = (), include: list[str] = (),
     return written_by_hand(with_kind(own)).select(F.xxhash64("path").alias("doc_id"), "path", "kind", "code_lang", "text")
 
 
+#: Files with ignore patterns, the strongest first.
+IGNORE_FILES = (".inkwellignore", ".ignore", ".gitignore")
+
+
+def ignore_rules(files: DataFrame, names: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
+    """(dir, strength, seq, regex, back) of the patterns in the ignore files among ``files(path, text)``; ``back`` takes a path back."""
+    import pyarrow as pa
+
+    @F.arrow_udf("string")
+    def compiled(pattern: pa.Array) -> pa.Array:
+        return pa.array([glob_regex(p) for p in pattern.to_pylist()], pa.string())
+
+    name = F.substring_index("path", "/", -1)
+    own = files.where(name.isin(*names)).select(F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1).alias("dir"), (len(names) - F.array_position(F.array(*map(F.lit, names)), name)).cast("int").alias("strength"), F.posexplode(F.split("text", "\r?\n", -1)).alias("seq", "raw"))
+    plain = own.withColumn("raw", F.rtrim("raw")).where("raw <> '' AND raw NOT LIKE '#%'")
+    return plain.select("dir", "strength", "seq", compiled("raw").alias("regex"), F.col("raw").startswith("!").alias("back"))
+
+
+def not_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``files`` without those that ignore files take away: of the folders above a file the deepest with a pattern that matches decides, in it
+    the strongest ignore file, in that the last pattern."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("dir"), n.alias("depth"), F.array_join(F.slice(parts, n + 1, F.size(parts)), "/").alias("sub")))
+    each = files.select("path", F.explode(above).alias("x")).select("path", "x.dir", "x.depth", "x.sub")
+    hit = each.join(rules, "dir").where(F.expr("sub RLIKE regex"))
+    decided = hit.groupBy("path").agg(F.max_by("back", F.struct("depth", "strength", "seq")).alias("back"))
+    return files.join(decided.where("NOT back").select("path"), "path", "left_anti")
+
+
+def find_config(spark: SparkSession, start: str, name: str = "inkwell.toml") -> tuple[str, Config] | None:
+    """(folder, configuration) of the nearest file ``name`` in the folder of ``start`` or above it, read from the file system of the path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    here = jvm.org.apache.hadoop.fs.Path(start)
+    system = here.getFileSystem(conf)
+    if system.exists(here) and system.getFileStatus(here).isFile():
+        here = here.getParent()
+    while here is not None:
+        found = jvm.org.apache.hadoop.fs.Path(here, name)
+        if system.exists(found):
+            text = "\n".join(r["value"] for r in spark.read.text(found.toString()).collect())
+            return here.toString(), Config.read(text)
+        here = here.getParent()
+    return None
+
+
 @dataclass(frozen=True)
 class Override:
     """Options and levels for the paths that match; later ones win."""
