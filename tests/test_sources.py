@@ -106,6 +106,14 @@ def test_watch(spark, tmp_path):
     assert state.now["documents"].count() == 2
     state.batch(first.where("false"), 0)  # a batch that comes again
     assert state.now["documents"].count() == 2
+    # a new driver goes on where the last one ended
+    later = State(spark, str(tmp_path / "state"), ["md/no-hard-tabs"])
+    assert later.done == 1 and sorted(r["path"] for r in later.now["findings"].collect()) == ["b.md"]
+    docs(spark, a="x\ty\n").selectExpr("*", "2L AS version").write.mode("append").parquet(str(tmp_path / "in"))
+    watch(spark, str(tmp_path / "in"), later, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert sorted(r["path"] for r in later.now["findings"].collect()) == ["a.md", "b.md"] and later.now["documents"].count() == 2
+    later.reload(["md/single-trailing-newline"])
+    assert later.now["findings"].count() == 0 and State(spark, str(tmp_path / "state")).now["documents"].count() == 2
 
 
 def test_language_column(spark):
