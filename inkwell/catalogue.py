@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import all_rules
 from .operators.lint import lint
-from .plans import corpus, engine, links, native, reports, runs, spelling  # noqa: F401
+from .plans import corpus, engine, line_rules, links, native, reports, runs, spelling  # noqa: F401
 from .sources import examples_code, examples_gettext, examples_grammar, examples_prose, examples_structure, plants
 
 Query = Callable[[SparkSession, str], DataFrame]
