@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+from ..functions.diagrams import d2_faults, mermaid_faults
 from ..functions.words import near_misses
 from .markdown import Code
 from .registry import ERROR, WARNING, Context, Finding, rule
@@ -181,38 +182,18 @@ def mermaid_block(c: Context):
             if found := balanced(clean, "{}[]()"):
                 a, z = line_at(c, b.body + found[0], b)
                 yield Finding(a, z, f"invalid diagram: {found[1]}")
-
-
-#: Names that D2 knows (fixed values).
-D2_SHAPES = frozenset("c4-person callout circle class cloud code cylinder diamond document hexagon hierarchy image oval package page parallelogram person queue rectangle sequence_diagram sql_table square step stored_data text".split())
-D2_STYLES = frozenset("animated bold border-radius double-border fill fill-pattern filled font font-color font-size italic multiple opacity root shadow stroke stroke-dash stroke-width text-transform underline 3d".split())
-D2_ARROWS = frozenset("arrow box circle cf-many cf-many-required cf-one cf-one-required cross diamond none triangle unfilled-triangle".split())
-D2_DIRECTIONS = frozenset("down left right up".split())
+                continue
+        for x, y, message in mermaid_faults(body, _SPELLED.get(name.lower(), name.lower()), at) if name.lower() in MERMAID else ():
+            yield Finding(b.body + x, b.body + y, f"invalid diagram: {message}")
 
 
 @rule("diagram/d2", ERROR)
 def d2_block(c: Context):
     for b, body in bodies(c, "d2"):
-        if found := balanced(re.sub(r"\|[`|]*(?:md|latex|\w+)?\n[\s\S]*?\|", lambda m: re.sub(r"[^\n]", " ", m[0]), body), "{}[]()"):
-            a, z = line_at(c, b.body + found[0], b)
-            yield Finding(a, z, f"invalid diagram: {found[1]}")
-            continue
-        classes = set(re.findall(r"(?m)^\s*([\w-]+)\s*:\s*\{", (re.search(r"(?m)^classes\s*:\s*\{([\s\S]*?)^\}", body) or [None, ""])[1]))
-        checks = (
-            (r"(?m)^\s*(?:[\w.\- ]+\.)?shape\s*:\s*([\w-]+)", D2_SHAPES | D2_ARROWS, "shape"), (r"(?m)(?:^|[.{;]\s*|\s)style\.([\w-]+)\s*:", D2_STYLES, "style"),
-            (r"(?m)^\s*direction\s*:\s*([\w-]+)", D2_DIRECTIONS, "direction"), (r"(?m)(?:^|\.)\s*class\s*:\s*([\w-]+)\s*$", classes, "class"),
-        )
-        for pattern, known, what in checks:
-            for m in re.finditer(pattern, body):
-                if m[1] not in known:
-                    yield Finding(b.body + m.start(1), b.body + m.end(1), f"unknown {what} {m[1]!r}", suggestions=tuple(near_misses(m[1], known)), severity=WARNING if what == "class" else None)
-        for m in re.finditer(r"style\.opacity\s*:\s*(\S+)", body):
-            try:
-                good = 0 <= float(m[1]) <= 1
-            except ValueError:
-                good = False
-            if not good:
-                yield Finding(b.body + m.start(1), b.body + m.end(1), "opacity is between 0 and 1")
+        for start, end, message, _, known, strict in d2_faults(body):
+            a, z = line_at(c, b.body + start, b) if end is None else (b.body + start, b.body + end)
+            name = body[start:end] if end is not None else ""
+            yield Finding(a, z, message, suggestions=tuple(near_misses(name, known)) if known else (), severity=None if strict else WARNING)
 
 
 @rule("config/placeholder", WARNING, ("toml",))
