@@ -45,10 +45,41 @@ english("CorrectNumberSuffix", r"\b(?P<x>\d+(?:st|nd|rd|th))\b", lambda m: ordin
 english("NumberSuffixCapitalization", r"\b\d+(?P<x>ST|ND|RD|TH)\b", lambda m: m["x"].lower(), WARNING)
 english("ThenThan", rf"\b(?:more|less|fewer|better|worse|rather|other|\w{{3,}}(?<!aft)(?<!ev)(?<!nev)(?<!oth)er) (?P<x>then) (?={DET}|{SUBJECT}\b|me\b|him\b|us\b|them\b|\d|expected|usual|ever|before)", "than")
 english("ThenThan", rf"(?:^|[,.] |\band |\buntil |\bsince |\bback |\bfrom )(?P<x>than) (?={SUBJECT} |the |on\b|,)", "then")
-english("PronounVerbAgreement", rf"(?<!\w )\b(?:he|she|it) (?P<x>{w('do have go make need say take want work run know think come are were')})\b(?! (?:been|sure))", lambda m: third(m["x"]), WARNING)
-english("PronounVerbAgreement", rf"(?<!of )\b(?:we|they|you) (?P<x>{w('does has goes makes needs says takes wants works runs knows thinks comes is was')})\b", lambda m: bare(m["x"]), WARNING)
-english("SubjectVerbAgreement", rf"\b(?:the|these|those|our|their) (?:{w('files users results tests errors changes values options children people documents pages words rules')}) (?P<x>{w('is was has does needs contains')})\b", lambda m: bare(m["x"]), WARNING)
-english("SubjectVerbAgreement", rf"\b(?:the|this|that|each|every) (?:{w('file user result test error change value option child document page word rule')}) (?P<x>{w('are were have do need contain')})\b", lambda m: third(m["x"]), WARNING)
+#: Verbs by their base form, and nouns by their singular (fixed values). Those of ``PLAIN`` are no nouns in any form.
+PLAIN = "accept achieve act agree allow announce appear apply argue arrive ask become begin believe belong bring buy carry choose come compare compute confirm connect consider consist contain continue create decide define delete deliver depend describe deserve determine develop disagree discover eat enable encourage ensure exist expect explain extend fail find follow forget get give go grow happen hear hide hold improve include increase inform introduce keep know lead learn leave let lie listen live lose maintain make mean meet offer open pay perform prefer prepare prevent produce prove provide publish put raise reach read receive recognize recommend reduce refer refuse remain remember remove repeat replace represent require respond save say see seem sell send serve sing sit solve speak stay suggest take teach tell think throw try understand wear write".split()
+VERBS = [*PLAIN, *"answer call care change do fix have help hope like look love move name need open plan play point run show start stop talk test turn use wait walk want work".split()]
+NOUNS = "account address answer app article author book box boy bug button car cat change character city class client code color command comment company computer country customer daughter day developer device dog document door engineer error event example feature field file folder friend function game girl group home house idea image issue item job key language letter library line link list manager message method model module mother name network number object option order owner package page parent part person phone plan player problem process program project property question reader record report request result road room rule school script server service setting shop sister site son song story street student system table task teacher team test thing tool town tree user value version village visitor week window word worker writer year".split()
+
+
+def plural(noun: str) -> str:
+    if noun in ("child", "person"):
+        return {"child": "children", "person": "people"}[noun]
+    return noun + "es" if re.search(r"(?:s|x|z|ch|sh)$", noun) else noun[:-1] + "ies" if re.search(r"[^aeiou]y$", noun) else noun + "s"
+
+
+def third_of(verb: str) -> str:
+    return {"do": "does", "have": "has", "go": "goes", "be": "is"}.get(verb) or plural(verb)
+
+
+_THIRD = {"are": "is", "were": "was", **{v: third_of(v) for v in VERBS}}
+_BARE = {new: old for old, new in _THIRD.items()}
+#: Words after which a bare verb is right: "does the user need", "we let it run", "that she come".
+BARE_AFTER = re.compile(r"(?:\b(?:do|does|did|don['’]t|doesn['’]t|didn['’]t|can|can['’]t|could|will|won['’]t|would|shall|should|may|might|must|to|let|lets|make|makes|made|making|help|helps|helped|helping|see|saw|watch|hear|have|had|suggests?|suggested|recommends?|requires?|insists?|demands?|asks?|asked|that|if|lest|neither|nor|and|or|than|with|of|for)\s+(?:(?:that|not|all|both)\s+)?)$", re.I)
+
+
+def agreeing(change, after: bool):
+    """The right form, or the same where what stands before makes it right."""
+
+    def new(m: re.Match) -> str:
+        return m["x"] if after and BARE_AFTER.search(m.string[max(0, m.start() - 40) : m.start()]) else change(m["x"])
+
+    return new
+
+
+english("PronounVerbAgreement", rf"(?<!\w )\b(?:he|she|it) (?P<x>{w(' '.join(v for v in [*VERBS, 'are', 'were'] if v not in ('let', 'put')))})\b(?! (?:been|sure))", agreeing(lambda x: third(x), True), WARNING)
+english("PronounVerbAgreement", rf"(?<!of )\b(?:we|they|you) (?P<x>{w(' '.join([third_of(v) for v in VERBS] + ['is', 'was']))})\b", lambda m: bare(m["x"]), WARNING)
+english("SubjectVerbAgreement", rf"\b(?:the|these|those|our|their|your|my) (?:{w(' '.join(plural(n) for n in [*NOUNS, 'child']))}) (?P<x>{w(' '.join(['is', 'was', 'has', 'does', 'needs', *(third_of(v) for v in PLAIN)]))})\b", agreeing(lambda x: bare(x), True), WARNING)
+english("SubjectVerbAgreement", rf"\b(?:the|this|that|each|every) (?:{w(' '.join([*(n for n in NOUNS if n not in ('parent', 'part')), 'child']))}) (?P<x>{w(' '.join(['are', 'were', 'have', 'do', 'need', *(v for v in PLAIN if v not in ('read', 'let', 'put', 'lead', 'open', 'act', 'live', 'lie'))]))})\b", agreeing(lambda x: third(x), True), WARNING)
 english("YourYoure", rf"\b(?P<x>your) (?=not\b|gonna\b|(?:a|an|the) |(?:so |very |really )?{ADJ}(?:[.,!?]|$| to\b)|{ING} (?:to|it|the|a)\b)", "you're")
 english("YourYoure", rf"\b(?P<x>you['’]re) (?=own\b|{NOUN}(?:[.,!?]|$| (?:is|are|was|were|will|has)\b))", "your")
 english("ThereOwn", r"\b(?P<x>there|they['’]re) (?=own\b)", "their")
@@ -83,15 +114,12 @@ def ordinal(text: str) -> str:
     return f"{n}{'th' if n % 100 in (11, 12, 13) else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
 
 
-_THIRD = {"do": "does", "have": "has", "go": "goes", "are": "is", "were": "was"}
-
-
 def third(verb: str) -> str:
     return _THIRD.get(verb.lower(), verb + "s")
 
 
 def bare(verb: str) -> str:
-    return {**{v: k for k, v in _THIRD.items()}, "is": "are", "was": "were"}.get(verb.lower(), verb[:-1])
+    return _BARE.get(verb.lower(), verb[:-1])
 
 
 #: Words whose first letter does not tell their first sound (fixed values).

@@ -7,5 +7,7 @@ CODE_LANGUAGES = frozenset(
     java javascript js json json5 jsonc jsx julia kotlin latex less lisp lua make makefile markdown math matlab md mermaid
     nim nginx nix objective-c ocaml pascal patch perl php plaintext powershell prolog properties protobuf ps1 py python r
     rb regex rs ruby rust scala scheme scss sh shell sol sql svelte svg swift tcl terraform tex text toml ts tsx txt
-    typescript v vb verilog vhdl vim vue wasm wat xml yaml yml zig zsh""".split()
+    typescript v vb verilog vhdl vim vue wasm wat xml yaml yml zig zsh
+    abap actionscript antlr applescript astro avro ballerina bibtex bicep blade cfg clj cljs coffee coffeescript commonlisp coq crystal csh csx cuda cython
+     delphi ejs erb gd gdscript gleam glsl gnuplot gradle gql h haml handlebars haxe hlsl hpp hx jinja jinja2 jsonl jsonnet lean liquid log mdx meson mips ml mysql octave odin org pgsql plantuml po postcss prisma purescript q rmd rst sass sed sml sv systemverilog thrift typst vala vhd wgsl xslt zeek""".split()
 )

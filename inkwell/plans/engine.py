@@ -195,15 +195,24 @@ def links_http_status(spark, sf_dir):
     return links.join(status, "k").select("doc_id", rule.alias("rule"), F.col("code").cast("int").alias("code")).where("rule IS NOT NULL")
 
 
-@query("near_misses", """WITH n AS (SELECT n_name FROM nation), w AS (SELECT n_name AS want, substr(n_name, 1, length(n_name) - 1) AS typed FROM nation WHERE length(n_name) > 3)
+@query("near_misses", """WITH n AS (SELECT n_name FROM nation), w AS (SELECT DISTINCT substr(n_name, 1, length(n_name) - 1) AS typed FROM nation WHERE length(n_name) > 3)
 SELECT typed, n_name AS suggestion, rank::INTEGER AS rank FROM (SELECT typed, n_name, row_number() OVER (PARTITION BY typed ORDER BY levenshtein(lower(typed), lower(n_name)), n_name) AS rank FROM w, n WHERE levenshtein(lower(typed), lower(n_name)) <= 2) WHERE rank <= 3""")
 def near_misses_query(spark, sf_dir):
-    """Known names within two edits of what was typed, the best three; the dimension is small by nature."""
+    """Known names within two edits of what was typed, the best three."""
     n = table(spark, sf_dir, "nation").select("n_name")
-    typed = n.where(F.length("n_name") > 3).select(F.expr("substring(n_name, 1, length(n_name) - 1)").alias("typed"))
-    met = typed.join(F.broadcast(n), F.levenshtein(F.lower("typed"), F.lower("n_name"), 2) >= 0)
-    rank = F.row_number().over(Window.partitionBy("typed").orderBy(F.levenshtein(F.lower("typed"), F.lower("n_name")), "n_name"))
-    return met.withColumn("rank", rank).where("rank <= 3").select("typed", F.col("n_name").alias("suggestion"), "rank")
+    return near_misses(n.where(F.length("n_name") > 3).select(F.expr("substring(n_name, 1, length(n_name) - 1)").alias("typed")), n.select(F.col("n_name").alias("suggestion")))
+
+
+def near_misses(typed: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
+    """(typed, suggestion, rank): of ``known(suggestion)`` the best within two edits of each of ``typed``, without case; names meet on what
+    is left with up to two letters deleted, at any number of names."""
+    from .native import deletion_keys
+
+    a = typed.distinct().select("typed", F.explode(deletion_keys(F.lower("typed"), 2)).alias("key"))
+    b = known.distinct().select("suggestion", F.explode(deletion_keys(F.lower("suggestion"), 2)).alias("key"))
+    near = a.join(b, "key").select("typed", "suggestion").distinct().withColumn("edits", F.levenshtein(F.lower("typed"), F.lower("suggestion"), 2)).where("edits >= 0")
+    rank = F.row_number().over(Window.partitionBy("typed").orderBy("edits", "suggestion"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= most).select("typed", "suggestion", "rank")
 
 
 # overlaps, fixes

@@ -129,17 +129,9 @@ def links_same_repo(spark, sf_dir):
     return same_repo(tables.links(d), d, "o/r", "main", d.select("path"), refs, items).select("doc_id", "rule")
 
 
-@query("site_suggestions", "SELECT 'docs/p' || p_partkey || 'x.md' AS target, 'docs/p' || p_partkey || '.md' AS suggestion FROM part WHERE p_partkey % 50 = 0")
-def site_suggestions(spark, sf_dir):
-    """The part that this SQL describes: one page in 50, one edit, the best path; ``site_suggestions_all`` asks for every page."""
-    d = site(spark, sf_dir)
-    typed = d.where("doc_id % 50 = 0").select(F.expr("'docs/p' || doc_id || 'x.md'").alias("target"))
-    return suggestions(typed, d.select("path"), 1).where("rank = 1").select("target", "suggestion")
-
-
-@query("site_suggestions_all", """WITH c AS (SELECT 'docs/p' || w.p_partkey || 'x.md' AS target, 'docs/p' || h.p_partkey || '.md' AS suggestion, levenshtein('p' || w.p_partkey || 'x.md', 'p' || h.p_partkey || '.md') AS edits FROM part w, part h)
+@query("site_suggestions", """WITH c AS (SELECT 'docs/p' || w.p_partkey || 'x.md' AS target, 'docs/p' || h.p_partkey || '.md' AS suggestion, levenshtein('p' || w.p_partkey || 'x.md', 'p' || h.p_partkey || '.md') AS edits FROM part w, part h)
 SELECT target, suggestion, (row_number() OVER (PARTITION BY target ORDER BY edits, suggestion))::INTEGER AS rank FROM c WHERE edits <= 2 QUALIFY rank <= 3""")
-def site_suggestions_all(spark, sf_dir):
+def site_suggestions(spark, sf_dir):
     """Every page of the site misspelled, with the defaults of ``suggestions``."""
     d = site(spark, sf_dir)
     return suggestions(d.select(F.expr("'docs/p' || doc_id || 'x.md'").alias("target")), d.select("path"))
@@ -160,18 +152,21 @@ def segments_table(spark, sf_dir):
     return tables.segments(site(spark, sf_dir)).where("kind = 'heading'").select("doc_id", "kind", "section_id", "text")
 
 
-@query("sentences_table", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS n FROM documents")
+def built(spark: SparkSession, sf_dir: str, text) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("a.md").alias("path"), F.lit("markdown").alias("kind"), F.lit("").alias("code_lang"), text.alias("text"))
+
+
+@query("sentences_table", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS n FROM part")
 def sentences_table(spark, sf_dir):
-    """Sentences of a built text: abbreviations and initials end none; ``sentences_of_documents`` takes the whole texts."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("a.md").alias("path"), F.lit("markdown").alias("kind"), F.lit("").alias("code_lang"), F.when(F.col("doc_id") % 3 == 0, "See e.g. the boat of J. Smith. It sank!\n").otherwise("Dr. Smith vs. the boat\n").alias("text"))
+    """Sentences of a built text: abbreviations and initials end none; ``sentences_of_documents`` takes the texts of the documents."""
+    d = built(spark, sf_dir, F.when(F.col("p_partkey") % 3 == 0, "See e.g. the boat of J. Smith. It sank!\n").otherwise("Dr. Smith vs. the boat\n"))
     return tables.sentences(d).groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
-@query("tokens_table", "SELECT doc_id, unnest(['word', 'space', 'number', 'punct']) AS kind, unnest([2, 2, 1, 1])::BIGINT AS n FROM documents")
+@query("tokens_table", "SELECT p_partkey AS doc_id, unnest(['word', 'space', 'number', 'punct']) AS kind, unnest([2, 2, 1, 1])::BIGINT AS n FROM part")
 def tokens_table(spark, sf_dir):
-    """Tokens of a built text; ``tokens_of_documents`` takes the whole texts."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("a.md").alias("path"), F.lit("markdown").alias("kind"), F.lit("").alias("code_lang"), F.lit("The 2nd boat!").alias("text"))
-    return tables.tokens(d).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    """Tokens of a built text; ``tokens_of_documents`` takes the texts of the documents."""
+    return tables.tokens(built(spark, sf_dir, F.lit("The 2nd boat!"))).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
 @query("sentences_of_documents")

@@ -223,45 +223,31 @@ def deletion_keys(word: Column, most: int = 1) -> Column:
     return F.array_distinct(F.flatten(F.transform(left, lambda c: F.transform(one(c), lambda x: F.xxhash64(x)))))
 
 
-def _spelling_sql(tail: str) -> str:
-    return f"""WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{WORD}'))) AS word FROM documents WHERE lang = 'en'),
-n AS (SELECT word, count(*) AS n FROM w GROUP BY word), known AS (SELECT word, n FROM n WHERE n >= 5) {tail}"""
+def words_by_language(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(words(F.col("text"))).alias("word")).select("doc_id", "lang", F.lower("word").alias("word"))
 
 
-def english_words(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(words(F.col("text"))).alias("word")).select("doc_id", F.lower("word").alias("word"))
-
-
-@query("spelling_unknown", _spelling_sql("SELECT doc_id, w.word, count(*)::BIGINT AS n FROM w WHERE word NOT IN (SELECT word FROM known) GROUP BY doc_id, w.word"))
+@query("spelling_unknown", f"""WITH w AS (SELECT doc_id, coalesce(lang, 'und') AS lang, lower(unnest(regexp_extract_all(text, '{WORD}'))) AS word FROM documents),
+n AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL)
+SELECT doc_id, w.lang, w.word, count(*)::BIGINT AS n FROM w JOIN n ON w.lang = n.lang AND w.word = n.word WHERE n.n < 5 GROUP BY ALL""")
 def spelling_unknown(spark, sf_dir):
-    """Words outside the dictionary, here the words that the corpus has five times or more."""
-    w = english_words(spark, sf_dir).groupBy("doc_id", "word").agg(F.count(F.lit(1)).cast("long").alias("n"))
-    known = w.groupBy("word").agg(F.sum("n").alias("all")).where("all >= 5").select("word")
-    return w.join(known, "word", "left_anti").select("doc_id", "word", "n")
+    """Words outside the dictionary of their language, here the words that its documents have five times or more."""
+    w = words_by_language(spark, sf_dir).groupBy("doc_id", "lang", "word").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    known = w.groupBy("lang", "word").agg(F.sum("n").alias("all")).where("all >= 5").select("lang", "word")
+    return w.join(known, ["lang", "word"], "left_anti").select("doc_id", "lang", "word", "n")
 
 
-@query("spelling_suggest", _spelling_sql("""
-, bad AS (SELECT word FROM n WHERE n = 1 AND length(word) BETWEEN 4 AND 9),
-c AS (SELECT b.word, k.word AS suggestion, row_number() OVER (PARTITION BY b.word ORDER BY k.n DESC, k.word) AS rank FROM bad b JOIN known k ON abs(length(b.word) - length(k.word)) <= 1 AND substr(k.word, 1, 2) = substr(b.word, 1, 2) AND levenshtein(b.word, k.word) = 1)
-SELECT word, suggestion, rank::INTEGER AS rank FROM c WHERE rank <= 3"""))
+@query("spelling_suggest")
 def spelling_suggest(spark, sf_dir):
-    """The part of ``spelling_suggest_all`` that this SQL describes: words seen once, of 4 to 9 letters, and known words with the same first two letters."""
-    n = english_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    bad = n.where("n = 1").where(F.length("word").between(4, 9)).select("word")
-    return best_known(bad, n.where("n >= 5"), "substring(word, 1, 2) = substring(suggestion, 1, 2)")
-
-
-def best_known(bad: DataFrame, known: DataFrame, also: str = "true") -> DataFrame:
-    """Best three of ``known(word, n)`` one edit away from each of ``bad(word)``; words meet on a word with one letter deleted, so that no common block of words is paired."""
-    have = known.select(F.col("word").alias("suggestion"), "n", F.explode(deletion_keys(F.col("word"))).alias("key"))
-    met = bad.select("word", F.explode(deletion_keys(F.col("word"))).alias("key")).join(have, "key")
-    near = met.where(also).where(F.levenshtein("word", "suggestion", 1) == 1).select("word", "suggestion", "n").distinct()
-    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "suggestion"))
-    return near.withColumn("rank", rank).where("rank <= 3").select("word", "suggestion", "rank")
-
-
-@query("spelling_suggest_all")
-def spelling_suggest_all(spark, sf_dir):
-    """Best three known words for every word under the threshold of ``spelling_unknown``, of any length and beginning."""
-    n = english_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return best_known(n.where("n < 5").select("word"), n.where("n >= 5"))
+    """Best three known words for every word under the threshold of ``spelling_unknown``, of any language, length and beginning."""
+    n = words_by_language(spark, sf_dir).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    return best_known(n.where("n < 5").select("lang", "word"), n.where("n >= 5"))
+
+
+def best_known(bad: DataFrame, known: DataFrame) -> DataFrame:
+    """Best three of ``known(lang, word, n)`` one edit away from each of ``bad(lang, word)``; words meet on a word with one letter deleted, so that no common block of words is paired."""
+    have = known.select("lang", F.col("word").alias("suggestion"), "n", F.explode(deletion_keys(F.col("word"))).alias("key"))
+    met = bad.select("lang", "word", F.explode(deletion_keys(F.col("word"))).alias("key")).join(have, ["lang", "key"])
+    near = met.where(F.levenshtein("word", "suggestion", 1) == 1).select("lang", "word", "suggestion", "n").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang", "word").orderBy(F.desc("n"), "suggestion"))
+    return near.withColumn("rank", rank).where("rank <= 3").select("lang", "word", "suggestion", "rank")
