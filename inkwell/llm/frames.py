@@ -3,81 +3,29 @@
 from __future__ import annotations
 
 import gc
-import os
-import re
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python: whole texts must fit, so the default of 10,000 is too many.
-BATCH_ROWS = 400
+from ..sources import shared
+from ..sources.shared import ship as small_batches  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker receives at once, and see that workers anywhere can import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        made = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(made))
-        _shipped.add(context.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset on one machine (tests), a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "inkwell-shared")
-    return root.rstrip("/")
-
-
 def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and executors may be lost.
-
-    The table goes when the driver's JVM ends; results may be read until then. ``small`` tables of ids or links are written in
-    files of Spark's advisory size, not in one for each core.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false" if small else before)
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(name, before)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that no table in use still needs; it does so when the driver collects garbage."""
+    """A table in the shared folder (``shared.written``); shuffle files that no table in use still needs are dropped, when the driver collects garbage."""
+    out = shared.written(df, label, small)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
-def buckets(spark: SparkSession, size: int = 0, bucket: int = 16_000_000) -> int:
-    """Groups of a shuffle that is planned by hand: as many as the session's shuffle partitions, and so many that of ``size`` counted bytes each holds ``bucket``."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket))
+def buckets(spark: SparkSession, size: int = 0, bucket: int = 64_000_000) -> int:
+    """Groups of a shuffle that is planned by hand: as many as the session's shuffle partitions, 32 at least, and so many that of ``size`` counted bytes each holds ``bucket``."""
+    return max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket))
 
 
 def text_bytes(documents: DataFrame) -> int:

@@ -2,7 +2,7 @@
 
 Texts are cut into pre-tokens. Each chunk of documents (about ``chunk_bytes`` of text) keeps its distinct pre-tokens
 and, for each document, which of them it has and how often. The distinct pre-tokens of all chunks meet by hash
-bucket, where the library counts the pieces of each one once; the counts go back to the chunks, and a document's
+bucket (as many as the counted bytes ask for), where the library counts the pieces of each one once; the counts go back to the chunks, and a document's
 total is the sum of frequency times count. Ids are never made, and what is shuffled is one entry for each distinct
 pre-token of a chunk, however often the corpus repeats it.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import grouped, mapped
-from .frames import buckets, small_batches, written
+from .frames import buckets, small_batches, text_bytes, written
 
 #: Fixed pattern of byte-level pre-tokenisation, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -201,7 +201,8 @@ def token_counts(documents: DataFrame, settings: Settings = Settings()) -> DataF
     """(doc_id, n_bytes, n_tokens, over_limit) of every document."""
     spark = documents.sparkSession
     small_batches(spark)
-    kept = written(chunks(documents, settings, buckets(spark)), "token-chunks")
+    # distinct pre-tokens of the chunks take about a third of the bytes of their texts
+    kept = written(chunks(documents, settings, buckets(spark, text_bytes(documents) // 3)), "token-chunks")
     counts = piece_counts(kept.where("kind = 'pieces'"), settings)
     docs = kept.where("kind = 'docs'").select("chunk", "data", "doc_ids", "n_bytes", "specials", "sizes")
     return summed(docs, counts).withColumn("over_limit", F.col("n_tokens") > settings.limit)
