@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import all_rules
 from .operators.lint import lint
-from .plans import corpus, engine, line_rules, links, native, reports, runs, spelling  # noqa: F401
+from .plans import corpus, engine, line_rules, links, native, reports, runs, spelling, vocabulary  # noqa: F401
 from .sources import examples_code, examples_gettext, examples_grammar, examples_prose, examples_structure, plants
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,7 @@ SQL: dict[str, str] = {}
 for _rule, (_examples, _config, _kind) in examples().items():
     QUERIES[query_name(_rule)] = rule_query(_rule, _examples, _config, _kind)
     SQL[query_name(_rule)] = plants.expected_sql(_examples)
-for _module in (native, engine):  # corpus, links, reports, runs and spelling add to the queries of engine
+for _module in (native, engine):  # the other modules add to the queries of engine
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
 FLAGSHIP = "lint_documents"

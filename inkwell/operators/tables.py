@@ -227,3 +227,34 @@ def spell_words(documents: DataFrame, vocabulary: tuple[str, ...] = (), detect:
             yield word, lang, at.byte(a), at.byte(b), line, col
 
     return child(documents, "word string, lang string, b_start long, b_end long, line int, col int", rows)
+
+
+def line_flags(documents: DataFrame) -> DataFrame:
+    """Every line with its block quote depth, and whether it is code, front matter, HTML or a table."""
+
+    def rows(c, at):
+        for i, x in enumerate(c.doc.lines):
+            yield i + 1, at.byte(x.start), at.byte(x.end), x.depth, x.code, x.front, x.html, x.table, x.blank
+
+    return child(documents, "line int, b_start long, b_end long, depth int, code boolean, front boolean, html boolean, is_table boolean, blank boolean", rows)
+
+
+#: What a speller of any language skips whole: addresses, mail, key chords, names with inner marks, paths.
+NATIVE_SKIP = re.compile(r"\S*://\S+|www\.\S+|\S+@\S+\.\S+|(?<!\S)(?:\w{1,6}\+)+\w{1,6}(?!\S)|\w+(?:_+\w+)+|\w+(?:::\w+)+|(?<!\w)/(?:[\w.-]+/?)+|\w+(?:/\w+)*/\w*[._\d]\w*")
+NATIVE_WORD = re.compile(r"[^\W_]+(?:[-'’:./][^\W_]+)*")
+
+
+def native_tokens(documents: DataFrame) -> DataFrame:
+    """Words as a speller of any language takes them: joined by hyphens, apostrophes, colons (``EU:n``) and points; identifiers and numbers are none, ``and/or`` is two."""
+    from .text import segments as own
+
+    def rows(c, at):
+        for i, s in enumerate(own(c)):
+            text = NATIVE_SKIP.sub(lambda m: " " * len(m[0]), s.text)
+            for m in NATIVE_WORD.finditer(text):
+                for part in re.finditer(r"[^/]+", m[0]):
+                    if any(x.isalpha() for x in part[0]):
+                        a = s.start + m.start() + part.start()
+                        yield i + 1, part[0], at.byte(a), at.byte(a + len(part[0]))
+
+    return child(documents, "seg_id int, word string, b_start long, b_end long", rows)

@@ -39,8 +39,25 @@ def missing_anchors(links: DataFrame, documents: DataFrame, anchors: DataFrame)
     return asked.join(known, ["to_id", "fragment"], "left_anti").select("doc_id", F.lit("links/missing-anchor").alias("rule"), "line", "b_start", "b_end", F.col("dest").alias("text"))
 
 
-def orphan_pages(documents: DataFrame, links: DataFrame, root: str = "docs/", exempt: str = r"(^|/)(index|readme|_[^/]*)\.md$") -> DataFrame:
-    """``docs/orphan-page``: pages under the root that no other page links to; links without an extension count."""
+#: A page in the navigation of a site's configuration, and in a book's summary.
+NAV_ENTRY, SUMMARY_ENTRY = r"(?m)^\s*-\s+(?:[^:\n]+:\s*)?[\"']?([\w./-]+\.(?:md|mdx|markdown))[\"']?\s*$", r"\]\(([^)\s#]+\.md)"
+
+
+def navigation(files: DataFrame, root: str = "docs/") -> DataFrame:
+    """(path) of the pages that a site's ``mkdocs.yml`` or a book's ``SUMMARY.md`` among ``files(path, text)`` lists, seen from where they lie."""
+    name = F.lower(F.substring_index("path", "/", -1))
+    folder = F.regexp_extract("path", r"^(.*?)[^/]*$", 1)
+    own = F.regexp_extract("text", r"(?m)^docs_dir:\s*[\"']?([\w./-]+?)/?[\"']?\s*$", 1)
+    nav = F.regexp_extract("text", r"(?ms)^nav:\s*$(.*?)(?=^[^\s-]|\z)", 1)
+    site = files.where(name.isin("mkdocs.yml", "mkdocs.yaml")).select(F.concat(folder, F.when(own != "", F.concat(own, F.lit("/"))).otherwise(F.lit(root))).alias("base"), F.explode(F.regexp_extract_all(nav, F.lit(NAV_ENTRY), F.lit(1))).alias("page"))
+    book = files.where(name == "summary.md").select(folder.alias("base"), F.explode(F.regexp_extract_all("text", F.lit(SUMMARY_ENTRY), F.lit(1))).alias("page"))
+    return site.union(book).select(F.concat("base", F.regexp_replace("page", r"^\./", "")).alias("path")).distinct()
+
+
+def orphan_pages(documents: DataFrame, links: DataFrame, root: str = "docs/", exempt: str = r"(^|/)(index|readme|_[^/]*)\.md$", listed: DataFrame | None = None) -> DataFrame:
+    """``docs/orphan-page``: pages under the root that no other page links to and that are not in ``listed(path)``; links without an extension count."""
+    if listed is not None:
+        documents = documents.join(listed.select("path"), "path", "left_anti").unionByName(documents.join(listed.select("path"), "path", "left_semi").withColumn("kind", F.lit("listed")))
     key = lambda c: F.regexp_replace(c, r"\.(md|mdx|markdown|html)$", "")
     source = links.join(documents.select("doc_id", F.col("path").alias("own")), "doc_id").where("target IS NOT NULL").where(key("target") != key("own"))
     pages = documents.where((F.col("kind") == "markdown") & F.col("path").startswith(root) & ~F.lower("path").rlike(exempt))

@@ -1,5 +1,8 @@
 """Files to documents, configuration, and the watched folder."""
 
+import json
+import tomllib
+
 import pytest
 
 from inkwell.operators import tables
@@ -7,7 +10,9 @@ from inkwell.operators.lint import lint
 from inkwell.operators.registry import Context
 from inkwell.operators.settle import directives
 from inkwell.plans.engine import fixed, scored, suppressions, unsuppressed, without_overlaps
-from inkwell.sources.files import Config, discover, glob_regex, read_files
+from inkwell.plans import reports
+from inkwell.plans.links import navigation, orphan_pages
+from inkwell.sources.files import Config, discover, find_config, glob_regex, ignore_rules, not_ignored, read_files
 from inkwell.streaming.watch import State, to_recheck, watch
 
 
@@ -125,3 +130,59 @@ def test_catalog_prose(spark):
     text = 'msgid ""\nmsgstr "Language: en\\n"\n\nmsgid "It is a apple"\nmsgstr ""\n\nmsgid "key.name"\nmsgstr ""\n'
     d = spark.createDataFrame([(0, "en.po", "gettext", "", text)], "doc_id long, path string, kind string, code_lang string, text string")
     assert [(r["line"], r["col"], r["text"]) for r in lint(d, ["grammar/AnA"]).collect()] == [(4, 14, "a")]
+
+
+def test_nested_ignore_files(spark):
+    """The deepest folder with a pattern that matches decides, in it the strongest file, in that the last pattern."""
+    texts = {
+        ".gitignore": "*.log\n/build/\n# no\n\n!keep.log", "docs/.gitignore": "!*.log\nsecret.md", "docs/deep/.ignore": "secret.md", "docs/deep/.gitignore": "!secret.md", "a.log": "", "keep.log": "", "build/x.md": "", "lib/build/x.md": "",
+        "docs/b.log": "", "docs/secret.md": "", "docs/deep/secret.md": "", "docs/deep/c.md": "", "docs/deeper/secret.md": "",
+    }
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    left = {r["path"] for r in not_ignored(files, ignore_rules(files)).collect() if "ignore" not in r["path"]}
+    assert left == {"keep.log", "lib/build/x.md", "docs/b.log", "docs/deep/c.md"}
+
+
+def test_configuration_is_found_upward(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "inkwell.toml").write_text('fail_on = "error"\n')
+    (tmp_path / "a/b/x.md").write_text("x")
+    where, config = find_config(spark, str(tmp_path / "a/b/x.md"))
+    assert config.fail_on == "error" and where.endswith(tmp_path.name)
+    (tmp_path / "a/inkwell.toml").write_text('language = "sv"\n')
+    assert find_config(spark, str(tmp_path / "a/b"))[1].language == "sv" and find_config(spark, str(tmp_path / "a/b"), "none.toml") is None
+
+
+def test_navigation(spark):
+    yml = "site_name: x\nnav:\n  - Home: index.md\n  - Guide:\n    - guide/a.md\n    - 'B': \"guide/b.md\"\ntheme: y\n  - no.md\n"
+    files = spark.createDataFrame([("mkdocs.yml", yml), ("book/SUMMARY.md", "- [One](./one.md)\n- [Two](x/two.md#a)\n"), ("sub/mkdocs.yml", "docs_dir: pages\nnav:\n- c.md\n")], "path string, text string")
+    assert {r["path"] for r in navigation(files).collect()} == {"docs/index.md", "docs/guide/a.md", "docs/guide/b.md", "book/one.md", "book/x/two.md", "sub/pages/c.md"}
+    d = docs(spark, docs__guide__a="x\n", docs__lost="y\n")
+    assert [r["path"] for r in orphan_pages(d, tables.links(d), listed=navigation(files)).collect()] == ["docs/lost.md"]
+
+
+def test_line_flags_and_native_words(spark):
+    d = docs(spark, a="---\nt: 1\n---\n> > q\n\n```\nx\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n")
+    flags = {r["line"]: (r["depth"], r["code"], r["front"], r["is_table"], r["blank"]) for r in tables.line_flags(d).collect()}
+    assert flags[2][2] and flags[4][0] == 2 and flags[7][1] and flags[10][3] and flags[5][4] and not flags[4][1]
+    text = "Über EU:n t.ex and/or foo_bar a::b src/lib/x.py www.x.org me@x.org Ctrl+Q it's 12 re-do /usr/bin 3D.\n"
+    words = [r["word"] for r in tables.native_tokens(docs(spark, a=text)).orderBy("b_start").collect()]
+    assert words == ["Über", "EU:n", "t.ex", "and", "or", "it's", "re-do", "3D"]
+
+
+def test_reports(spark, tmp_path):
+    d = docs(spark, a="#Title\n\nx\ty\n", b="fine\n")
+    found = lint(d, ["md/no-hard-tabs", "md/no-missing-space-atx"], settle=True)
+    report = reports.reported(found, d).collect()
+    assert len(report) == 1 and "a.md:3:2" in report[0]["report"] and "3 | x\ty" in report[0]["report"] and "  |  ^" in report[0]["report"]
+    assert reports.summary(found).first()["summary"] == "0 errors, 2 warnings, 0 infos in 1 files" and reports.summary(found.where("false")).first()["summary"] == "No problems found."
+    one = json.loads(reports.sarif_files(found).first()["sarif"])
+    run = one["runs"][0]
+    assert one["version"] == "2.1.0" and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["md/no-hard-tabs", "md/no-missing-space-atx"] and [r["ruleId"] for r in run["results"]] == ["md/no-missing-space-atx", "md/no-hard-tabs"]
+    assert run["results"][1]["locations"][0]["physicalLocation"]["region"]["snippet"]["text"] == "\t"
+    left = reports.write_corrected(d, str(tmp_path / "out"), ["md/no-missing-space-atx"])
+    assert left.count() == 0 and {r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"# Title\n\nx\ty\n", "fine\n"}
+    assert [reports.exit_status(lambda: found, x) for x in ("info", "warning", "error", "off", "never")] == [1, 1, 0, 0, 2]
+    entries = spark.createDataFrame([("A \"x\"", "product", ["c", "b"]), ("B", "person", None)], "term string, kind string, aliases array<string>")
+    assert tomllib.loads("".join(r["line"] for r in reports.vocabulary_text(entries, "toml").collect()))["vocabulary"][0] == {"term": 'A "x"', "kind": "product", "aliases": ["b", "c"]}
+    assert json.loads(reports.vocabulary_text(entries, "json").first()["line"])["aliases"] == ["b", "c"]
