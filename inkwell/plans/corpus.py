@@ -172,6 +172,18 @@ def merged_results(old: DataFrame, new: DataFrame, now: Column, days: int = 30,
     return both.withColumn("rank", rank).where(keep).drop("rank")
 
 
+def exact_first(spelled: DataFrame, findings: DataFrame) -> DataFrame:
+    """``spelled`` without words that a terminology finding has on the same range: a term's fix is exact, spelling is vaguer."""
+    terms = findings.where("rule = 'prose/terminology'").select("doc_id", "b_start", "b_end")
+    return spelled.join(terms, ["doc_id", "b_start", "b_end"], "left_anti")
+
+
+def outside(findings: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Findings that start in none of ``ranges(doc_id, s, e)``: a range anti join with the document as equality."""
+    f, r = findings.alias("f"), ranges.alias("r")
+    return f.join(r, (F.col("f.doc_id") == F.col("r.doc_id")) & (F.col("f.b_start") >= F.col("r.s")) & (F.col("f.b_start") < F.col("r.e")), "left_anti")
+
+
 def check(documents: DataFrame, config: Config = Config(), inputs: Inputs = Inputs(), vocabulary: tuple[str, ...] = ()) -> DataFrame:
     """All findings of ``documents(doc_id, path, kind, code_lang, text)`` under a configuration, in the columns of ``FINDING``."""
     detect = bool(config.options.get("detect_language", False))
@@ -180,9 +192,7 @@ def check(documents: DataFrame, config: Config = Config(), inputs: Inputs = Inpu
     joined = cross_findings(docs, inputs, config.options.get("docs_root", "docs/")).withColumn("col", F.lit(1))
     if inputs.dictionary is not None:
         spelled = spelling_findings(docs, inputs.dictionary, inputs.accepted, vocabulary, detect)
-        # a term's fix is exact: it beats the vaguer spelling on the same word
-        terms = local.where("rule = 'prose/terminology'").select("doc_id", "b_start", "b_end")
-        joined = joined.unionByName(spelled.join(terms, ["doc_id", "b_start", "b_end"], "left_anti"))
+        joined = joined.unionByName(exact_first(spelled, local))
     joined = unsuppressed(joined, suppressions(docs)).dropDuplicates(["doc_id", "rule", "b_start", "b_end"])
     default = F.create_map(*[F.lit(x) for kv in CROSS.items() for x in kv])
     message = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
@@ -198,6 +208,43 @@ def check(documents: DataFrame, config: Config = Config(), inputs: Inputs = Inpu
 # queries
 
 
+@query("terminology_over_spelling", "SELECT p_partkey AS doc_id, 'spelling' AS rule FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT p_partkey, 'prose/terminology' FROM part WHERE p_partkey % 2 = 0")
+def terminology_over_spelling(spark, sf_dir):
+    """A page for each part with one word that is both unknown and, on even ones, a wrong form of a term."""
+    text = F.when(F.col("p_partkey") % 2 == 0, "see github\n").otherwise("see githob\n")
+    documents = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("a.md").alias("path"), F.lit("markdown").alias("kind"), F.lit("").alias("code_lang"), text.alias("text"))
+    found = lint(documents, ["prose/terminology"], settle=True)
+    spelled = spelling_findings(documents, spark.createDataFrame([("en", "see")], "lang string, word string"))
+    return exact_first(spelled, found).select("doc_id", "rule").union(found.select("doc_id", "rule"))
+
+
+@query("foreign_findings", "SELECT p_partkey AS doc_id, (p_partkey % 40)::BIGINT AS b_start FROM part WHERE NOT (p_partkey % 40 >= 10 AND p_partkey % 40 < 20 AND p_partkey % 2 = 0)")
+def foreign_findings(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    findings = p.select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % 40).alias("b_start"))
+    return outside(findings, p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.lit(10).alias("s"), F.lit(20).alias("e")))
+
+
+@query("cache_lookup", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'hit' ELSE 'miss' END AS state FROM documents")
+def cache_lookup(spark, sf_dir):
+    """Documents whose stored result can be used: a third of them was stored, under this configuration."""
+    config = Config()
+    keyed = with_key(as_documents(spark, sf_dir), config).select("doc_id", "key")
+    stored = keyed.where("doc_id % 3 = 0").select("key", F.lit(True).alias("stored"))
+    return keyed.join(stored, "key", "left").select("doc_id", F.when(F.col("stored"), "hit").otherwise("miss").alias("state"))
+
+
+@query("cache_merge", """WITH o AS (SELECT user_id, event_id, ts FROM events), now AS (SELECT max(ts) AS t FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, lpad(event_id::VARCHAR, 12, '0')) AS k FROM o)
+SELECT user_id, event_id FROM r, now WHERE k <= 4 AND ts >= t - INTERVAL 30 DAYS""")
+def cache_merge(spark, sf_dir):
+    """A store of one entry an event merged with itself: the four latest of each file, none older than thirty days before the newest."""
+    e = table(spark, sf_dir, "events")
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    store = e.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("key"), F.col("user_id").cast("string").alias("path"), F.col("ts").alias("last_used"), F.array().cast("array<string>").alias("findings"))
+    out = merged_results(store, store.limit(0), now, least=0)
+    return out.select(F.col("path").cast("long").alias("user_id"), F.col("key").cast("long").alias("event_id"))
+
+
 def corpus_dictionary(spark: SparkSession, sf_dir: str, least: int = 5) -> DataFrame:
     """(lang, word) of words in ``least`` places or more: a dictionary made of the corpus itself."""
     w = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+(?:['’]\p{L}+)*)"), F.lit(1))).alias("word"))

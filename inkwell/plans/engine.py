@@ -349,15 +349,7 @@ def score_labels(spark, sf_dir):
     return scored(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"))
 
 
-# cache and overrides
-
-
-@query("cache_lookup", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'hit' ELSE 'miss' END AS state FROM documents")
-def cache_lookup(spark, sf_dir):
-    """Documents whose stored result can be used: the key is a digest of path, text and configuration."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("\0", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.lit("config 1")), 256).alias("key"))
-    stored = d.where("doc_id % 3 = 0").select("key", F.lit(True).alias("stored"))
-    return d.join(stored, "key", "left").select("doc_id", F.when(F.col("stored"), "hit").otherwise("miss").alias("state"))
+# cache and kinds of files
 
 
 @query("cache_prune", """SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 4""")

@@ -64,40 +64,6 @@ def vocabulary_suggestions(spark, sf_dir):
     return each.groupBy("phrase").agg(F.sum("n").cast("long").alias("uses"), F.count(F.lit(1)).cast("long").alias("documents"), F.min("doc_id").alias("first_document"))
 
 
-BRITISH = (("colour", "color"), ("favour", "favor"), ("organise", "organize"), ("centre", "center"), ("licence", "license"), ("analyse", "analyze"))
-
-
-def dialect(counts: DataFrame) -> DataFrame:
-    """British where at least three British spellings are four fifths of all that tell."""
-    british = (F.col("british") >= 3) & (F.col("british") * 5 >= (F.col("british") + F.col("american")) * 4)
-    return counts.withColumn("dialect", F.when(british, "british").otherwise("american"))
-
-
-@query("dialect", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 = 0 THEN 'british' ELSE 'american' END AS dialect FROM part")
-def dialect_query(spark, sf_dir):
-    text = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'The colour of the centre, to favour and organise, color.' WHEN 1 THEN 'The colour of the center.' ELSE 'no hint' END")
-    count = lambda i: F.regexp_count("text", F.lit(r"\b(?:" + "|".join(p[i] for p in BRITISH) + r")\b"))
-    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")).select("doc_id", count(0).alias("british"), count(1).alias("american"))
-    return dialect(d).select("doc_id", "dialect")
-
-
-@query("terminology_over_spelling", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'prose/terminology' ELSE 'spelling' END AS rule FROM part")
-def terminology_over_spelling(spark, sf_dir):
-    """On one range a terminology finding replaces the spelling one."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(3).cast("long").alias("b_start"), F.lit(9).cast("long").alias("b_end"))
-    spelling, terms = p.withColumn("rule", F.lit("spelling")), p.where("doc_id % 2 = 0").withColumn("rule", F.lit("prose/terminology"))
-    return spelling.join(terms, ["doc_id", "b_start", "b_end"], "left_anti").unionByName(terms).select("doc_id", "rule")
-
-
-@query("foreign_findings", "SELECT p_partkey AS doc_id, (p_partkey % 40)::BIGINT AS b_start FROM part WHERE NOT (p_partkey % 40 >= 10 AND p_partkey % 40 < 20 AND p_partkey % 2 = 0)")
-def foreign_findings(spark, sf_dir):
-    """English findings that start inside a stretch of another language go: a range anti join with the document as equality."""
-    p = table(spark, sf_dir, "part")
-    findings = p.select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % 40).alias("b_start")).alias("f")
-    stretches = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.lit(10).alias("s"), F.lit(20).alias("e")).alias("s")
-    return findings.join(stretches, (F.col("f.doc_id") == F.col("s.doc_id")) & (F.col("f.b_start") >= F.col("s.s")) & (F.col("f.b_start") < F.col("s.e")), "left_anti")
-
-
 def segments_without(segments: DataFrame, regions: DataFrame) -> DataFrame:
     """(doc_id, b_start, b_end): what is left of segments outside the regions; gaps between the running ends of a segment's regions."""
     from pyspark.sql import Window

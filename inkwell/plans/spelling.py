@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.language import DOUBLED, FUNCTION_WORDS, NORDIC_ENDINGS
 from ..sources.names import BY_NAME
 from .engine import query, table
 
@@ -115,13 +116,34 @@ def looks_not_english(spark, sf_dir):
     return w.where((F.size("w") >= 80) & (stop * 100 < 8 * F.size("w")) & (F.regexp_count("text", F.lit(r"[^\x00-\x7F]")) * 100 >= 5 * F.length("text"))).select("doc_id")
 
 
-@query("nordic_scores", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'sv' ELSE 'fi' END AS language, CASE WHEN p_partkey % 2 = 0 THEN 9 ELSE 8 END::BIGINT AS score FROM part WHERE p_partkey % 3 <> 0")
+NORDIC = {lang: sorted(set(FUNCTION_WORDS[lang].split()) - set(FUNCTION_WORDS["en"].split())) for lang in ("fi", "sv")}
+NORDIC_TEXT = "CASE c_custkey % 5 WHEN 0 THEN 'plain words only' WHEN 1 THEN 'Det var en bil och den gick på vägen' WHEN 2 THEN 'Se oli auto ja hän ajoi kaupungissa' WHEN 3 THEN 'det on ja och' ELSE c_mktsegment END || ' ' || c_name"
+
+
+def nordic_points(documents: DataFrame) -> DataFrame:
+    """(doc_id, fi, sv): two points for a function word and for the letter å, one for an ending of a word of six letters and for a doubled Finnish vowel."""
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)), F.lower)
+    count = lambda f: F.size(F.filter("w", f))
+
+    def of(lang: str) -> Column:
+        own, ends = NORDIC[lang], rf"(?:{'|'.join(NORDIC_ENDINGS[lang])})$"
+        return 2 * count(lambda x: x.isin(own)) + count(lambda x: (F.length(x) >= 6) & x.rlike(ends))
+
+    points = {lang: of(lang) for lang in NORDIC}
+    return documents.select("doc_id", words.alias("w")).select("doc_id", (points["fi"] + count(lambda x: x.rlike(DOUBLED.pattern))).cast("long").alias("fi"), (points["sv"] + 2 * count(lambda x: F.contains(x, F.lit("å")))).cast("long").alias("sv"))
+
+
+def _nordic_sql() -> str:
+    point = lambda lang: f"2 * (word IN ({', '.join(repr(x) for x in NORDIC[lang])}))::INT + (length(word) >= 6 AND regexp_matches(word, '({'|'.join(NORDIC_ENDINGS[lang])})$'))::INT"
+    return f"""WITH w AS (SELECT c_custkey AS doc_id, lower(unnest(regexp_extract_all({NORDIC_TEXT}, '\p{{L}}+'))) AS word FROM customer),
+n AS (SELECT doc_id, sum({point('fi')} + regexp_matches(word, '{DOUBLED.pattern}')::INT) AS fi, sum({point('sv')} + 2 * contains(word, 'å')::INT) AS sv FROM w GROUP BY doc_id)
+SELECT doc_id, CASE WHEN sv > fi THEN 'sv' ELSE 'fi' END AS language, greatest(fi, sv)::BIGINT AS score FROM n WHERE greatest(fi, sv) >= 4 AND greatest(fi, sv) >= 2 * least(fi, sv)"""
+
+
+@query("nordic_scores", _nordic_sql())
 def nordic_scores(spark, sf_dir):
-    """Two points for a function word, one for a typical ending or letter; four points and twice the runner-up decide."""
-    text = F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'plain words only' WHEN p_partkey % 2 = 0 THEN 'det var en bil och den gick' ELSE 'se oli auto ja hän ajoi' END")
-    sv = (2 * F.regexp_count("text", F.lit(r"\b(?:det|och|en|den|att|är)\b")) + F.regexp_count("text", F.lit(r"\w+(?:ick|ade|het)\b"))).cast("long")
-    fi = (2 * F.regexp_count("text", F.lit(r"\b(?:se|oli|ja|hän|on|ei)\b")) + F.regexp_count("text", F.lit(r"\w+(?:ssa|lla|nen)\b"))).cast("long")
-    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")).select("doc_id", sv.alias("sv"), fi.alias("fi"))
+    """Four points or more and twice the runner-up decide."""
+    d = nordic_points(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(NORDIC_TEXT).alias("text")))
     best = F.greatest("sv", "fi")
     return d.where((best >= 4) & (best >= 2 * F.least("sv", "fi"))).select("doc_id", F.when(F.col("sv") > F.col("fi"), "sv").otherwise("fi").alias("language"), best.alias("score"))
 
