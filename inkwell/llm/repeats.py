@@ -2,20 +2,24 @@
 
 Every place of a text belongs to the bucket of its first ``q`` bytes. A longer string is told apart by refining that
 bucket with the bucket identifiers of later places: 40 bytes by the identifiers at 0 and 20, 50 bytes by the refined
-identifiers at 0 and 10, each refinement reusing the last. All places cannot be sorted by shuffle, so only those are
-refined that can matter:
+identifiers at 0 and 10, each refinement reusing the last; longer ones by the identifiers of all their places. All places
+cannot be sorted by shuffle, so only those are refined that can matter:
 
 1. Of every window of ``size`` bytes the place with the smallest q-gram identifier is its anchor; windows in a row
    with one anchor form a run. Equal windows have equal anchors. Anchors meet in their initial bucket; a bucket with
-   one document is final. Within a bucket runs are refined by the identifier of all their bytes: a run whose bytes a
-   smaller document has too is covered whole.
+   one document is final. Within a bucket runs are sorted by their refined identifier, which joins the bucket identifiers
+   of all their places: a run whose bytes a smaller document has too is covered whole.
 2. Runs left in a bucket with other documents (the ends of repeats) are refined window by window: each window's
    identifier is refined to ``size`` bytes as above, and sorted with those of the other documents.
 
-A window is removed when a smaller doc_id holds the same bytes; strings are judged on the input. Defined results: a
-null or empty text has 0 bytes and nothing removed; rows with a null id are not compared; rows with one id are not
+What repeats within a task's share of the documents is settled there: only the smallest document's entry goes to the bucket, so
+that of a string which very many documents have, a bucket receives one entry a share. The number of buckets follows the counted bytes.
+
+A window is removed when a smaller doc_id holds the same bytes; strings are judged on the input. Identity is by two hashes with
+different byte values: of runs 56 bits and the 40 bits of their anchor besides the bucket, of windows 48 bits each besides the bucket.
+Defined results: a null or empty text has 0 bytes and nothing removed; rows with a null id are not compared; rows with one id are not
 compared with each other, whatever their texts; repeated rows get the same result each; columns besides the two used
-are ignored. Identifiers are 64-bit hashes.
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import U64, Block, blocks, grouped, mapped, mix, prefix, span_hash, window_hash
-from .frames import buckets, small_batches, written
+from .bytehash import U64, Block, blocks, grouped, mapped, mix, prefix, prefix_of, span_hash, window_hash
+from .frames import buckets, small_batches, text_bytes, written
 from .near import packed_texts, unpack
 
 _A = U64(0x9E3779B97F4A7C15)
@@ -79,17 +84,19 @@ class Runs:
             self.count = total[ends] - total[starts]
             self.doc = doc[starts]
             self.anchor = q[place[starts]]
-            self.span = span_hash(pre, starts, starts + self.count + settings.size - 1)
+            # the bucket identifiers of all places at which a q-gram of the run starts
+            self.span = span_hash(prefix_of(q), starts, starts + self.count + settings.size - settings.q)
         else:
             self.count = self.doc = starts
             self.anchor = self.span = np.zeros(0, U64)
         self.first = starts
 
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, document and refined identifier of every window of the given runs."""
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place, document, refined identifier and second hash of every window of the given runs."""
         count = self.count[runs]
         place = np.repeat(self.first[runs] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        return place, np.repeat(self.doc[runs], count), self._refined(place)
+        second = span_hash(prefix(self.block.data, 13), place, place + self.settings.size) if len(place) else np.zeros(0, U64)
+        return place, np.repeat(self.doc[runs], count), self._refined(place), second
 
     def _refined(self, place: np.ndarray) -> np.ndarray:
         def identifier(at: np.ndarray, level: int) -> np.ndarray:
@@ -126,54 +133,96 @@ def from_low(data: bytes, n: int) -> np.ndarray:
     return wide.view(U64).ravel()
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("tags", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("spans", pa.binary())])
-SENT_DDL = "bucket int, ids binary, tags binary, sizes binary, keys binary, spans binary"
-JUDGED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary())])
-JUDGED_DDL = "doc_id long, tag long, bucket int, codes binary"
+def packed_ints(x: np.ndarray) -> bytes:
+    """Whole numbers as offsets from the least, in as few bytes each as the largest needs."""
+    low = int(x.min())
+    gap = x.astype(np.int64) - low
+    width = next(w for w in (1, 2, 4, 8) if int(gap.max()) < 1 << (8 * w - (w == 8)))
+    return np.array([low, width], np.int64).tobytes() + gap.astype(f"u{width}").tobytes()
+
+
+def unpacked_ints(data: bytes) -> np.ndarray:
+    low, width = np.frombuffer(data, np.int64, 2).tolist()
+    return np.frombuffer(data, f"u{width}", offset=16).astype(np.int64) + low
+
+
+SENT = pa.schema([("share", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("tags", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("spans", pa.binary())])
+SENT_DDL = "share long, bucket int, ids binary, tags binary, sizes binary, keys binary, spans binary"
+JUDGED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("share", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary())])
+JUDGED_DDL = "doc_id long, tag long, share long, bucket int, codes binary"
 
 
 class Sender:
-    """Collects entries of documents and packs them by bucket."""
+    """Collects entries of documents, settles what repeats among them, and packs the rest by bucket.
+
+    An entry whose key and span a smaller document of this share has too is covered for certain: it is not sent. Which entries
+    these are goes along as a row without keys, which ``judged`` hands on under the bucket -1.
+    """
 
     def __init__(self, n_buckets: int, key_bytes: int, span_bytes: int):
         self.n, self.key_bytes, self.span_bytes = n_buckets, key_bytes, span_bytes
         self.held: list = []
-        self.size = 0
+        self.size = self.docs = 0
+        self.share = TaskContext.get().partitionId() << 24
 
-    def add(self, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, key: np.ndarray, span: np.ndarray | None) -> None:
+    def add(self, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, key: np.ndarray, span: np.ndarray) -> None:
         if len(key):
-            self.held.append((ids[doc], tags[doc], key, key if span is None else span))
+            self.held.append((ids[doc], tags[doc], doc + self.docs, key, span))
             self.size += len(key)
+        self.docs += len(ids)
 
     def rows(self) -> pa.RecordBatch:
-        ids, tags, key, span = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held, self.size = [], 0
+        ids, tags, doc, key, span = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size, self.docs, self.share = [], 0, 0, self.share + 1
+        order = np.lexsort((ids, span, key))
+        new = np.append(True, (key[order][1:] != key[order][:-1]) | (span[order][1:] != span[order][:-1]))
+        covered = np.empty(len(ids), dtype=bool)
+        covered[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
         bucket = (key % U64(self.n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(self.n + 1))
         out = []
-        for b in range(self.n):
-            some = order[cuts[b] : cuts[b + 1]]
-            if len(some):
-                i, t = ids[some], tags[some]
-                start = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])))
-                spans = low_bytes(span[some], self.span_bytes) if self.span_bytes else None
-                out.append((b, i[start].tobytes(), t[start].tobytes(), np.diff(np.append(start, len(some))).astype(np.uint32).tobytes(), low_bytes(key[some] // U64(self.n), self.key_bytes), spans))
+
+        def packed(some: np.ndarray, b: int, local: bool) -> None:
+            d = doc[some]
+            start = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            sizes = np.diff(np.append(start, len(some)))
+            own = covered[some].astype(np.uint8).tobytes() if local else low_bytes(span[some], self.span_bytes)
+            out.append((self.share, b, packed_ints(ids[some][start]), packed_ints(tags[some][start]), packed_ints(sizes), None if local else low_bytes(key[some] // U64(self.n), self.key_bytes), own))
+
+        sent = np.flatnonzero(~covered)
+        sent = sent[np.argsort(bucket[sent], kind="stable")]
+        cuts = np.searchsorted(bucket[sent], np.arange(self.n + 1))
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            packed(sent[cuts[b] : cuts[b + 1]], b, False)
+        if covered.any():
+            settled = np.isin(doc, doc[covered])
+            packed(np.flatnonzero(settled), int(ids[0]) % self.n, True)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SENT, strict=True)], schema=SENT)
 
 
 def judged(table: pa.Table, judge, key_bytes: int, span_bytes: int) -> pa.Table:
-    """Apply ``judge(key, span, doc) -> codes`` to a bucket; documents with a code other than 0 come back."""
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-    tags = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tags").to_pylist()])
-    sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("sizes").to_pylist()]).astype(np.int64)
-    key = np.concatenate([from_low(x, key_bytes) for x in table.column("keys").to_pylist()])
-    span = np.concatenate([from_low(x, span_bytes) for x in table.column("spans").to_pylist()]) if span_bytes else key
-    codes = judge(key, span, np.repeat(ids, sizes))
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    some = np.flatnonzero(np.add.reduceat(codes, ends[:-1]) > 0) if len(sizes) else []
-    raw = codes.astype(np.uint8).tobytes()
-    return pa.table([pa.array(ids[some]), pa.array(tags[some].astype(np.int64)), pa.array(np.full(len(some), table.column("bucket")[0].as_py(), np.int32)), pa.array([raw[ends[i] : ends[i + 1]] for i in some], pa.binary())], schema=JUDGED)
+    """Apply ``judge(key, span, doc) -> codes`` to a bucket; documents with a code other than 0 come back, and what was settled before."""
+    sent = [r for r in table.to_pylist() if r["keys"] is not None]
+    out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+
+    def back(ids: np.ndarray, tags: np.ndarray, shares: np.ndarray, sizes: np.ndarray, raw: bytes, some, bucket: int) -> None:
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        for column, values in zip(out, (ids[some].tolist(), tags[some].tolist(), shares[some].tolist(), [bucket] * len(some), [raw[ends[i] : ends[i + 1]] for i in some]), strict=True):
+            column.extend(values)
+
+    for r in table.to_pylist():
+        if r["keys"] is None:
+            sizes = unpacked_ints(r["sizes"])
+            back(unpacked_ints(r["ids"]), unpacked_ints(r["tags"]), np.full(len(sizes), r["share"]), sizes, r["spans"], np.arange(len(sizes)), -1)
+    if sent:
+        each = [[unpacked_ints(r[c]) for r in sent] for c in ("ids", "tags", "sizes")]
+        shares = np.repeat([r["share"] for r in sent], [len(x) for x in each[0]])
+        ids, tags, sizes = map(np.concatenate, each)
+        key = np.concatenate([from_low(r["keys"], key_bytes) for r in sent])
+        span = np.concatenate([from_low(r["spans"], span_bytes) for r in sent])
+        codes = judge(key, span, np.repeat(ids, sizes))
+        some = np.flatnonzero(np.add.reduceat(codes, np.cumsum(sizes) - sizes) > 0)
+        back(ids, tags, shares, sizes, codes.astype(np.uint8).tobytes(), some, sent[0]["bucket"])
+    return pa.table([pa.array(c, f.type) for c, f in zip(out, JUDGED, strict=True)], schema=JUDGED)
 
 
 def judge_runs(key: np.ndarray, span: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -193,9 +242,9 @@ def judge_runs(key: np.ndarray, span: np.ndarray, doc: np.ndarray) -> np.ndarray
 
 def judge_windows(key: np.ndarray, span: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """1: a smaller document has the window."""
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    new = np.append(True, k[1:] != k[:-1])[: len(k)]
+    order = np.lexsort((doc, span, key))
+    k, s, d = key[order], span[order], doc[order]
+    new = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))[: len(k)]
     out = np.zeros(len(k), dtype=np.int64)
     out[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
     return out
@@ -206,20 +255,28 @@ def tag_of(block: Block) -> np.ndarray:
     return np.array([zlib.crc32(block.data[a:b]) for a, b in zip(block.offs[:-1], block.offs[1:], strict=True)], dtype=np.uint32)
 
 
-KEY_BYTES, SPAN_BYTES = 5, 6
+#: Bytes sent of the identifiers of runs (anchor, run) and of windows.
+RUN_BYTES, WINDOW_BYTES = (5, 7), (6, 6)
 
 
 def by_entry(found: list, doc: np.ndarray, key: np.ndarray, n_buckets: int) -> np.ndarray:
     """Codes of the distinct entries of a block's documents; ``found``: for each document (bucket, codes) in list."""
     out = np.zeros(len(key), dtype=np.uint8)
-    bucket = (key % U64(n_buckets)).astype(np.int64)
-    order = np.lexsort((np.arange(len(key)), bucket, doc))
-    where = doc[order] * n_buckets + bucket[order]
+    first = np.searchsorted(doc, np.arange(len(found) + 1))
+    for d, verdicts in enumerate(found):
+        for v in verdicts or ():
+            if v["bucket"] < 0:
+                out[first[d] : first[d + 1]] = np.frombuffer(v["codes"], np.uint8)
+    sent = np.flatnonzero(out == 0)
+    bucket = (key[sent] % U64(n_buckets)).astype(np.int64)
+    order = sent[np.lexsort((np.arange(len(sent)), bucket, doc[sent]))]
+    where = doc[order] * n_buckets + (key[order] % U64(n_buckets)).astype(np.int64)
     asked, codes = [], []
     for d, verdicts in enumerate(found):
         for v in verdicts or ():
-            asked.append(d * n_buckets + v["bucket"])
-            codes.append(np.frombuffer(v["codes"], np.uint8))
+            if v["bucket"] >= 0:
+                asked.append(d * n_buckets + v["bucket"])
+                codes.append(np.frombuffer(v["codes"], np.uint8))
     if asked:
         lo, n = np.searchsorted(where, asked), np.array([len(c) for c in codes])
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
@@ -227,10 +284,13 @@ def by_entry(found: list, doc: np.ndarray, key: np.ndarray, n_buckets: int) -> n
     return out
 
 
-
 def matched(lists: list, tags: np.ndarray) -> list:
-    """Of each document's verdicts those of its own text."""
-    return [[v for x in own or () if x["tag"] == int(t) for v in x["verdicts"]] for own, t in zip(lists, tags, strict=True)]
+    """Of each document's verdicts those of its own text; equal rows may have come from several shares, which found the same, and one is taken."""
+    out = []
+    for own, tag in zip(lists, tags.tolist(), strict=True):
+        mine = [x for x in own or () if x["tag"] == tag]
+        out.append(min(mine, key=lambda x: x["share"])["verdicts"] if mine else [])
+    return out
 
 
 def removed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -239,13 +299,13 @@ def removed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     small_batches(spark)
     documents = documents.select(documents["doc_id"], documents["text"])
     keyed = documents.where("doc_id IS NOT NULL")
-    n_buckets = buckets(spark)
+    n_buckets = buckets(spark, text_bytes(keyed))
 
     def entries(runs: Runs):
         return distinct_rows(runs.doc, runs.anchor, runs.span)
 
     def send_runs(batches):
-        sender = Sender(n_buckets, KEY_BYTES, SPAN_BYTES)
+        sender = Sender(n_buckets, *RUN_BYTES)
         for block in blocks(batches):
             runs = Runs(block, settings)
             rows, _ = entries(runs)
@@ -256,14 +316,16 @@ def removed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield sender.rows()
 
     sent = keyed.mapInArrow(mapped(send_runs), SENT_DDL)
-    first = written(sent.groupBy("bucket").applyInArrow(grouped(lambda t: judged(t, judge_runs, KEY_BYTES, SPAN_BYTES)), JUDGED_DDL), "repeat-runs")
+    first = written(sent.groupBy("bucket").applyInArrow(grouped(lambda t: judged(t, judge_runs, *RUN_BYTES)), JUDGED_DDL), "repeat-runs")
 
-    def with_verdicts(verdicts: DataFrame, name: str) -> DataFrame:
-        lists = verdicts.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("bucket", "codes")).alias("verdicts"))
-        return lists.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "verdicts")).alias(name))
+    def with_verdicts(verdicts: DataFrame, name: str, wanted: Column | None = None) -> DataFrame:
+        """One row a document: the verdicts of each of its texts, if ``wanted`` is not false of them."""
+        lists = verdicts.groupBy("doc_id", "tag", "share").agg(F.collect_list(F.struct("bucket", "codes")).alias("verdicts"), (F.lit(True) if wanted is None else wanted).alias("wanted")).where("wanted")
+        return lists.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "share", "verdicts")).alias(name))
 
     texts = packed_texts(keyed)
-    to_refine = with_verdicts(first.where(F.hex("codes").rlike("^(..)*02")), "runs")
+    two = F.hex("codes").rlike("^(..)*02")
+    to_refine = with_verdicts(first.where(two | (F.col("bucket") < 0)).withColumn("two", two), "runs", F.max("two"))
 
     def opened(batch: pa.RecordBatch):
         """Blocks of a batch (doc_id, packed, lists ...), with the batch's rows."""
@@ -277,21 +339,21 @@ def removed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return np.flatnonzero(by_entry(found, runs.doc[rows], runs.anchor[rows], n_buckets)[number] == code)
 
     def send_windows(batches):
-        sender = Sender(n_buckets, 8, 0)
+        sender = Sender(n_buckets, *WINDOW_BYTES)
         for batch in batches:
             lists = batch.column(2).to_pylist()
             for block, at in opened(batch):
                 tags, runs = tag_of(block), Runs(block, settings)
-                _, doc, key = runs.windows(chosen(runs, matched([lists[i] for i in at], tags), 2))
-                rows, _ = distinct_rows(doc, key)
-                sender.add(block.ids, tags, doc[rows], key[rows], None)
+                _, doc, key, second = runs.windows(chosen(runs, matched([lists[i] for i in at], tags), 2))
+                rows, _ = distinct_rows(doc, key, second)
+                sender.add(block.ids, tags, doc[rows], key[rows], second[rows])
             if sender.size >= settings.flush:
                 yield sender.rows()
         if sender.size:
             yield sender.rows()
 
     refined = texts.join(to_refine, "doc_id").select("doc_id", "packed", "runs").mapInArrow(mapped(send_windows), SENT_DDL)
-    second = written(refined.groupBy("bucket").applyInArrow(grouped(lambda t: judged(t, judge_windows, 8, 0)), JUDGED_DDL), "repeat-windows")
+    second = written(refined.groupBy("bucket").applyInArrow(grouped(lambda t: judged(t, judge_windows, *WINDOW_BYTES)), JUDGED_DDL), "repeat-windows")
 
     def cut(batches):
         for batch in batches:
@@ -305,8 +367,8 @@ def removed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 whole = np.flatnonzero(code == 1)
                 np.add.at(mark, runs.first[whole], 1)
                 np.add.at(mark, runs.first[whole] + runs.count[whole] + settings.size - 1, -1)
-                place, doc, key = runs.windows(np.flatnonzero(code == 2))
-                rows, number = distinct_rows(doc, key)
+                place, doc, key, twin = runs.windows(np.flatnonzero(code == 2))
+                rows, number = distinct_rows(doc, key, twin)
                 gone = place[by_entry(matched([second_[i] for i in at], tags), doc[rows], key[rows], n_buckets)[number] == 1]
                 np.add.at(mark, gone, 1)
                 np.add.at(mark, gone + settings.size, -1)
