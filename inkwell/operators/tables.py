@@ -53,30 +53,33 @@ def normalized(base: str, dest: str) -> str:
     return posixpath.normpath(joined) if clean else base
 
 
+LINK = "l_id int, kind string, is_image boolean, dest string, text string, target string, fragment string, b_start long, b_end long, line int"
+
+
+def link_rows(c: Context, at: Positions) -> Iterator[tuple]:
+    for i, x in enumerate(c.doc.links):
+        local = not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|//|\{\{|\{%|<%", x.dest) and x.dest != ""
+        fragment = unquote(x.dest.split("#", 1)[1]).lower().removeprefix("user-content-") if "#" in x.dest else None
+        target = re.sub(r":\d+(?::\d+)?$", "", normalized(c.path, x.dest)) if local else None
+        yield i + 1, x.kind, x.image, x.dest, x.text, target, fragment, at.byte(x.start), at.byte(x.end), at.line(x.start)[0]
+
+
 def links(documents: DataFrame) -> DataFrame:
     """Links with the path and the fragment they point at; ``target`` is null for addresses."""
+    return child(documents, LINK, link_rows)
 
-    def rows(c, at):
-        for i, x in enumerate(c.doc.links):
-            local = not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|//|\{\{|\{%|<%", x.dest) and x.dest != ""
-            fragment = unquote(x.dest.split("#", 1)[1]).lower().removeprefix("user-content-") if "#" in x.dest else None
-            target = re.sub(r":\d+(?::\d+)?$", "", normalized(c.path, x.dest)) if local else None
-            yield i + 1, x.kind, x.image, x.dest, x.text, target, fragment, at.byte(x.start), at.byte(x.end), at.line(x.start)[0]
 
-    return child(documents, "l_id int, kind string, is_image boolean, dest string, text string, target string, fragment string, b_start long, b_end long, line int", rows)
+def anchor_rows(c: Context, at: Positions) -> Iterator[tuple]:
+    for h in c.doc.headings:
+        yield (h.anchor.lower(),)
+    for _, attrs, _, _ in c.doc.tags:
+        for m in re.finditer(r"\b(?:id|name)\s*=\s*[\"']([^\"']+)", attrs):
+            yield (m[1].lower(),)
 
 
 def anchors(documents: DataFrame) -> DataFrame:
     """(doc_id, anchor): of headings and HTML ids, in lower case."""
-
-    def rows(c, at):
-        for h in c.doc.headings:
-            yield (h.anchor.lower(),)
-        for _, attrs, _, _ in c.doc.tags:
-            for m in re.finditer(r"\b(?:id|name)\s*=\s*[\"']([^\"']+)", attrs):
-                yield (m[1].lower(),)
-
-    return child(documents, "anchor string", rows).distinct()
+    return child(documents, "anchor string", anchor_rows).distinct()
 
 
 def code_blocks(documents: DataFrame) -> DataFrame:
@@ -156,16 +159,19 @@ def po_entries(documents: DataFrame) -> DataFrame:
 INCLUDES = re.compile(r"\{\{#include\s+([^}\s]+?)\s*\}\}|--8<--\s*[\"']([^\"']+)[\"']|\{%-?\s*include(?:-markdown)?\s+[\"']([^\"']+)[\"']|^\.\. (?:include|literalinclude):: (\S+)|<!--\s*include:?\s+(\S+?)\s*-->", re.M)
 
 
-def includes(documents: DataFrame) -> DataFrame:
-    """Files that documents include, with the candidates where they may be: beside the document, at the root, in ``_includes``."""
+INCLUDE = "file string, candidates array<string>, b_start long, b_end long, line int"
+
+
+def include_rows(c: Context, at: Positions) -> Iterator[tuple]:
+    for m in INCLUDES.finditer(c.text):
+        if not c.doc.in_code(m.start()) or m[2]:
+            path = re.sub(r":[\w:]*$", "", next(g for g in m.groups() if g))
+            yield path, [normalized(c.path, path), posixpath.normpath(path.lstrip("/")), posixpath.normpath("_includes/" + path)], at.byte(m.start()), at.byte(m.end()), at.line(m.start())[0]
 
-    def rows(c, at):
-        for m in INCLUDES.finditer(c.text):
-            if not c.doc.in_code(m.start()) or m[2]:
-                path = re.sub(r":[\w:]*$", "", next(g for g in m.groups() if g))
-                yield path, [normalized(c.path, path), posixpath.normpath(path.lstrip("/")), posixpath.normpath("_includes/" + path)], at.byte(m.start()), at.byte(m.end()), at.line(m.start())[0]
 
-    return child(documents, "file string, candidates array<string>, b_start long, b_end long, line int", rows)
+def includes(documents: DataFrame) -> DataFrame:
+    """Files that documents include, with the candidates where they may be: beside the document, at the root, in ``_includes``."""
+    return child(documents, INCLUDE, include_rows)
 
 
 LANG_MARK = re.compile(r"<!--\s*lang:?\s+([a-zA-Z-]+)\s*-->|<(p|div|span|section|blockquote|q|em|i)\b[^<>]*\blang\s*=\s*[\"']([a-zA-Z-]+)[\"'][^<>]*>")
@@ -217,6 +223,9 @@ def regions(documents: DataFrame) -> DataFrame:
     return child(documents, "b_start long, b_end long, lang string", rows)
 
 
+WORD = "word string, lang string, b_start long, b_end long, line int, col int"
+
+
 def spell_words(documents: DataFrame, vocabulary: tuple[str, ...] = (), detect: bool = False) -> DataFrame:
     """Words of the prose that a speller has to know, with the language they are in; a column ``language`` is minded."""
     from .spelling import spell_words as own
@@ -226,7 +235,7 @@ def spell_words(documents: DataFrame, vocabulary: tuple[str, ...] = (), detect:
             line, col = at.line(a)
             yield word, lang, at.byte(a), at.byte(b), line, col
 
-    return child(documents, "word string, lang string, b_start long, b_end long, line int, col int", rows)
+    return child(documents, WORD, rows)
 
 
 def line_flags(documents: DataFrame) -> DataFrame:

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions.inflection import COMPOUNDING, TOLERATED
 from ..operators import all_rules, tables
+from ..operators.facts import facts
 from ..operators.lint import FINDING, LEVELS, lint
 from ..sources.files import Config, with_overrides
 from ..sources.shared import written
 from . import links as between
-from .engine import as_documents, query, suppressions, table, unsuppressed
+from .engine import as_documents, query, table, unsuppressed
 from .native import deletion_keys
 from .spelling import bases
 
@@ -35,7 +36,7 @@ class Inputs:
     """Tables beside the documents; what is None takes no part.
 
     ``dictionary(lang, word)`` and ``accepted(word)`` for spelling, ``status(url, tag, code, detail)`` of addresses, ``paths(path)`` of files that
-    are no documents, ``stored(key, path, last_used, findings)`` results of earlier runs.
+    are no documents, ``stored(key, path, last_used, findings)`` results of earlier runs, ``listed(path)`` pages of a navigation.
     """
 
     dictionary: DataFrame | None = None
@@ -43,6 +44,7 @@ class Inputs:
     status: DataFrame | None = None
     paths: DataFrame | None = None
     stored: DataFrame | None = None
+    listed: DataFrame | None = None
 
 
 def severity_under(rule: Column, default: Column, levels: Column) -> Column:
@@ -95,10 +97,9 @@ def project_names(unknown: DataFrame, uses: DataFrame, dictionary: DataFrame, le
     return some.join(near, ["lang", "word"], "left_anti")
 
 
-def spelling_findings(documents: DataFrame, dictionary: DataFrame, accepted: DataFrame | None = None, vocabulary: tuple[str, ...] = (), detect: bool = False) -> DataFrame:
-    """Findings of ``spelling``: every distinct word of a language is looked up once, languages without a dictionary are left alone."""
-    # used three times below: the map over the texts runs once
-    words = written(tables.spell_words(documents, vocabulary, detect), "spell-words")
+def spelling_findings(words: DataFrame, dictionary: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
+    """Findings of ``spelling`` in ``words`` (``tables.spell_words``): every distinct word of a language is looked up once, languages without
+    a dictionary are left alone."""
     distinct = words.select("lang", "word").distinct().join(dictionary.select("lang").distinct(), "lang", "left_semi")
     if accepted is not None:
         distinct = distinct.join(accepted.select(F.lower("word").alias("low")).distinct(), F.lower(F.regexp_replace("word", "['’]s$", "")) == F.col("low"), "left_anti")
@@ -108,16 +109,14 @@ def spelling_findings(documents: DataFrame, dictionary: DataFrame, accepted: Dat
     return words.join(told, ["lang", "word"]).select("doc_id", F.lit("spelling").alias("rule"), "line", "col", "b_start", "b_end", F.col("word").alias("text"), "suggestions")
 
 
-def cross_findings(documents: DataFrame, inputs: Inputs, root: str = "docs/") -> DataFrame:
+def cross_findings(documents: DataFrame, links: DataFrame, anchors: DataFrame, includes: DataFrame, inputs: Inputs, root: str = "docs/") -> DataFrame:
     """(doc_id, rule, line, b_start, b_end, text, suggestions) of the rules that look at other files and at addresses."""
-    # used by several joins: the map over the texts runs once
-    links, includes = written(tables.links(documents), "links"), written(tables.includes(documents), "includes")
     every = documents.select("path")
     paths = every if inputs.paths is None else every.union(inputs.paths.select("path")).distinct()
     none = F.array().cast("array<string>")
     own = lambda df: df.select("doc_id", "rule", "line", "b_start", "b_end", "text", none.alias("suggestions"))
-    out = own(between.missing_files(links, paths)).union(own(between.missing_anchors(links, documents, tables.anchors(documents)))).union(own(between.missing_includes(includes, paths)))
-    lonely = between.orphan_pages(documents, links, root)
+    out = own(between.missing_files(links, paths)).union(own(between.missing_anchors(links, documents, anchors))).union(own(between.missing_includes(includes, paths)))
+    lonely = between.orphan_pages(documents, links, root, listed=inputs.listed)
     out = out.union(lonely.select("doc_id", F.lit("docs/orphan-page"), F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(""), none))
     if inputs.status is not None:
         met = between.address_findings(links, inputs.status)
@@ -135,6 +134,15 @@ def with_key(documents: DataFrame, config: Config) -> DataFrame:
     return documents.withColumn("key", F.sha2(F.concat_ws("\0", "path", "kind", "code_lang", F.coalesce("text", F.lit("")), F.lit(digest(config))), 256))
 
 
+def with_stored(documents: DataFrame, config: Config, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``documents`` with ``known``, true where there is a stored result, and the findings of those results."""
+    kept = stored.select("key", "findings").dropDuplicates(["key"])
+    keyed = with_key(documents, config)
+    hits = keyed.select("key", "doc_id", "path").join(kept, "key").select("doc_id", "path", F.explode("findings").alias("f")).select(*[F.col(c) if c in ("doc_id", "path") else F.col(f"f.{c}").alias(c) for c in columns()])
+    marked = keyed.join(kept.select("key", F.lit(True).alias("known")), "key", "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("key")
+    return marked, hits
+
+
 def local_findings(documents: DataFrame, config: Config, stored: DataFrame | None = None) -> DataFrame:
     """Findings of the file-local rules: of documents with a stored result that result, of others the rules'.
 
@@ -142,11 +150,8 @@ def local_findings(documents: DataFrame, config: Config, stored: DataFrame | Non
     """
     if stored is None:
         return lint(documents, config=config.options, settle=True)
-    keyed = with_key(documents, config)
-    kept = stored.select("key", "findings").dropDuplicates(["key"])
-    hits = keyed.select("key", "doc_id", "path").join(kept, "key").select("doc_id", "path", F.explode("findings").alias("f")).select(*[F.col(c) if c in ("doc_id", "path") else F.col(f"f.{c}").alias(c) for c in columns()])
-    misses = keyed.join(kept.select("key"), "key", "left_anti")
-    return hits.unionByName(lint(misses, config=config.options, settle=True))
+    marked, hits = with_stored(documents, config, stored)
+    return hits.unionByName(lint(marked.where("NOT known"), config=config.options, settle=True))
 
 
 def columns() -> list[str]:
@@ -186,14 +191,23 @@ def outside(findings: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def check(documents: DataFrame, config: Config = Config(), inputs: Inputs = Inputs(), vocabulary: tuple[str, ...] = ()) -> DataFrame:
     """All findings of ``documents(doc_id, path, kind, code_lang, text)`` under a configuration, in the columns of ``FINDING``."""
-    detect = bool(config.options.get("detect_language", False))
     docs = with_overrides(documents.select("doc_id", "path", "kind", "code_lang", "text"), config)
-    local = written(local_findings(docs, config, inputs.stored), "local-findings")
-    joined = cross_findings(docs, inputs, config.options.get("docs_root", "docs/")).withColumn("col", F.lit(1))
+    hits = None
+    if inputs.stored is not None:
+        docs, hits = with_stored(docs, config, inputs.stored)
+    # one parse for all that is asked of a document, written for the joins below
+    known = written(facts(docs, config.options, vocabulary, inputs.dictionary is not None), "facts")
+    of = lambda kind, *names: known.where(F.col("fact") == kind).select("doc_id", *names)
+    local = known.where("fact = 'finding'").select(*columns())
+    local = local if hits is None else local.unionByName(hits)
+    links = of("link", "is_image", "dest", "target", "fragment", "b_start", "b_end", "line")
+    includes = of("include", F.col("text").alias("file"), F.col("names").alias("candidates"), "b_start", "b_end", "line")
+    joined = cross_findings(docs, links, of("anchor", F.col("text").alias("anchor")), includes, inputs, config.options.get("docs_root", "docs/")).withColumn("col", F.lit(1))
     if inputs.dictionary is not None:
-        spelled = spelling_findings(docs, inputs.dictionary, inputs.accepted, vocabulary, detect)
-        joined = joined.unionByName(exact_first(spelled, local))
-    joined = unsuppressed(joined, suppressions(docs)).dropDuplicates(["doc_id", "rule", "b_start", "b_end"])
+        words = of("word", F.col("text").alias("word"), "lang", "b_start", "b_end", "line", "col")
+        joined = joined.unionByName(exact_first(spelling_findings(words, inputs.dictionary, inputs.accepted), local))
+    off = of("off", F.col("b_start").alias("s"), F.col("b_end").alias("e"), F.col("names").alias("rules"), "kept")
+    joined = unsuppressed(joined, off).dropDuplicates(["doc_id", "rule", "b_start", "b_end"])
     default = F.create_map(*[F.lit(x) for kv in CROSS.items() for x in kv])
     message = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
     levels = docs.select("doc_id", "path", "levels")
@@ -214,7 +228,7 @@ def terminology_over_spelling(spark, sf_dir):
     text = F.when(F.col("p_partkey") % 2 == 0, "see github\n").otherwise("see githob\n")
     documents = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("a.md").alias("path"), F.lit("markdown").alias("kind"), F.lit("").alias("code_lang"), text.alias("text"))
     found = lint(documents, ["prose/terminology"], settle=True)
-    spelled = spelling_findings(documents, spark.createDataFrame([("en", "see")], "lang string, word string"))
+    spelled = spelling_findings(tables.spell_words(documents), spark.createDataFrame([("en", "see")], "lang string, word string"))
     return exact_first(spelled, found).select("doc_id", "rule").union(found.select("doc_id", "rule"))
 
 

@@ -59,6 +59,12 @@ def test_check(spark, documents, dictionary):
     spelled = found.where("rule = 'spelling' AND path = 'src/a.rs'").first()
     assert (spelled["line"], spelled["col"], spelled["b_start"], spelled["b_end"], spelled["suggestions"]) == (1, 8, 7, 12, ["boat"])
     assert corpus.check(documents.where("false"), config).count() == 0
+    # with stored results the same comes out
+    plain = corpus.local_findings(corpus.with_overrides(documents, config), config)
+    stored = corpus.stored_results(documents, plain, config, F.lit("2026-01-01").cast("timestamp")).where("path <> 'docs/alone.md'")
+    inputs = corpus.Inputs(dictionary=dictionary, accepted=accepted, stored=stored, listed=spark.createDataFrame([("docs/sv.md",)], "path string"))
+    again = corpus.check(documents, config, inputs, vocabulary=("Kuburnetes",))
+    assert rows(again.where("rule <> 'docs/orphan-page'")) == got and again.where("rule = 'docs/orphan-page'").count() == 5
 
 
 def test_stored_results_change_nothing(spark, documents):
