@@ -57,12 +57,14 @@ def hint(words: list[str], least: int = 6) -> str | None:
     return best if most >= 2 and most * 4 >= len(words) and most >= 2 * second else None
 
 
+_NORDIC = {lang: frozenset(FUNCTION_WORDS[lang].split()) - frozenset(FUNCTION_WORDS["en"].split()) for lang in ("fi", "sv")}
+
+
 def nordic_scores(words: list[str]) -> dict[str, int]:
     """Points for Finnish and Swedish: two for a function word and for the letter å, one for an ending and for a doubled Finnish vowel."""
-    own = {lang: set(FUNCTION_WORDS[lang].split()) - set(FUNCTION_WORDS["en"].split()) for lang in ("fi", "sv")}
-    out = dict.fromkeys(own, 0)
+    out = {"fi": 0, "sv": 0}
     for w in words:
-        for lang, some in own.items():
+        for lang, some in _NORDIC.items():
             out[lang] += 2 * (w in some) + (len(w) >= 6 and w.endswith(NORDIC_ENDINGS[lang]))
         out["sv"] += 2 * ("å" in w)
         out["fi"] += DOUBLED.search(w) is not None

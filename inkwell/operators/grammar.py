@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from ..functions.sentences import like, quoted
 from .registry import INFO, WARNING, Context, Finding, rule
-from .text import lower_text, segments
+from .text import lower_segment, lower_text, segments
 
 BOTH = ("markdown", "code", "gettext")
 I = re.I  # noqa: E741
@@ -151,7 +151,7 @@ def english_rule(name: str):
         if c.option("language", "en") != "en" or (needed and not any(w in lower_text(c) for w in needed)):
             return
         for s in segments(c):
-            if needed and not any(w in s.text.lower() for w in needed):
+            if needed and not any(w in lower_segment(c, s) for w in needed):
                 continue
             flat = s.text.replace("\n", " ")
             for pattern, new, level in compiled:

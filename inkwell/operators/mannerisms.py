@@ -15,6 +15,20 @@ from .text import lower_text, sections, segments, sentences_of
 BOTH = ("markdown", "code", "gettext")
 
 
+def needle(pattern: str) -> str:
+    """The longest plain word that every match of a pattern has, or nothing."""
+    while (bare := re.sub(r"\((?:\?:)?[^()]*\)[?*]?|\[[^\]]*\][?*+]?", " ", pattern)) != pattern:
+        pattern = bare
+    # what a mark makes optional, and classes of characters, are no part of it
+    return max(re.findall(r"[a-z]{3,}", re.sub(r"\\.[+*?]?|.[?*]", " ", pattern)), key=len, default="")
+
+
+@lru_cache(maxsize=2)
+def built_in(kind: str) -> tuple:
+    """The patterns of the built-in catalogue: looked up by name, since a long catalogue is slow to hash."""
+    return compiled.__wrapped__(tuple(lexicons.PHRASES), kind)
+
+
 @lru_cache(maxsize=8)
 def compiled(entries: tuple, kind: str) -> tuple:
     out = []
@@ -22,7 +36,7 @@ def compiled(entries: tuple, kind: str) -> tuple:
         if (own == "word") == (kind == "word"):
             parts = forms if own == "pattern" else [r"\s+".join(map(re.escape, f.split())) for f in forms]
             # a text without any needle of an entry cannot match it
-            needles = tuple(re.split(r"[\W]", f)[0] if own == "pattern" and len(re.split(r"\W", f)[0]) > 4 else "" if own == "pattern" else f.split()[-1] for f in forms)
+            needles = tuple(needle(f) if own == "pattern" else f.split()[-1] for f in forms)
             out.append((needles, number, name, re.compile(rf"(?<!\w)(?<!\w[-'’])(?:{'|'.join(parts)})(?![\w-])", re.I), re.compile(rf"\s+(?:{not_after})\b", re.I) if not_after else None, instead))
     return tuple(out)
 
@@ -32,9 +46,9 @@ def hits(c: Context, kind: str):
     key = f"slop-{kind}"
     if key not in c.cache:
         c.cache[key] = []
-        entries = tuple(c.option("phrases", lexicons.PHRASES))
+        own = c.option("phrases", None)
         lower = lower_text(c)
-        usable = [e[1:] for e in compiled(entries, kind) if any(n in lower for n in e[0])]
+        usable = [e[1:] for e in (built_in(kind) if own is None else compiled(tuple(own), kind)) if any(n in lower for n in e[0])]
         for s in segments(c):
             found = [(m.start(), -m.end(), number, name, instead) for number, name, pattern, not_after, instead in usable for m in pattern.finditer(s.text) if not (not_after and not_after.match(s.text, m.end()))]
             at = 0

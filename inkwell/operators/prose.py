@@ -10,7 +10,7 @@ from ..functions.sentences import identifier_like, like, quoted, words
 from ..functions.words import grade, syllables
 from ..sources import lexicons
 from .registry import INFO, OFF, WARNING, Context, Finding, rule
-from .text import lower_text, sections, segments, sentences_of
+from .text import lower_text, present, sections, segments, sentences_of
 
 BOTH = ("markdown", "code", "gettext")
 
@@ -29,8 +29,9 @@ def norm(text: str) -> str:
 @rule("prose/inclusive", WARNING, BOTH)
 def inclusive(c: Context):
     table = {f: n for f, n, _ in c.option("inclusive", lexicons.INCLUSIVE)}
-    find = phrase_pattern(tuple(table))
-    for s in segments(c):
+    some = present(c, table)
+    find = phrase_pattern(some)
+    for s in segments(c) if some else ():
         for m in find.finditer(s.text):
             if not identifier_like(s.text, m.start(), m.end()):
                 new = like(m[0], table[norm(m[0])])
@@ -40,8 +41,9 @@ def inclusive(c: Context):
 @rule("prose/simplify", INFO, BOTH, fixes=True)
 def simplify(c: Context):
     table = {f: (n, x) for f, n, x in c.option("simplify", lexicons.SIMPLIFY)}
-    find = phrase_pattern(tuple(table))
-    for s in segments(c):
+    some = present(c, table)
+    find = phrase_pattern(some)
+    for s in segments(c) if some else ():
         if s.kind != "quote":
             for m in find.finditer(s.text):
                 if not identifier_like(s.text, m.start(), m.end()):
@@ -52,8 +54,9 @@ def simplify(c: Context):
 @rule("prose/terminology", WARNING, BOTH, fixes=True)
 def terminology(c: Context):
     table = {w: n for n, wrong in c.option("terminology", lexicons.TERMINOLOGY).items() for w in wrong}
-    find = phrase_pattern(tuple(table), True)
-    for s in segments(c):
+    some = present(c, table, True)
+    find = phrase_pattern(some, True)
+    for s in segments(c) if some else ():
         for m in find.finditer(s.text):
             if not identifier_like(s.text, m.start(), m.end()):
                 new = table[re.sub(r"\s+", " ", m[0])]
@@ -110,11 +113,12 @@ def passive(c: Context):
 
 @rule("prose/weasel", INFO, BOTH)
 def weasel(c: Context):
-    find = phrase_pattern(tuple(c.option("weasel", lexicons.WEASEL)))
-    for s in segments(c):
+    some = present(c, c.option("weasel", lexicons.WEASEL))
+    find = phrase_pattern(some)
+    for s in segments(c) if some else ():
         for m in find.finditer(s.text):
-            rest = s.text[m.end() :].lstrip().lower()
-            if norm(m[0]) == "rather" and rest.startswith("than") or norm(m[0]) == "quite" and re.match(r"an? (?:few|bit)", rest) or norm(m[0]) == "few" and re.search(r"quite\s+a\s+$", s.text[: m.start()], re.I):
+            rest = s.text[m.end() : m.end() + 40].lstrip().lower()
+            if norm(m[0]) == "rather" and rest.startswith("than") or norm(m[0]) == "quite" and re.match(r"an? (?:few|bit)", rest) or norm(m[0]) == "few" and re.search(r"quite\s+a\s+$", s.text[max(0, m.start() - 40) : m.start()], re.I):
                 continue
             if not quoted(s.text, m.start(), m.end()):
                 yield Finding(s.start + m.start(), s.start + m.end(), f"{m[0]!r} says little")

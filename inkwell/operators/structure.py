@@ -667,12 +667,12 @@ def toc_sync(c: Context):
 def front_matter_lang(c: Context):
     """Prose of another language than English without a declaration in the front matter."""
     from ..sources.lexicons import FUNCTION_WORDS
-    from .text import segments
+    from .text import lower_segment, segments
 
     if c.doc.front is not None and re.search(r"(?m)^lang(?:uage)?\s*[:=]", c.doc.front):
         return
-    words = [w.lower() for s in segments(c) for w in re.findall(r"[^\W\d_]+", s.text)]
-    hits = {lang: sum(w in set(FUNCTION_WORDS[lang]) for w in words) for lang in ("en", "fi", "sv")}
+    words = [w for s in segments(c) for w in re.findall(r"[^\W\d_]+", lower_segment(c, s))]
+    hits = {lang: sum(map(frozenset(FUNCTION_WORDS[lang]).__contains__, words)) for lang in ("en", "fi", "sv")}
     best = max(("fi", "sv"), key=lambda k: hits[k])
     if len(words) >= 8 and hits[best] >= 4 and hits[best] >= 2 * max(v for k, v in hits.items() if k != best):
         line = c.text.split("\n", 1)[0]

@@ -53,6 +53,23 @@ def lower_text(c: Context) -> str:
     return c.cache["lower"]
 
 
+def lower_segment(c: Context, s: Segment) -> str:
+    """A segment's text in lower case, made once for all rules."""
+    known = c.cache.setdefault("lower-segments", {})
+    if s.start not in known:
+        known[s.start] = s.text.lower()
+    return known[s.start]
+
+
+def present(c: Context, phrases, case: bool = False) -> tuple[str, ...]:
+    """Those of ``phrases`` that stand somewhere in the text, whatever the white space in them: a search for substrings before any pattern."""
+    key = "flat" if case else "flat-lower"
+    if key not in c.cache:
+        flat = re.sub(r"\s+", " ", c.text)
+        c.cache[key] = flat if case else flat.lower()
+    return tuple(p for p in phrases if p in c.cache[key])
+
+
 def sections(c: Context) -> list[list[Segment]]:
     out: dict[int, list[Segment]] = {}
     for s in segments(c):

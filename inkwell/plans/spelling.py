@@ -135,7 +135,7 @@ def nordic_points(documents: DataFrame) -> DataFrame:
 
 def _nordic_sql() -> str:
     point = lambda lang: f"2 * (word IN ({', '.join(repr(x) for x in NORDIC[lang])}))::INT + (length(word) >= 6 AND regexp_matches(word, '({'|'.join(NORDIC_ENDINGS[lang])})$'))::INT"
-    return f"""WITH w AS (SELECT c_custkey AS doc_id, lower(unnest(regexp_extract_all({NORDIC_TEXT}, '\p{{L}}+'))) AS word FROM customer),
+    return f"""WITH w AS (SELECT c_custkey AS doc_id, lower(unnest(regexp_extract_all({NORDIC_TEXT}, '\\p{{L}}+'))) AS word FROM customer),
 n AS (SELECT doc_id, sum({point('fi')} + regexp_matches(word, '{DOUBLED.pattern}')::INT) AS fi, sum({point('sv')} + 2 * contains(word, 'å')::INT) AS sv FROM w GROUP BY doc_id)
 SELECT doc_id, CASE WHEN sv > fi THEN 'sv' ELSE 'fi' END AS language, greatest(fi, sv)::BIGINT AS score FROM n WHERE greatest(fi, sv) >= 4 AND greatest(fi, sv) >= 2 * least(fi, sv)"""
 
