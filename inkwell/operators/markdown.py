@@ -8,6 +8,7 @@ autolinks and bare addresses, code spans, emphasis. Offsets count characters.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 
@@ -167,6 +168,7 @@ class Document:
         self.note_defs: list[tuple[str, int, int]] = []
         self.html_blocks: list[tuple[int, int]] = []
         self.front: str | None = None
+        self._code_ranges: list[tuple[int, int]] | None = None
         self.comments = [(m.start(), m.end()) for m in COMMENT.finditer(text)]
         self._number: dict[int, int] = {}
         self._repeats: dict[str, int] = {}
@@ -343,7 +345,16 @@ class Document:
     # inline
 
     def in_code(self, at: int) -> bool:
-        return any(c.start <= at < c.end for c in self.code) or any(a <= at < b for a, b, _ in self.spans)
+        if self._code_ranges is None:  # merged once, so that a place is looked up by one search
+            merged: list[tuple[int, int]] = []
+            for a, b in sorted([(c.start, c.end) for c in self.code] + [(a, b) for a, b, _ in self.spans]):
+                if merged and a <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(merged[-1][1], b))
+                else:
+                    merged.append((a, b))
+            self._code_ranges = merged
+        i = bisect_right(self._code_ranges, (at, 1 << 62)) - 1
+        return i >= 0 and self._code_ranges[i][0] <= at < self._code_ranges[i][1]
 
     def _mask(self, text: str, spans) -> str:
         out, at = [], 0

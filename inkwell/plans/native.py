@@ -207,11 +207,18 @@ g AS (SELECT *, CASE WHEN word = lag(word) OVER (PARTITION BY doc_id ORDER BY po
 i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM g)
 SELECT doc_id, word, min(pos)::INTEGER AS first_sentence, count(*)::BIGINT AS n FROM i WHERE word <> '' GROUP BY doc_id, island, word HAVING count(*) >= 3""")
 def anaphora_runs(spark, sf_dir):
-    """Three sentences or more in a row that start alike: gaps and islands inside a document."""
-    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([^.!?]+)"), F.lit(1))).alias("pos", "s")).select("doc_id", F.col("pos") + 1, F.lower(F.regexp_extract("s", f"({WORD})", 1)).alias("word")).toDF("doc_id", "pos", "word")
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    new = s.withColumn("new", F.when(F.col("word") == F.lag("word").over(order), 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
-    return new.where("word <> ''").groupBy("doc_id", "island", "word").agg(F.min("pos").cast("int").alias("first_sentence"), F.count(F.lit(1)).cast("long").alias("n")).where("n >= 3").select("doc_id", "word", "first_sentence", "n")
+    """Three sentences or more in a row that start alike: runs are found inside the row, without a window or a shuffle."""
+    first = F.transform(F.regexp_extract_all("text", F.lit("([^.!?]+)"), F.lit(1)), lambda s: F.lower(F.regexp_extract(s, f"({WORD})", 1)))
+    own = table(spark, sf_dir, "documents").select("doc_id", first.alias("w")).where(F.size("w") >= 3)
+
+    def runs(s: Column) -> Column:
+        w = s["w"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i - 1) != F.get(w, i)))
+        # bound by an array of one struct: the starts are made once, not anew for each of them
+        return F.transform(F.array(F.struct(w.alias("w"), starts.alias("at"))), lambda t: F.transform(t["at"], lambda a, k: F.struct(F.get(t["w"], a).alias("word"), (a + 1).alias("first_sentence"), (F.coalesce(F.get(t["at"], k + 1), F.size(t["w"])) - a).cast("long").alias("n"))))[0]
+
+    found = own.select("doc_id", F.explode(F.filter(F.transform(F.array(F.struct("w")), runs)[0], lambda r: (r["n"] >= 3) & (r["word"] != ""))).alias("r"))
+    return found.select("doc_id", "r.word", "r.first_sentence", "r.n")
 
 
 def deletion_keys(word: Column, most: int = 1) -> Column:
