@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -75,8 +76,14 @@ n AS (SELECT *, lead(word) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS a
 SELECT doc_id, line_no::INTEGER AS line_no, pos::INTEGER AS pos, word FROM n WHERE lower(word) = lower(after) AND regexp_matches(word, '{WORD}')""")
 def doubled_words(spark, sf_dir):
     """Words repeated in a row: neighbours meet inside the row's array, so no window and no shuffle."""
-    line = numbered(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.regexp_extract_all("line", F.lit(f"({WORD}|[^{LETTERS}\\s]+)"), F.lit(1)).alias("w"))
-    pairs = line.where(F.size("w") > 1).select("doc_id", "line_no", F.posexplode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.when(F.lower(a) == F.lower(b), a))).alias("pos", "word"))
+    own = F.regexp_extract_all("line", F.lit(f"({WORD}|[^{LETTERS}\\s]+)"), F.lit(1))
+
+    def doubled(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.when(F.lower(a) == F.lower(b), a))
+
+    # the words are cut once: bound by an array of one element, they are not cut anew wherever they are used
+    pairs = numbered(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.posexplode(F.transform(F.array(own), doubled)[0]).alias("pos", "word"))
     return pairs.where(F.col("word").rlike(WORD)).select("doc_id", "line_no", (F.col("pos") + 1).alias("pos"), "word")
 
 
@@ -115,19 +122,46 @@ SELECT r.doc_id, r.lang AS language, r.hits::BIGINT AS hits FROM r JOIN n ON r.d
 WHERE rank = 1 AND n.n >= 4 AND coalesce(e.hits, 0) * 4 < n.n AND r.hits >= 2 AND r.kinds >= 2 AND r.hits * 8 >= n.n AND r.hits >= 2 * coalesce(runner, 0)"""
 
 
+def any_of(given: list[str]) -> str:
+    """A pattern of words by their common beginnings, so that a place is not compared with every word."""
+    tree: dict = {}
+    for word in given:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def made(node: dict) -> str:
+        own = [re.escape(c) + made(x) for c, x in sorted(node.items()) if c]
+        return "" if not own else f"(?:{'|'.join(own)})" + "?" * ("" in node)
+
+    return made(tree)
+
+
 @query("language_hint", _hint_sql())
 def language_hint(spark, sf_dir):
     """Language by function words, or none: all counts stay inside the row."""
     every = sorted({w for ws in (*PROFILES.values(), FUNCTION_WORDS["en"]) for w in ws})
-    d = table(spark, sf_dir, "documents").select("doc_id", words(F.lower("text")).alias("all"))
-    # function words of any language first: the profiles then see a third of the words
-    d = d.select("doc_id", F.size("all").alias("n"), F.filter("all", lambda x: x.isin(every)).alias("w"))
-    profile = lambda ws: F.filter("w", lambda x: x.isin(ws))
-    found = d.select("doc_id", "n", F.size(profile(FUNCTION_WORDS["en"])).alias("english"), F.array(*[F.struct(F.lit(lang).alias("lang"), profile(ws).alias("hits")) for lang, ws in sorted(PROFILES.items())]).alias("all"))
-    sized = found.select("doc_id", "n", "english", F.transform("all", lambda x: F.struct((-F.size(x["hits"])).alias("minus"), x["lang"].alias("lang"), F.size(F.array_distinct(x["hits"])).alias("kinds"))).alias("all"))
-    best = sized.select("doc_id", "n", "english", F.array_sort("all").alias("all")).select("doc_id", "n", "english", F.col("all")[0].alias("first"), F.col("all")[1].alias("second"))
-    hits, runner = -F.col("first.minus"), -F.col("second.minus")
-    return best.where((F.col("n") >= 4) & (F.col("english") * 4 < F.col("n")) & (hits >= 2) & (F.col("first.kinds") >= 2) & (hits * 8 >= F.col("n")) & (hits >= 2 * runner)).select("doc_id", F.col("first.lang").alias("language"), hits.cast("long").alias("hits"))
+    # only function words leave the pattern: the profiles then see a third of the words
+    whole = F.lit(f"(?<![{LETTERS}])({any_of(every)})(?![{LETTERS}])")
+    own = F.struct(F.regexp_count(F.lower("text"), F.lit(WORD)).alias("n"), F.regexp_extract_all(F.lower("text"), whole, F.lit(1)).alias("w"))
+
+    def profile(w: Column, lang: str) -> Column:
+        hits = F.filter(w, lambda x: x.isin(FUNCTION_WORDS[lang]))
+        return F.struct((-F.size(hits)).alias("minus"), F.lit(lang).alias("lang"), F.size(F.array_distinct(hits)).alias("kinds"))
+
+    def ranked(s: Column) -> Column:
+        return F.struct(s["n"].alias("n"), F.size(F.filter(s["w"], lambda x: x.isin(FUNCTION_WORDS["en"]))).alias("english"), F.array_sort(F.array(*[profile(s["w"], lang) for lang in sorted(PROFILES)])).alias("all"))
+
+    def told(r: Column) -> Column:
+        first, n = r["all"][0], r["n"]
+        hits, runner = -first["minus"], -r["all"][1]["minus"]
+        good = (n >= 4) & (r["english"] * 4 < n) & (hits >= 2) & (first["kinds"] >= 2) & (hits * 8 >= n) & (hits >= 2 * runner)
+        return F.when(good, F.struct(first["lang"].alias("language"), hits.cast("long").alias("hits")))
+
+    # each step is bound by an array of one element and evaluated once; a projection of its own would be merged into those that use it
+    verdict = F.transform(F.transform(F.array(own), ranked), told)
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_compact(verdict)).alias("v")).select("doc_id", "v.language", "v.hits")
 
 
 @query("single_trailing_newline_raw", "SELECT doc_id, length(text)::BIGINT AS end_at FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '[^\\s]\\n$') AND regexp_matches(text, '[^\\s]')")

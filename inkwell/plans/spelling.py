@@ -123,14 +123,17 @@ NORDIC_TEXT = "CASE c_custkey % 5 WHEN 0 THEN 'plain words only' WHEN 1 THEN 'De
 def nordic_points(documents: DataFrame) -> DataFrame:
     """(doc_id, fi, sv): two points for a function word and for the letter å, one for an ending of a word of six letters and for a doubled Finnish vowel."""
     words = F.transform(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)), F.lower)
-    count = lambda f: F.size(F.filter("w", f))
 
-    def of(lang: str) -> Column:
-        own, ends = NORDIC[lang], rf"(?:{'|'.join(NORDIC_ENDINGS[lang])})$"
-        return 2 * count(lambda x: x.isin(own)) + count(lambda x: (F.length(x) >= 6) & x.rlike(ends))
+    def points(w: Column) -> Column:
+        count = lambda f: F.size(F.filter(w, f))
 
-    points = {lang: of(lang) for lang in NORDIC}
-    return documents.select("doc_id", words.alias("w")).select("doc_id", (points["fi"] + count(lambda x: x.rlike(DOUBLED.pattern))).cast("long").alias("fi"), (points["sv"] + 2 * count(lambda x: F.contains(x, F.lit("å")))).cast("long").alias("sv"))
+        def of(lang: str) -> Column:
+            own, ends = NORDIC[lang], rf"(?:{'|'.join(NORDIC_ENDINGS[lang])})$"
+            return 2 * count(lambda x: x.isin(own)) + count(lambda x: (F.length(x) >= 6) & x.rlike(ends))
+
+        return F.struct((of("fi") + count(lambda x: x.rlike(DOUBLED.pattern))).cast("long").alias("fi"), (of("sv") + 2 * count(lambda x: F.contains(x, F.lit("å")))).cast("long").alias("sv"))
+
+    return documents.select("doc_id", F.explode(F.transform(F.array(words), points)).alias("p")).select("doc_id", "p.fi", "p.sv")
 
 
 def _nordic_sql() -> str:
@@ -223,12 +226,21 @@ SELECT doc_id, pos::INTEGER AS pos, CASE WHEN de = best THEN 'de' WHEN es = best
 def foreign_stretches(spark, sf_dir):
     """Phrases of six words or more that read as another language: function words of one language outweigh all others twice."""
     p = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([^.!?,;:\n]+)"), F.lit(1))).alias("pos", "phrase"))
-    w = p.select("doc_id", (F.col("pos") + 1).alias("pos"), F.regexp_extract_all(F.lower("phrase"), F.lit("([a-zß-öø-ÿ]+)"), F.lit(1)).alias("w")).where("size(w) >= 6")
-    n = w.select("doc_id", "pos", F.size("w").alias("n"), *[F.size(F.filter("w", _among(ws))).alias(k) for k, ws in STRETCH.items()], F.size(F.filter("w", _among(ENGLISH_STOP))).alias("en"))
-    best = F.greatest(*STRETCH)
-    b = n.withColumn("best", best).withColumn("second", F.col("de") + F.col("es") + F.col("fr") - best - F.least(*STRETCH))
-    kept = b.where("best >= 2 AND best * 4 >= n AND best >= 2 * en AND best >= 2 * second")
-    return kept.select("doc_id", "pos", F.when(F.col("de") == F.col("best"), "de").when(F.col("es") == F.col("best"), "es").otherwise("fr").alias("language"), F.col("best").cast("long").alias("hits"))
+    own = F.regexp_extract_all(F.lower("phrase"), F.lit("([a-zß-öø-ÿ]+)"), F.lit(1))
+
+    def counted(w: Column) -> Column:
+        hits = {k: F.size(F.filter(w, _among(ws))) for k, ws in STRETCH.items()}
+        return F.struct(F.size(w).alias("n"), *[n.alias(k) for k, n in hits.items()], F.size(F.filter(w, _among(ENGLISH_STOP))).alias("en"))
+
+    def told(x: Column) -> Column:
+        best = F.greatest(*[x[k] for k in STRETCH])
+        second = x["de"] + x["es"] + x["fr"] - best - F.least(*[x[k] for k in STRETCH])
+        good = (x["n"] >= 6) & (best >= 2) & (best * 4 >= x["n"]) & (best >= 2 * x["en"]) & (best >= 2 * second)
+        return F.when(good, F.struct(F.when(x["de"] == best, "de").when(x["es"] == best, "es").otherwise("fr").alias("language"), best.cast("long").alias("hits")))
+
+    # each step is bound by an array of one element and evaluated once
+    verdict = F.array_compact(F.transform(F.transform(F.array(own), counted), told))
+    return p.select("doc_id", (F.col("pos") + 1).alias("pos"), F.explode(verdict).alias("v")).select("doc_id", "pos", "v.language", "v.hits")
 
 
 def _among(words: list[str]):

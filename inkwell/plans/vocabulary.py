@@ -36,8 +36,13 @@ def dialects(documents: DataFrame) -> DataFrame:
     The words of a text are counted inside its row; the pairs are a fixed list.
     """
     own = F.transform(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(1)), F.lower)
-    count = lambda words: F.size(F.filter("w", lambda x: x.isin(*words)))
-    counted = documents.select("doc_id", own.alias("w")).select("doc_id", count([b for b, _ in PAIRS]).alias("british"), count([a for _, a in PAIRS]).alias("american"))
+
+    def points(w: Column) -> Column:
+        count = lambda words: F.size(F.filter(w, lambda x: x.isin(*words)))
+        return F.struct(count([b for b, _ in PAIRS]).alias("british"), count([a for _, a in PAIRS]).alias("american"))
+
+    # the words are cut once: bound by an array of one element
+    counted = documents.select("doc_id", F.explode(F.transform(F.array(own), points)).alias("p")).select("doc_id", "p.british", "p.american")
     british = (F.col("british") >= 3) & (F.col("british") * 5 >= (F.col("british") + F.col("american")) * 4)
     return counted.withColumn("dialect", F.when(british, "british").otherwise("american"))
 
