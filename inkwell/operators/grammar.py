@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from ..functions.sentences import like, quoted
 from .registry import INFO, WARNING, Context, Finding, rule
-from .text import lower_segment, lower_text, segments
+from .text import lower_text, segments, words_in
 
 BOTH = ("markdown", "code", "gettext")
 I = re.I  # noqa: E741
@@ -143,15 +143,20 @@ def masked(s, a: int, b: int, c: Context) -> bool:
 def english_rule(name: str):
     compiled = [(re.compile(p, I if "A-Z" not in p and name not in ("NumberSuffixCapitalization",) else 0), new, level) for p, new, level in ENGLISH[name]]
 
-    # what group x can be, where that is a list of words: a text without any of them needs no pattern
+    # what group x can be, where that is a list of words: a text without the longest run of letters of any of them needs no pattern
     parts = [re.search(r"\(\?P<x>(\(\?:)?([\w '|’?]+)\)", p) for p, _, _ in ENGLISH[name]]
-    needed = tuple({w.rstrip("?")[:-1] if "?" in w else w for m in parts if m for w in m[2].lower().split("|")}) if all(parts) else ()
+    listed = {w.rstrip("?")[:-1] if "?" in w else w for m in parts if m for w in m[2].lower().split("|")} if all(parts) else set()
+    # a word with an optional letter is found by its beginning only
+    whole = all(re.fullmatch(r"[a-z]+(?:['’\s][a-z]+)*", w) for w in listed) and not any("?" in m[2] for m in parts if m)
+    needed = frozenset(max(re.findall(r"[a-z]+", w), key=len) for w in listed) if whole else frozenset()
 
     def check(c: Context):
-        if c.option("language", "en") != "en" or (needed and not any(w in lower_text(c) for w in needed)):
+        if c.option("language", "en") != "en" or (needed and needed.isdisjoint(words_in(c))):
+            return
+        if listed and not needed and not any(w in lower_text(c) for w in listed):
             return
         for s in segments(c):
-            if needed and not any(w in lower_segment(c, s) for w in needed):
+            if needed and needed.isdisjoint(words_in(c, s)):
                 continue
             flat = s.text.replace("\n", " ")
             for pattern, new, level in compiled:

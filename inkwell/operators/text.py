@@ -61,6 +61,15 @@ def lower_segment(c: Context, s: Segment) -> str:
     return known[s.start]
 
 
+def words_in(c: Context, s: Segment | None = None) -> frozenset[str]:
+    """Runs of small letters in the text, or in a segment, in lower case: what a rule needs is looked up here before its patterns run."""
+    known = c.cache.setdefault("words-in", {})
+    key = -1 if s is None else s.start
+    if key not in known:
+        known[key] = frozenset(re.findall(r"[a-z]+", lower_text(c) if s is None else lower_segment(c, s)))
+    return known[key]
+
+
 def present(c: Context, phrases, case: bool = False) -> tuple[str, ...]:
     """Those of ``phrases`` that stand somewhere in the text, whatever the white space in them: a search for substrings before any pattern."""
     key = "flat" if case else "flat-lower"
