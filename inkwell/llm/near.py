@@ -5,9 +5,12 @@ at most ``s (1 - t) / (1 + t)`` shingles. Sizes fall into bands; each band hashe
 segments than sets of the band may differ by, so two similar sets agree on some whole segment. Indexed are the
 subsets of a set in the segments of its own band and of the band below, where smaller partners are. In small bands
 also every subset with one shingle deleted is indexed: a segment of two shingles or more then stands for two
-differences. Costs decide what a segment is worth: an empty one, or one whose subset is shared by more than
-``frequent`` different texts of different classes, is worth nothing, and a document whose other segments are too few
-for the pigeonhole is compared with all documents, in blocks.
+differences. Costs decide what a segment is allotted: an empty one, or one whose subset is shared by more than
+``frequent`` different texts of different classes, is worth nothing. A document whose other segments are too few for
+the pigeonhole shares such a frequent subset with each partner it may have missed: the members of these groups, and they
+alone, are indexed again with their universe cut ``finer`` times finer, so that what is frequent falls into segments of its own
+and the rest of a set is worth more. Documents that still have too few are compared with those members, in blocks; those whose
+segments were too few from the start (very few) with all documents.
 
 Exact copies (equal sets) meet first, by a 128-bit fingerprint. Candidates are checked against counts of shingles by
 hash cell, which bound the difference from below, then verified on the whole texts. Candidates within a group are
@@ -15,13 +18,13 @@ not paired with each other: first each is verified against the group's smallest
 members of different classes are then paired, in groups up to ``frequent``.
 
 Defined results: null and empty texts, and texts without words, have an empty set and no links. Documents under
-``size`` words have one shingle. Rows with a null id are no one's partner and get size 0 and a null class. Repeated rows of one
+``size`` words have one shingle. Rows with a null id are no one's partner: they have the size of their set and a null class. Repeated rows of one
 id are one document. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +42,7 @@ _SALT = stream(41, 8) | U64(1)
 
 @dataclass(frozen=True)
 class Settings:
-    """``size`` words a shingle; similarity of at least ``percent`` / 100."""
+    """``size`` words a shingle; similarity of at least ``percent`` / 100; ``cut`` times as many segments as the bands need."""
 
     size: int = 5
     percent: int = 80
@@ -47,6 +50,8 @@ class Settings:
     frequent: int = 32
     flush_keys: int = 1_500_000
     block_shingles: int = 2_000_000
+    finer: tuple[int, ...] = (4, 16)
+    cut: int = 1
 
     def differ(self, total):
         """Most differences of two similar sets whose sizes add up to ``total``."""
@@ -70,7 +75,7 @@ def bands(settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         top = max(at, int(np.ceil(ratio * at)) - 1)
         low.append(at)
         high.append(top)
-        segments.append(settings.differ(top + top * 100 // settings.percent) + 1 + max(3, top // 25))
+        segments.append((settings.differ(top + top * 100 // settings.percent) + 1 + max(3, top // 25)) * settings.cut)
         at = top + 1
     return np.array(low), np.array(high), np.array(segments)
 
@@ -374,16 +379,18 @@ def possible(pairs: DataFrame, profile: DataFrame, settings: Settings) -> DataFr
     return sized.where(may("counts_a", "n_a", "counts_b", "n_b")).select("a", "b")
 
 
-def against_all(rest: DataFrame, documents: DataFrame, settings: Settings) -> DataFrame | None:
-    """Links (u, v) of the documents in ``rest`` with all documents, by an inverted index of one block of them at a time.
+def against_all(rest: DataFrame, documents: DataFrame, others: DataFrame, settings: Settings) -> DataFrame:
+    """Links (u, v) of the documents in ``rest`` with all of ``others``, by an inverted index of one block of them at a time.
 
-    Every document is compared with every block; of the links that a task finds those that join nothing new stay behind.
+    Every one of the others is compared with every block; of the links that a task finds those that join nothing new stay behind.
     """
+    spark = documents.sparkSession
     chosen = of_ids(documents, rest.distinct())
-    found, held, size = [], [], 0
+    held, size = [], 0
+    out = spark.createDataFrame([], "u long, v long")
 
     def scan(part: list) -> DataFrame:
-        packed = documents.sparkSession.sparkContext.broadcast(part)
+        packed = spark.sparkContext.broadcast(part)
 
         def made(batches):
             ids = np.array([i for i, _ in packed.value], dtype=np.int64)
@@ -407,7 +414,9 @@ def against_all(rest: DataFrame, documents: DataFrame, settings: Settings) -> Da
                             v.append(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        return written(documents.where("doc_id IS NOT NULL").mapInArrow(mapped(made), "u long, v long"), "near-rest")
+        links = written(others.where("doc_id IS NOT NULL").mapInArrow(mapped(made), "u long, v long"), "near-rest")
+        packed.destroy()
+        return links
 
     def as_sets(batches):
         for block in blocks(batches):
@@ -418,14 +427,9 @@ def against_all(rest: DataFrame, documents: DataFrame, settings: Settings) -> Da
         held.append((row["doc_id"], bytes(row["shingles"])))
         size += len(row["shingles"]) // 8
         if size >= settings.block_shingles:
-            found.append(scan(held))
+            out = out.union(scan(held))
             held, size = [], 0
-    if held:
-        found.append(scan(held))
-    out = found[0] if found else None
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    return out.union(scan(held)) if held else out
 
 
 def links(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -436,11 +440,41 @@ def links(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
     profile = written(profiles(documents, settings), "near-profiles")
     # written, so that the join below is one that Spark can split where copies of one text fill a partition
     rep = profile.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    rep = written(rep.where("copies > 1").drop("copies"), "near-copies")
+    rep = written(rep.where("copies > 1").drop("copies"), "near-copies", True)
     named = written(profile.join(rep, ["n", "f1", "f2"], "left").select("doc_id", "n", "counts", "spare", "spare_below", F.coalesce("rep", "doc_id").alias("rep")), "near-reps")
     alone = named.dropDuplicates(["doc_id"])
 
-    found = written(groups(index_rows(documents, settings, buckets(spark))), "near-groups")
+    every, left, pool = indexed(documents, alone, settings)
+    few = written(alone.where("spare < 0 OR spare_below < 0").select("doc_id").distinct(), "near-rest-ids", True)
+    if not few.isEmpty():
+        every = every.union(against_all(few, documents, documents, settings))
+    if not left.isEmpty():
+        some = written(of_ids(documents, pool), "near-pool")
+        for cut in settings.finer:
+            # one pass over the members costs less than another index, as long as what is left fits into one block
+            if (left.join(alone.select("doc_id", "n"), "doc_id").agg(F.sum("n")).first()[0] or 0) <= settings.block_shingles:
+                every = every.union(against_all(left, documents, some, settings))
+                break
+            own = replace(settings, cut=cut)
+            fine = written(profiles(some, own).withColumn("rep", F.col("doc_id")), "near-profiles")
+            more, lost, _ = indexed(some, fine, own)
+            every = every.union(more)
+            short = lost.union(fine.where("spare < 0 OR spare_below < 0").select("doc_id")).distinct()
+            left = written(left.join(short, "doc_id", "left_semi"), "near-rest-ids", True)
+            if left.isEmpty():
+                break
+        else:
+            every = every.union(against_all(left, documents, some, settings))
+    return named, every
+
+
+def indexed(documents: DataFrame, alone: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the index of ``documents`` finds: links (u, v) between reps; the ids of documents that lost too many segments to
+    frequent groups; and the members of those groups. ``alone`` has one row a document."""
+    spark = documents.sparkSession
+    # an index takes about six bytes a shingle
+    size = 6 * settings.cut * (alone.agg(F.sum("n")).first()[0] or 0)
+    found = written(groups(index_rows(documents, settings, buckets(spark, size))), "near-groups")
     star = found.select(F.element_at("members", 1).alias("c"), F.explode(F.slice("members", 2, 1 << 30)).alias("x"), "weight").groupBy("c", "x").agg(F.sum("weight").alias("weight"))
     to_rep = alone.select("doc_id", "rep")
     star = star.join(to_rep.select(F.col("doc_id").alias("c"), F.col("rep").alias("rc")), "c").join(to_rep.select(F.col("doc_id").alias("x"), F.col("rep").alias("rx")), "x").where("rc <> rx")
@@ -448,19 +482,19 @@ def links(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
 
     ahead = written(possible(star.select("a", "b").distinct(), alone, settings), "near-pairs")
     needed = ahead.select(F.col("a").alias("doc_id")).union(ahead.select("b")).distinct()
-    texts = written(of_ids(packed_texts(documents), written(needed, "near-needed")), "near-texts")
+    texts = written(of_ids(packed_texts(documents), written(needed, "near-needed", True)), "near-texts")
 
     # first every document against the partner it shares most keys with
     best = star.groupBy("a", "b").agg(F.sum("weight").alias("w")).join(ahead, ["a", "b"], "left_semi").groupBy("b").agg(F.max_by("a", F.struct(F.col("w"), -F.col("a"))).alias("a"))
-    best = written(best.select("a", "b"), "near-first")
-    sure = written(verified(best, texts, settings), "near-links")
-    named_class = written(components(sure), "near-classes")
+    best = written(best.select("a", "b"), "near-first", True)
+    sure = written(verified(best, texts, settings), "near-links", True)
+    named_class = written(components(sure), "near-classes", True)
 
     def classed(df: DataFrame, name: str) -> DataFrame:
         return df.join(named_class.select(F.col("node").alias(name), F.col("component").alias(f"k_{name}")), name, "left").withColumn(f"k_{name}", F.coalesce(f"k_{name}", name))
 
     # then members of different classes that share a key
-    open_ = written(classed(classed(star, "a"), "b").where("k_a <> k_b"), "near-open")
+    open_ = written(classed(classed(star, "a"), "b").where("k_a <> k_b"), "near-open", True)
     again = open_.select("a", "b").distinct().join(ahead, ["a", "b"], "left_semi")
     centres = open_.select("c").distinct()
     mixed = found.where(F.size("members") > 2).join(centres, F.element_at("members", 1) == F.col("c"), "left_semi")
@@ -472,23 +506,20 @@ def links(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
     more = possible(cross.join(ahead, ["a", "b"], "left_anti"), alone, settings)
     pairs = written(again.union(more).distinct().join(best, ["a", "b"], "left_anti"), "near-second")
     second_texts = texts
-    extra = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(texts.select("doc_id"), "doc_id", "left_anti"), "near-needed")
+    extra = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(texts.select("doc_id"), "doc_id", "left_anti"), "near-needed", True)
     if not extra.isEmpty():
         second_texts = texts.union(of_ids(packed_texts(documents), extra))
     also = verified(pairs, second_texts, settings)
 
-    # documents that lost too many segments to frequent groups, or had too few
-    lost = member.join(size.where(F.col("size") > settings.frequent), "gid", "left_semi").groupBy(F.col("m").alias("doc_id"), "band").agg(F.sum("weight").alias("lost"))
+    # documents that lost too many segments to frequent groups, and who is in these groups with them
+    hot = written(member.join(size.where(F.col("size") > settings.frequent), "gid", "left_semi").select("gid", "band", "weight", F.col("m").alias("doc_id")), "near-hot")
+    lost = hot.groupBy("doc_id", "band").agg(F.sum("weight").alias("lost"))
     high = F.lit(bands(settings)[1].tolist())
     lost = lost.withColumn("lost", F.col("lost") * F.when(F.get(high, F.col("band")) <= settings.small_band, 2).otherwise(1)).groupBy("doc_id").agg(F.max_by("lost", "band").alias("upper"), F.min_by("lost", "band").alias("lower"), F.max("band").alias("top"), F.min("band").alias("low"))
-    rest = alone.where("spare < 0 OR spare_below < 0").select("doc_id").union(lacking(lost, alone, settings)).distinct()
-    rest = written(rest, "near-rest-ids")
-    every = sure.union(also)
-    if not rest.isEmpty():
-        other = against_all(rest, documents, settings)
-        if other is not None:
-            every = every.union(other)
-    return named, every
+    rest = written(lacking(lost, alone, settings).distinct(), "near-lost", True)
+    theirs = hot.join(rest, "doc_id", "left_semi").select("gid").distinct()
+    pool = written(hot.join(theirs, "gid", "left_semi").select("doc_id").distinct(), "near-pool-ids", True)
+    return sure.union(also), rest, pool
 
 
 def lacking(lost: DataFrame, alone: DataFrame, settings: Settings) -> DataFrame:
@@ -502,12 +533,18 @@ def lacking(lost: DataFrame, alone: DataFrame, settings: Settings) -> DataFrame:
 
 
 def classes(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_copies): each row's set size and the smallest document its links reach."""
+    """(doc_id, n_shingles, component_id): each row's set size and the smallest document its links reach."""
     named, found = links(documents, settings)
     joined = components(found)
     out = named.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", "rep", F.coalesce("component", "rep").alias("component_id"))
     # repeated rows of one id are one document: the smallest class any of them reaches
     least = out.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = out.select("doc_id", "n").join(least, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = documents.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.union(empty)
+
+    def sizes(batches):
+        for block in blocks(batches):
+            n = np.diff(sets(block, settings)[1])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n), pa.nulls(len(n), pa.int64())], names=["doc_id", "n_shingles", "component_id"])
+
+    nameless = documents.where("doc_id IS NULL").select(F.lit(0).alias("row"), "text").mapInArrow(mapped(sizes), "doc_id long, n_shingles long, component_id long")
+    return out.union(nameless)

@@ -67,7 +67,7 @@ def classes_by_force(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("settings", [near.Settings(), near.Settings(frequent=2), near.Settings(frequent=1, block_shingles=300)])
+@pytest.mark.parametrize("settings", [near.Settings(), near.Settings(frequent=2), near.Settings(frequent=1, block_shingles=300), near.Settings(frequent=1, block_shingles=300, finer=()), near.Settings(frequent=2, finer=(2,))])
 def test_near_duplicates(spark, documents, texts, settings):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.classes(documents, settings).collect()}
     assert got == classes_by_force(texts)
@@ -130,6 +130,13 @@ def test_repeats_odd_rows(spark, documents):
     n = len(t)
     assert got == [(-1, n, n), (4, 5, 5), (5, n, n), (5, n, n), (5, n + 5, n + 5)]
     assert repeats.removed(empty(documents)).count() == 0
+    # equal rows in different shares, of which one has settled its entries and the other has not
+    t, u = prose(3, 40), prose(4, 60)
+    rows = spark.createDataFrame([(1, t + u), (7, u + " and " + t), (2, t), (7, u + " and " + t), (9, u), (7, u + " and " + t)] * 2, "doc_id long, text string")
+    want = removed_by_force({1: t + u, 2: t, 7: u + " and " + t, 9: u})
+    for n in (1, 3, 5):
+        got = [(r["doc_id"], (r["n_bytes"], len(r["spans"]), bytes(r["kept"]))) for r in repeats.removed(rows.repartition(n), repeats.Settings(flush=100)).collect()]
+        assert len(got) == 12 and all(want[i] == x for i, x in got)
 
 
 def test_tokens(spark, documents, texts):

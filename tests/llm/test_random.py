@@ -7,8 +7,8 @@ from inkwell.llm import decontaminate, near, repeats
 from tests.llm.test_operators import classes_by_force, removed_by_force
 
 
-@pytest.mark.parametrize(("seed", "frequent"), [(1, 32), (2, 2)])
-def test_near_copies(spark, seed, frequent):
+@pytest.mark.parametrize(("seed", "frequent", "block"), [(1, 32, 2_000_000), (2, 2, 2_000_000), (3, 2, 50)])
+def test_near_copies(spark, seed, frequent, block):
     rng = np.random.default_rng(seed)
     vocabulary = [f"w{i}" for i in range(3000)]
     draw = lambda n: [vocabulary[i] for i in rng.integers(0, 3000, n)]
@@ -30,7 +30,7 @@ def test_near_copies(spark, seed, frequent):
                     del d[p]
             docs.append(d)
     texts = {int(i): " ".join(docs[k]) for i, k in enumerate(rng.permutation(len(docs)))}
-    got = near.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), near.Settings(frequent=frequent)).collect()
+    got = near.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), near.Settings(frequent=frequent, block_shingles=block)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == classes_by_force(texts)
 
 
