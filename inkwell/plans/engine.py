@@ -308,7 +308,14 @@ def sarif(findings: DataFrame) -> DataFrame:
     return findings.select("doc_id", F.to_json(F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), where.alias("locations"))).alias("result"))
 
 
-@query("sink_sarif")
+SARIF_SQL = """WITH d AS (SELECT doc_id, coalesce(source, 'null') AS source, text, regexp_replace(text, '\\s+$', '') AS body FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, length(body) - length(replace(body, chr(10), '')) + 1 AS line, length(regexp_extract(body, '[^\\n]*$')) + 1 AS col, length(text) - length(replace(text, chr(10), '')) + 1 AS end_line, length(regexp_extract(text, '[^\\n]*$')) + 1 AS end_col
+  FROM d WHERE body <> '' AND substr(text, length(body) + 1) <> chr(10))
+SELECT doc_id, '{"ruleId":"md/single-trailing-newline","level":"warning","message":{"text":"file should end in one newline"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"docs/' || source || '/' || doc_id || '.md"},"region":{"startLine":' || line
+  || ',"startColumn":' || col || ',"endLine":' || end_line || ',"endColumn":' || end_col || '}}}]}' AS result FROM l"""
+
+
+@query("sink_sarif", SARIF_SQL)
 def sink_sarif(spark, sf_dir):
     return sarif(lint(as_documents(spark, sf_dir), ["md/single-trailing-newline"]))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.grammar import TWICE
 from ..operators.lint import lint
 from .engine import as_documents, query, table
 
@@ -88,3 +89,23 @@ def pages_fixed(spark, sf_dir):
         now = corrected(now, lint(now, rules))
     left = lint(now, rules).groupBy("doc_id").agg(F.count(F.lit(1)).alias("left_over"))
     return now.select("doc_id").join(left, "doc_id", "left").select("doc_id", F.coalesce("left_over", F.lit(0).cast("long")).alias("left_over"))
+
+
+def _repeated_sql() -> str:
+    """Words and what stands between them, in turn; of a run of equal words the first, third, fifth ... is reported where another follows."""
+    twice = ", ".join(f"'{w}'" for w in sorted(TWICE))
+    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\p{{L}}+|\\P{{L}}+') AS t FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS k FROM t),
+p AS (SELECT *, sum(length(tok)) OVER w - length(tok) AS at, lag(tok) OVER w AS before, lead(tok) OVER w AS gap, lead(tok, 2) OVER w AS after, lead(tok, 3) OVER w AS rest FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+m AS (SELECT *, regexp_matches(tok, '^\\p{{L}}') AND lower(tok) = lower(after) AND regexp_full_match(gap, '\\s+') AND NOT contains(gap, chr(10) || chr(10)) AND NOT regexp_matches(coalesce(before, ' '), '[\\d_-]$') AND NOT regexp_matches(coalesce(rest, ' '), '^[\\d_''’-]') AND lower(tok) NOT IN ({twice}) AS hit FROM p),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM m WHERE regexp_matches(tok, '^\\p{{L}}')),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, hit ORDER BY n) AS island FROM w),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY n) AS place FROM i WHERE hit)
+SELECT f.doc_id, (length(b) - length(replace(b, chr(10), '')) + 1)::INTEGER AS line, (length(regexp_extract(b, '[^\\n]*$')) + 1)::INTEGER AS col, tok || gap || after AS text
+FROM (SELECT f.*, substr(d.text, 1, f.at::BIGINT) AS b FROM f JOIN documents d ON d.doc_id = f.doc_id) AS f WHERE place % 2 = 1"""
+
+
+@query("documents_repeated_words", _repeated_sql())
+def documents_repeated_words(spark, sf_dir):
+    """A grammar rule over the whole texts of the documents table."""
+    return lint(as_documents(spark, sf_dir), ["grammar/RepeatedWords"]).select("doc_id", "line", "col", "text")
