@@ -72,3 +72,51 @@ def test_stages_by_force(spark, sf_dir):
     rate = {r["source_key"]: r["rate"] for r in mixing.rates(clean).collect()}
     assert abs(sum(rate[r["source"]] for r in clean.collect()) - len(left)) < 1e-6
     assert {r["doc_id"] for r in mixed} <= left and [r["mix_key"] for r in mixed] == sorted(r["mix_key"] for r in mixed)
+
+
+def test_quality_stage_by_force(spark, sf_dir):
+    """Documents go whose score, summed over all pairs of features one by one, is under 0.3; no clean labelled document goes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from inkwell.llm import quality
+    from inkwell.llm.bytehash import column_blocks
+
+    docs = queries.table(spark, sf_dir, "documents").where("doc_id < 60 AND length(text) < 4000").cache()
+    labels = queries.table(spark, sf_dir, "labels")
+    left = {r["doc_id"] for r in corpus_pipeline.keep_quality(spark, docs, sf_dir).collect()}
+    model = quality.train(docs, labels)
+    close = 0
+    for r in docs.collect():
+        (block,) = column_blocks(pa.array([r["text"] or ""]))
+        x = quality.Features(block, model.settings.word_bits)
+        if model.constant is not None:
+            score = model.constant
+        else:
+            col = np.concatenate((x.word, x.bin[0]))
+            val = np.concatenate((np.full(len(x.word), quality.WORD_SCALE / max(len(x.word), 1)), np.ones(len(x.bin[0]))))
+            v = model.v[col].astype(np.float64) * val[:, None]
+            pairs = sum(float(v[a] @ v[a + 1 :].sum(axis=0)) for a in range(len(col) - 1))
+            score = 1 / (1 + np.exp(-(model.bias + float((model.w[col] * val).sum()) + pairs)))
+        if abs(score - 0.3) < 1e-3:  # single precision may fall on either side
+            close += 1
+        else:
+            assert (r["doc_id"] in left) == (score >= 0.3)
+    assert close < 3
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    every = {r["doc_id"] for r in docs.collect()}
+    assert len((good & every) - left) <= 0.02 * max(1, len(good & every))
+
+
+def test_repeated_ids_in_the_near_stage(spark, sf_dir):
+    """Of rows with one id the same one stays, however they come; rows without an id stay."""
+    a, b = "one two three four five six seven eight", "other words that stand here and nowhere else"
+    rows = [(5, a, "x"), (5, b, "x"), (5, a, "x"), (6, a, "y"), (None, a, "z"), (None, a, "z"), (7, "", "x"), (7, "", "x")]
+    found = set()
+    for n in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+        kept = sorted(map(tuple, corpus_pipeline.keep_one(spark, docs, sf_dir).collect()), key=str)
+        found.add(tuple(kept))
+    assert len(found) == 1
+    (kept,) = found
+    assert [r[0] for r in kept].count(5) == 1 and [r[0] for r in kept].count(None) == 2 and [r[0] for r in kept].count(7) == 1
