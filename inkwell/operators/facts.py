@@ -1,6 +1,7 @@
 """All that the plan over a corpus needs of a document, from one parse: findings, links, anchors, includes, words, directives.
 
-The map gives rows of one table whose column ``fact`` says what a row is; readers take the rows and columns of their kind.
+The map gives rows of one table whose column ``fact`` says what a row is; readers take the rows and columns of their kind. The words of a
+document are one row with an array, which readers explode.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from . import tables
 from .lint import ARROW, FINDING, Positions, resolved_levels, row, ship, spread
 from .registry import Context
 
-EXTRA = "dest string, target string, fragment string, is_image boolean, names array<string>, kept array<string>, lang string"
+EXTRA = "dest string, target string, fragment string, is_image boolean, names array<string>, kept array<string>, words array<struct<word:string,lang:string,b_start:long,b_end:long,line:int,col:int>>"
 FACT = f"fact string, {FINDING}, {EXTRA}"
 FACT_ARROW = pa.schema([
-    ("fact", pa.string()), *ARROW, ("dest", pa.string()), ("target", pa.string()), ("fragment", pa.string()), ("is_image", pa.bool_()), ("names", pa.list_(pa.string())), ("kept", pa.list_(pa.string())), ("lang", pa.string()),
+    ("fact", pa.string()), *ARROW, ("dest", pa.string()), ("target", pa.string()), ("fragment", pa.string()), ("is_image", pa.bool_()), ("names", pa.list_(pa.string())), ("kept", pa.list_(pa.string())),
+    ("words", pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("b_start", pa.int64()), ("b_end", pa.int64()), ("line", pa.int32()), ("col", pa.int32())]))),
 ])
 
 
@@ -36,9 +38,12 @@ def facts_of(c: Context, at: Positions, vocabulary: tuple[str, ...], detect: boo
             yield {"fact": "include", "text": file, "names": candidates, "b_start": a, "b_end": b, "line": line}
     for o in directives(c)[0]:
         yield {"fact": "off", "b_start": at.byte(o.start), "b_end": at.byte(o.end), "names": list(o.rules), "kept": list(o.kept)}
-    for a, b, word, lang in spell_words(c, vocabulary, detect) if words else ():
-        line, col = at.line(a)
-        yield {"fact": "word", "text": word, "lang": lang, "b_start": at.byte(a), "b_end": at.byte(b), "line": line, "col": col}
+    if words:  # one row for all of them: a row each would cost more than to find them
+        own = []
+        for a, b, word, lang in spell_words(c, vocabulary, detect):
+            line, col = at.line(a)
+            own.append((word, lang, at.byte(a), at.byte(b), line, col))
+        yield {"fact": "words", "words": own}
 
 
 def facts(documents: DataFrame, options: dict, vocabulary: tuple[str, ...] = (), words: bool = True) -> DataFrame:

@@ -103,7 +103,9 @@ def spelling_findings(words: DataFrame, dictionary: DataFrame, accepted: DataFra
     distinct = words.select("lang", "word").distinct().join(dictionary.select("lang").distinct(), "lang", "left_semi")
     if accepted is not None:
         distinct = distinct.join(accepted.select(F.lower("word").alias("low")).distinct(), F.lower(F.regexp_replace("word", "['’]s$", "")) == F.col("low"), "left_anti")
-    unknown = distinct.join(known_words(distinct, dictionary), ["lang", "word"], "left_anti")
+    # distinct words: each step is used by several joins, and written for them
+    distinct = written(distinct, "spell-distinct")
+    unknown = written(distinct.join(known_words(distinct, dictionary), ["lang", "word"], "left_anti"), "spell-unknown")
     unknown = unknown.join(project_names(unknown, words, dictionary), ["lang", "word"], "left_anti")
     told = unknown.join(suggested_words(unknown, dictionary), ["lang", "word"], "left").select("lang", "word", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
     return words.join(told, ["lang", "word"]).select("doc_id", F.lit("spelling").alias("rule"), "line", "col", "b_start", "b_end", F.col("word").alias("text"), "suggestions")
@@ -204,7 +206,7 @@ def check(documents: DataFrame, config: Config = Config(), inputs: Inputs = Inpu
     includes = of("include", F.col("text").alias("file"), F.col("names").alias("candidates"), "b_start", "b_end", "line")
     joined = cross_findings(docs, links, of("anchor", F.col("text").alias("anchor")), includes, inputs, config.options.get("docs_root", "docs/")).withColumn("col", F.lit(1))
     if inputs.dictionary is not None:
-        words = of("word", F.col("text").alias("word"), "lang", "b_start", "b_end", "line", "col")
+        words = of("words", F.explode("words").alias("w")).select("doc_id", "w.*")
         joined = joined.unionByName(exact_first(spelling_findings(words, inputs.dictionary, inputs.accepted), local))
     off = of("off", F.col("b_start").alias("s"), F.col("b_end").alias("e"), F.col("names").alias("rules"), "kept")
     joined = unsuppressed(joined, off).dropDuplicates(["doc_id", "rule", "b_start", "b_end"])
@@ -270,4 +272,4 @@ def check_documents(spark, sf_dir):
     """The whole plan over the whole table: rules, links, spelling by the corpus's own dictionary, each document in its language."""
     documents = as_documents(spark, sf_dir)
     config = Config.of({"options": {"detect_language": True}, "rules": {"md/*": "warn", "docs/orphan-page": "off"}})
-    return check(documents, config, Inputs(dictionary=corpus_dictionary(spark, sf_dir))).select("doc_id", "path", "rule", "severity", "b_start", "b_end", "line", "text")
+    return check(documents, config, Inputs(dictionary=written(corpus_dictionary(spark, sf_dir), "dictionary", True))).select("doc_id", "path", "rule", "severity", "b_start", "b_end", "line", "text")
