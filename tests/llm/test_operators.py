@@ -67,7 +67,7 @@ def classes_by_force(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("settings", [near.Settings(), near.Settings(frequent=2), near.Settings(frequent=1, block_shingles=300), near.Settings(frequent=1, block_shingles=300, finer=()), near.Settings(frequent=2, finer=(2,))])
+@pytest.mark.parametrize("settings", [near.Settings(), near.Settings(frequent=2), near.Settings(frequent=1, block_shingles=300), near.Settings(frequent=1, block_shingles=300, finer=())])
 def test_near_duplicates(spark, documents, texts, settings):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.classes(documents, settings).collect()}
     assert got == classes_by_force(texts)
