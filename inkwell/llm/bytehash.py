@@ -41,6 +41,17 @@ def grouped(step):
     return run
 
 
+def cogrouped(step):
+    """The same of two cogrouped tables."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = step(left, right)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit (the finaliser of splitmix64)."""
     x = x ^ (x >> U64(30))

@@ -30,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import U64, Words, blocks, distinct, grouped, mapped, mix, shingles, stream
@@ -289,15 +289,15 @@ def groups(index: DataFrame) -> DataFrame:
     return index.groupBy("bucket").applyInArrow(grouped(shared), GROUP_DDL)
 
 
-def packed_texts(documents: DataFrame) -> DataFrame:
-    """(doc_id, packed): texts compressed for the shuffle."""
+def packed_texts(documents: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, packed, and what else is given): texts compressed for the shuffle."""
 
     @F.arrow_udf("binary")
     def pack(text: pa.Array) -> pa.Array:
         tool = zstandard.ZstdCompressor(level=3)
         return pa.array([tool.compress((t.as_py() or "").encode()) for t in text], pa.binary())
 
-    return documents.select("doc_id", pack("text").alias("packed"))
+    return documents.select("doc_id", pack("text").alias("packed"), *more)
 
 
 def unpack(column: pa.Array) -> pa.Array:
