@@ -32,6 +32,8 @@ def corpus(spark: SparkSession, sf_dir: str, examples: list[str], kind: str = "m
     rows = [(i, unmarked(e)[0]) for i, e in enumerate(examples)]
     plants = spark.createDataFrame(rows, "plant int, text string")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % len(rows)).cast("int").alias("plant"))
+    # one split of small rows becomes many texts: the ids are dealt out over the cluster before the texts are added
+    parts = parts.repartition(4 * spark.sparkContext.defaultParallelism)
     # the examples of a rule are a handful, fixed in the code
     joined = parts.join(F.broadcast(plants), "plant")
     return joined.select("doc_id", F.lit(path).alias("path"), F.lit(kind).alias("kind"), F.lit(code_lang).alias("code_lang"), "text")

@@ -1,16 +1,37 @@
 """Functions on words and sentences, the parsers, and the registered SQL functions."""
 
+import re
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from inkwell.functions.sentences import like, sentences, words
-from inkwell.functions.words import edit_distance, near_misses, recased, syllables
+from inkwell.functions.sentences import _before, like, sentences, words
+from inkwell.functions.words import _syllables, edit_distance, near_misses, recased, syllables
 from inkwell.operators.catalogs import parse, placeholders, plural_fault, plural_function
 from inkwell.operators.comments import lexed
 from inkwell.operators.markdown import Document, slug
 
 
+@given(st.text("aB. \n_é1-", max_size=9), st.integers(0, 9))
+def test_word_before_a_stop(text, start):
+    start = min(start, len(text))
+    assert _before(text, start, len(text)) == re.search(r"([\w.]*)$", text[start:])[1]
+
+
+def test_sentences_in_proportion_to_the_text():
+    text = "x" * 60_000 + " end. And more."
+    began = time.process_time()
+    assert len(list(sentences(text))) == 2 and time.process_time() - began < 1
+
+
+def test_syllables_once_a_distinct_word():
+    before = _syllables.cache_info().misses
+    assert sum(syllables(w) for w in ["administrative", "boats"] * 500) == 3000 and _syllables.cache_info().misses <= before + 2
+    assert syllables("administrative" * 9) == 9 * syllables("administrative")
+
+
 def distance_by_force(a, b):
     d = [[max(i, j) if not min(i, j) else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i in range(1, len(a) + 1):

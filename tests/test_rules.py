@@ -10,7 +10,7 @@ from inkwell.operators.lint import Positions
 from inkwell.operators.markdown import Document
 from inkwell.operators.registry import Context, run
 from inkwell.plans.engine import applied
-from inkwell.sources.plants import unmarked
+from inkwell.sources.plants import corpus, unmarked
 
 CASES = [(rule, e, config, kind) for rule, (examples, config, kind) in catalogue.examples().items() for e in examples]
 
@@ -55,3 +55,11 @@ def test_fixes():
     assert applied("aéb", [(2, 3, "!")]) == "aéb"
     assert applied("ab", [(0, 9, "x")]) == "ab"
     assert applied("ab", [(1, 1, "x"), (1, 1, "x"), (1, 1, "y")]) == "axyb"
+
+
+def test_documents_of_a_rule_are_dealt_out(spark, sf_dir, tmp_path):
+    """The parts lie in one small split, the texts made of them do not."""
+    spark.read.parquet(f"{sf_dir}/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = corpus(spark, str(tmp_path), ["Some ⟦text⟧.\n", "Other.\n"])
+    assert made.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert made.count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
