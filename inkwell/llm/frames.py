@@ -23,6 +23,13 @@ def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect once more when listeners are done with the last query: until then they hold it, and its shuffle files stay through the next."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buckets(spark: SparkSession, size: int = 0, bucket: int = 64_000_000) -> int:
     """Groups of a shuffle that is planned by hand: as many as the session's shuffle partitions, 32 at least, and so many that of ``size`` counted bytes each holds ``bucket``."""
     return max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket))
