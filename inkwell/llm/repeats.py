@@ -11,7 +11,7 @@ cannot be sorted by shuffle, so only those are refined that can matter:
    of all their places: a run whose bytes a smaller document has too is covered whole.
 2. Runs left in a bucket with other documents (the ends of repeats) are refined window by window: their bytes go to the
    bucket of their anchor, where each window's identifier is refined to ``size`` bytes as above, and sorted with those of
-   the other documents. A run's bytes, compressed, take a tenth of what identifiers of all its windows would.
+   the other documents. A run's bytes, compressed, take about a sixth of what identifiers of all its windows would.
 
 Documents are dealt into shares by a hash of id and text; each step takes a share whole, in one order, so that a bucket answers
 with codes in the order in which its entries were sent, without ids. What repeats within a share is settled there: only the
